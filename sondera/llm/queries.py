@@ -5,6 +5,7 @@ from __future__ import annotations
 from sondera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from sondera.llm.html_text import op9_html_text
 from sondera.llm.language_id import op10_language_id
+from sondera.llm.media import op5_media_copies
 from sondera.llm.mixing import op6_mixing
 from sondera.llm.secret_scan import op1_secret_scan
 from sondera.llm.sentencepiece_codec import op7_sentencepiece
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_media_copies": op5_media_copies,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash": op8_simhash,
