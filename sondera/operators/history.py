@@ -38,16 +38,16 @@ def stability(reports: DataFrame, most: int = 5) -> DataFrame:
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
-    """``events`` (job_id, seq, at, kind) with seconds until the run's next event; null for its last."""
-    return events.withColumn("seconds", F.lead("at").over(W.partitionBy("job_id").orderBy("seq")) - F.col("at"))
+    """``events`` (job_id, seq, at_s, kind) with seconds until the run's next event; null for its last."""
+    return events.withColumn("seconds", F.lead("at_s").over(W.partitionBy("job_id").orderBy("seq")) - F.col("at_s"))
 
 
 def stage_typical(events: DataFrame, last_runs: int = 20) -> DataFrame:
     """(kind, typical, runs): median of the first time of each kind over the last runs."""
     start = events.groupBy("job_id").agg(F.min("ts").alias("t"))
     last = start.withColumn("_n", F.row_number().over(W.orderBy(F.desc("t"), "job_id"))).filter(F.col("_n") <= last_runs)
-    first = events.join(last, "job_id").groupBy("job_id", "kind").agg(F.min("at").alias("at"))
-    return first.groupBy("kind").agg(F.median("at").alias("typical"), F.count(F.lit(1)).alias("runs"))
+    first = events.join(last, "job_id").groupBy("job_id", "kind").agg(F.min("at_s").alias("at_s"))
+    return first.groupBy("kind").agg(F.median("at_s").alias("typical"), F.count(F.lit(1)).alias("runs"))
 
 
 def keep_last_runs(events: DataFrame, last_runs: int = 20) -> DataFrame:

@@ -59,13 +59,14 @@ def pairs_above(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFr
     """
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     left = vectors.select("id", "v", block.alias("own")).withColumn("other", F.explode(F.sequence("own", F.lit(blocks - 1))))
-    right = vectors.select("id", "v", block.alias("other")).withColumn("own", F.explode(F.sequence(F.lit(0), "other")))
+    right = vectors.select(F.col("id").alias("id2"), F.col("v").alias("v2"), block.alias("other2"))
+    right = right.withColumn("own2", F.explode(F.sequence(F.lit(0), "other2")))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
-        va, vb = np.array(a["v"].tolist(), np.float64), np.array(b["v"].tolist(), np.float64)
-        ia, ib = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+        va, vb = np.array(a["v"].tolist(), np.float64), np.array(b["v2"].tolist(), np.float64)
+        ia, ib = a["id"].to_numpy(np.int64), b["id2"].to_numpy(np.int64)
         got = []
         for at in range(0, len(va), 1024):
             s = va[at : at + 1024] @ vb.T
@@ -76,7 +77,7 @@ def pairs_above(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFr
         keep = (x < y) if same else (x != y)
         return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "score": s[keep]})
 
-    return left.groupBy("own", "other").cogroup(right.groupBy("own", "other")).applyInPandas(meet, "a long, b long, score double")
+    return left.groupBy("own", "other").cogroup(right.groupBy("own2", "other2")).applyInPandas(meet, "a long, b long, score double")
 
 
 def neighbourhoods(corpus: DataFrame, queries: DataFrame, today: str, years: int = 2, tau: float = 0.60, k: int = 2000) -> DataFrame:

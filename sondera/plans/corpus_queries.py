@@ -275,12 +275,12 @@ def p6(spark, d) -> DataFrame:
     return got.select("signal_id", "c.value", "c.reason")
 
 
-@query("s12_work_id")
+@query("s12_work_id", sql("works", "SELECT id, CAST(md5_number_lower(source || chr(31) || id || chr(31) || 'works' || chr(31) || epoch_us(CAST(observed_at AS TIMESTAMP))) >> 1 AS BIGINT) AS work_id FROM works"))
 def s12(spark, d) -> DataFrame:
     from sondera.sources.works import work_id
 
     w = V.works(spark, d)
-    return w.select("id", work_id(F.col("source"), F.col("id").cast("string"), F.lit("works"), F.col("observed_at").cast("timestamp")).alias("work_id"))
+    return w.select("id", work_id(F.col("source"), F.col("id").cast("string"), F.lit("works"), F.col("observed_at").cast("timestamp_ntz")).alias("work_id"))
 
 
 @query("a9_document_frequency", sql("headlines", "WITH t AS (SELECT n, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(label || ' ' || publisher, '\\([^)]*\\)', ' ', 'g'), '[A-Za-z][A-Za-z0-9&.\\-]+'), lambda x: lower(trim(x, '.'))), lambda x: length(x) > 2 AND NOT list_contains(" + str(text.COMPANY_GENERIC) + ", x)))) AS word FROM headlines) SELECT word, count(*) AS df FROM t GROUP BY word"))

@@ -80,8 +80,8 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     first = e.groupBy("user_id").agg(F.min("ts").alias("t0"))
-    at = (F.unix_micros("ts") - F.unix_micros("t0")) / 1e6
-    return e.join(first, "user_id").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.round(at, 3).alias("at"), F.col("event_type").alias("kind"), F.col("props").alias("data"), "value", "ts")
+    at = F.expr("timestampdiff(MICROSECOND, t0, ts)") / 1e6
+    return e.join(first, "user_id").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.round(at, 3).alias("at_s"), F.col("event_type").alias("kind"), F.col("props").alias("data"), "value", "ts")
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ SQL = {
     'https://' || list_extract(['www.reuters.com', 'techcrunch.com', 'blog.medium.com', 'agency.gov', 'news.example.com'], CAST(o_custkey % 5 + 1 AS INT)) || '/a/' || (o_orderkey % 4001) AS url,
     'pub' || (o_custkey % 37) AS publisher, CAST(o_orderdate AS DATE) AS published
   FROM orders JOIN part ON o_orderkey % (SELECT count(*) FROM part) = p_partkey)""",
-    "job_events": """job_events AS (SELECT user_id AS job_id, event_id AS seq, round((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6, 3) AS at,
+    "job_events": """job_events AS (SELECT user_id AS job_id, event_id AS seq, round((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6, 3) AS at_s,
     event_type AS kind, props AS data, value, ts FROM events)""",
     "reports": """reports AS (SELECT user_id || '-' || day AS name, 'Query ' || (user_id % 30) AS query, started, day,
     list_transform(ks[1:5], lambda x: 'topic ' || x || ' systems') AS labels, n_events, total FROM (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def work_id(source: Column, external_id: Column, metric: Column, observed_at: Column) -> Column:
     """The id of a work from its natural key: the later half of an md5, little-endian, without its lowest bit."""
-    micros = F.unix_micros(observed_at.cast("timestamp")).cast("string")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), observed_at).cast("string")
     tail = F.substring(F.md5(F.concat_ws("\x1f", source, external_id, metric, micros)), 17, 16)
     turned = F.concat(*(F.substring(tail, i, 2) for i in range(15, 0, -2)))
     return F.shiftrightunsigned(F.conv(turned, 16, -10).cast("long"), 1)
