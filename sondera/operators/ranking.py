@@ -103,3 +103,25 @@ def excluded_why(kind: Column, readings: dict[str, Column]) -> Column:
     """Empty for what is shown; else the readings that speak against it."""
     seen = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in readings.items())))
     return F.when(kind == "emerging", "").when(F.size(seen) > 0, F.concat(F.lit("by: "), F.array_join(seen, "; "))).otherwise("no reason given")
+
+
+def greedy_cover(rows: DataFrame, group: str, most: int = 3) -> DataFrame:
+    """(group, n, adds): up to ``most`` rows (n, companies) of each group, each naming most companies not yet named.
+
+    Groups are the few shown headlines of a candidate; cut them with ``top_n`` before.
+    """
+    import pandas as pd
+
+    def cover(part: pd.DataFrame) -> pd.DataFrame:
+        named: set[str] = set()
+        out = []
+        items = [(int(n), set(c)) for n, c in zip(part["n"], part["companies"])]
+        for _ in range(most):
+            n, own = max(items, key=lambda x: (len(x[1] - named), -x[0]), default=(None, set()))
+            if n is None or not own - named:
+                break
+            out.append((part[group].iat[0], n, len(own - named)))
+            named |= own
+        return pd.DataFrame(out, columns=[group, "n", "adds"])
+
+    return rows.groupBy(group).applyInPandas(cover, f"{group} string, n long, adds int")

@@ -62,7 +62,7 @@ def _pairs(spark, d) -> DataFrame:
     return t.groupBy("name").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") * 40 >= n) & (F.col("df") * 20 <= n))
 
 
-@query("a1_footprint_phrases", sql("works", f"WITH {_PAIRS}, {_VIS} SELECT name, {_MEASURES} FROM pairs JOIN vis ON CASE WHEN length(name) < 0 THEN false ELSE contains(tok, ' ' || name) END GROUP BY name"))
+@query("a1_footprint_phrases", sql("works", f"WITH {_PAIRS}, {_VIS} SELECT name, {_MEASURES} FROM pairs JOIN vis ON contains(tok, ' ' || name) GROUP BY name"))
 def a1_phrases(spark, d) -> DataFrame:
     return footprint.footprint(V.works(spark, d), _pairs(spark, d), AS_OF)
 
@@ -207,9 +207,9 @@ def p9(spark, d) -> DataFrame:
     return t.groupBy(F.concat_ws("/", "kind", "level").alias("trust")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p10_corroborated", sql("headlines", f"SELECT label, count(*) FILTER (WHERE {_TRUST} LIKE '%/high' OR {_TRUST} LIKE '%/medium') > 0 AS ok FROM headlines WHERE n % 7 < 3 GROUP BY label"))
+@query("p10_corroborated", sql("headlines", f"SELECT label, count(*) FILTER (WHERE {_TRUST} LIKE '%/high' OR {_TRUST} LIKE '%/medium') > 0 AS ok FROM headlines GROUP BY label"))
 def p10(spark, d) -> DataFrame:
-    t = trust.with_trust(V.headlines(spark, d).filter("n % 7 < 3"))
+    t = trust.with_trust(V.headlines(spark, d))
     return t.groupBy("label").agg(F.collect_set("level").alias("l")).select("label", trust.corroborated(F.col("l")).alias("ok"))
 
 

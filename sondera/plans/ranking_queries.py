@@ -74,15 +74,15 @@ def _labels(spark, d) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type"), F.concat(F.lit("size"), F.col("p_size").cast("string")), F.lower(F.regexp_replace("p_brand", "#", ""))).alias("name"))
 
 
-@query("j6_similar_names", """WITH l AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || lower(p_type) || ' size' || p_size || ' ' || replace(lower(p_brand), '#', '')), '[a-z0-9+#-]{3,}'), lambda x: NOT list_contains(""" + str(text.NAME_STOP) + """, x))) AS w FROM part WHERE p_partkey % 3 = 0)
+@query("j6_similar_names", """WITH l AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || lower(p_type) || ' size' || p_size || ' ' || replace(lower(p_brand), '#', '')), '[a-z0-9+#-]{3,}'), lambda x: NOT list_contains(""" + str(text.NAME_STOP) + """, x))) AS w FROM part)
 SELECT a.id AS a, b.id AS b, round(CASE WHEN a.w = b.w THEN 1.0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS score FROM l a JOIN l b ON a.id < b.id AND len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.8""")
 def j6(spark, d) -> DataFrame:
-    return grouping.similar_names(_labels(spark, d).filter("id % 3 = 0"), 0.8).withColumn("score", F.round("score", 6))
+    return grouping.similar_names(_labels(spark, d), 0.8).withColumn("score", F.round("score", 6))
 
 
 @query("g2_merge_near")
 def g2(spark, d) -> DataFrame:
-    l = _labels(spark, d).filter("id % 3 = 0")
+    l = _labels(spark, d)
     return grouping.merge_near(l.withColumn("rank", F.length("name")), grouping.similar_names(l, 0.8))
 
 
@@ -249,7 +249,7 @@ def m7(spark, d) -> DataFrame:
 
 @query("m8_permutation_floor")
 def m8(spark, d) -> DataFrame:
-    return evaluation.permutation_floor(V.candidates(spark, d).filter("key % 4 = 0").withColumn("y", F.col("after") > 30), "share", "y", "key")
+    return evaluation.permutation_floor(V.candidates(spark, d).withColumn("y", F.col("after") > 30), "share", "y", "key")
 
 
 @query("m9_spearman", sql("candidates", """WITH r AS (SELECT domain, rank() OVER (PARTITION BY domain ORDER BY works) + (count(*) OVER (PARTITION BY domain, works) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY domain ORDER BY after) + (count(*) OVER (PARTITION BY domain, after) - 1) / 2.0::DOUBLE AS y FROM candidates)
@@ -465,16 +465,16 @@ def t8(spark, d) -> DataFrame:
     return e.filter(F.col("event_id") > mark).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
 
 
-@query("t9_active_limit", sql("job_events", "SELECT job_id % 20 AS client, count(DISTINCT job_id) AS active, count(DISTINCT job_id) > 3 AS over FROM job_events WHERE kind <> 'error' AND seq % 5 = 0 GROUP BY 1"))
+@query("t9_active_limit", sql("job_events", "SELECT job_id % 20 AS client, count(DISTINCT job_id) AS active, count(DISTINCT job_id) > 3 AS over FROM job_events WHERE kind = 'error' GROUP BY 1"))
 def t9(spark, d) -> DataFrame:
-    e = V.job_events(spark, d).filter("kind <> 'error' and seq % 5 = 0")
+    e = V.job_events(spark, d).filter("kind = 'error'")
     return e.groupBy((F.col("job_id") % 20).alias("client")).agg(F.countDistinct("job_id").alias("active")).withColumn("over", F.col("active") > 3)
 
 
-@query("w11_holes", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error' AND user_id % 10 < 2), g AS (SELECT day, sum(CASE WHEN prev IS NULL OR day - prev > 1 THEN 1 ELSE 0 END) OVER (ORDER BY day) AS i FROM (SELECT day, lag(day) OVER (ORDER BY day) AS prev FROM d)),
+@query("w11_holes", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error' AND user_id = 7), g AS (SELECT day, sum(CASE WHEN prev IS NULL OR day - prev > 1 THEN 1 ELSE 0 END) OVER (ORDER BY day) AS i FROM (SELECT day, lag(day) OVER (ORDER BY day) AS prev FROM d)),
 s AS (SELECT min(day) AS a, max(day) AS b FROM g GROUP BY i), c AS (SELECT b, unnest(range(0, b - a + 1, 3)) AS o, a FROM s) SELECT CAST(a + CAST(o AS INT) AS DATE) AS first_day, CAST(least(b, a + CAST(o AS INT) + 2) AS DATE) AS last_day, CAST(least(b, a + CAST(o AS INT) + 2) - (a + CAST(o AS INT)) + 1 AS INT) AS days FROM c""")
 def w11(spark, d) -> DataFrame:
-    days = V.table(spark, d, "events").filter("event_type = 'error' and user_id % 10 < 2").select(F.to_date("ts").alias("day")).distinct()
+    days = V.table(spark, d, "events").filter("event_type = 'error' and user_id = 7").select(F.to_date("ts").alias("day")).distinct()
     return history.holes(days, most=3)
 
 
