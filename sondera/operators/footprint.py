@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondera.functions.text import SHORT_CORE, core_matches, loose_tokens, loose_words, padded, tokens, windows
+from sondera.lineage import cut
 
 
 def visible(works: DataFrame, as_of: str, open_sources: tuple = ("arxiv",)) -> DataFrame:
@@ -45,7 +46,7 @@ def core_postings(works: DataFrame, names: DataFrame) -> DataFrame:
     """
     want = names.select("name").distinct().withColumn("w", tokens("name")).filter(F.size("w") > 0)
     short = (F.length(F.trim("name")) < SHORT_CORE) & (F.size("w") == 1)
-    want = want.select("name", "w", short.alias("short"), (F.size("w") == 1).alias("single"), F.get("w", F.lit(0)).alias("first"))
+    want = cut(want.select("name", "w", short.alias("short"), (F.size("w") == 1).alias("single"), F.get("w", F.lit(0)).alias("first")))
     held = works.select("id", "observed_at", tokens("term_raw").alias("t"))
     long_names = want.filter(~F.col("single"))
     most = long_names.agg(F.max(F.size("w"))).first()[0] or 1
@@ -58,6 +59,8 @@ def core_postings(works: DataFrame, names: DataFrame) -> DataFrame:
     by_prefix = vocabulary.select("token", F.explode(ways).alias("first")).join(single.filter(~F.col("short")).select("name", "first"), "first").select("token", "name")
     whole = single.filter("short").select("name", F.explode(F.array("first", F.concat("first", F.lit("s")))).alias("token"))
     found = each.join(by_prefix.unionByName(whole.select("token", "name")), "token").select("name", "id", "observed_at")
+    if not want.filter("single").limit(1).count():
+        found = found.limit(0)
     if most > 1:  # names of several tokens: from each place of their first token, look ahead
         ahead = held.select("id", "observed_at", F.explode(windows(F.col("t"), most)).alias("run"))
         ahead = ahead.select("id", "observed_at", F.get("run", F.lit(0)).alias("first"), F.array_compact("run").alias("run"))
@@ -75,7 +78,7 @@ def footprint(works: DataFrame, names: DataFrame, as_of: str) -> DataFrame:
 def label_footprint(works: DataFrame, labels: DataFrame, as_of: str) -> DataFrame:
     """Footprint of labels (column ``name``) of two words or more: works that hold all their words, in any order."""
     held = visible(works, as_of).select("id", "observed_at", F.explode(F.array_distinct(tokens("term_raw"))).alias("token"))
-    want = labels.select("name").distinct().filter(F.size(loose_words("name")) > 1).select("name", F.explode(F.array_distinct(loose_tokens(F.col("name")))).alias("word"))
+    want = cut(labels.select("name").distinct().filter(F.size(loose_words("name")) > 1).select("name", F.explode(F.array_distinct(loose_tokens(F.col("name")))).alias("word")))
     n_words = want.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     words = want.select("word").distinct()
     sizes = sorted(r[0] for r in words.filter(F.length("word") > 2).select(F.length("word")).distinct().collect())

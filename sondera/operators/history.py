@@ -16,14 +16,27 @@ def latest_report(reports: DataFrame) -> DataFrame:
     return reports.groupBy(folded_query(F.col("query")).alias("query")).agg(F.max_by("name", F.struct("started", "name")).alias("name"))
 
 
-def prior_runs(reports: DataFrame, most: int = 5) -> DataFrame:
-    """(name, prior, rank): for each report the last ``most`` different label sets of earlier runs of its query."""
-    r = reports.select("name", folded_query(F.col("query")).alias("q"), "started", F.array_sort(F.transform("labels", lambda x: F.lower(x))).alias("print"))
-    own, other = r.alias("o"), r.alias("p")
+def prior_runs(reports: DataFrame, most: int = 5, back: int = 32) -> DataFrame:
+    """(name, prior, rank): for each report the last ``most`` different label sets of earlier runs of its query.
+
+    The ``back`` runs before a report nearly always hold so many different sets. Only where they do not, though there
+    are more runs, all earlier runs are joined.
+    """
+    shown = F.xxhash64(F.array_sort(F.transform("labels", lambda x: F.lower(x))))
+    r = reports.select("name", folded_query(F.col("query")).alias("q"), "started", shown.alias("print"))
+    w = W.partitionBy("q").orderBy("started", "name")
+    one = F.struct("started", F.col("name").alias("prior"), "print")
+    near = r.withColumns({"seen": F.collect_list(one).over(w.rowsBetween(-back, -1)), "before": F.row_number().over(w) - 1})
+    near = near.withColumn("seen", F.sort_array(F.filter("seen", lambda x: x["started"] < F.col("started")), asc=False))
+    first = F.filter("seen", lambda x, i: ~F.exists(F.slice("seen", F.lit(1), i), lambda y: y["print"] == x["print"]))
+    near = near.withColumn("last", F.slice(first, 1, most))
+    enough = (F.size("last") == most) | (F.col("before") <= back)
+    got = near.filter(enough).select("name", F.posexplode("last").alias("at", "x")).select("name", F.col("x.prior").alias("prior"), (F.col("at") + 1).alias("rank"))
+    own, other = near.filter(~enough).select("name", "q", "started").alias("o"), r.alias("p")
     pairs = own.join(other, (F.col("o.q") == F.col("p.q")) & (F.col("p.started") < F.col("o.started")))
-    pairs = pairs.select(F.col("o.name").alias("name"), F.col("p.name").alias("prior"), F.col("p.started").alias("at"), F.col("p.print").alias("print"))
-    first = pairs.withColumn("_n", F.row_number().over(W.partitionBy("name", "print").orderBy(F.desc("at"), F.desc("prior")))).filter("_n = 1")
-    return first.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy(F.desc("at"), F.desc("prior")))).filter(F.col("rank") <= most).select("name", "prior", "rank")
+    newest = pairs.groupBy(F.col("o.name").alias("name"), F.col("p.print").alias("print")).agg(F.max(F.struct(F.col("p.started").alias("t"), F.col("p.name").alias("prior"))).alias("x"))
+    far = newest.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy(F.desc("x.t"), F.desc("x.prior")))).filter(F.col("rank") <= most)
+    return got.unionByName(far.select("name", F.col("x.prior").alias("prior"), "rank"))
 
 
 def stability(reports: DataFrame, most: int = 5) -> DataFrame:

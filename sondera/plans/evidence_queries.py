@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondera.functions import money, text
+from sondera.lineage import checkpoint_dir
 from sondera.operators import evaluation, ranking, training, verify
 from sondera.plans import views as V
 from sondera.plans.corpus_queries import _FUND, first_headlines
@@ -20,11 +21,8 @@ from sondera.streaming import feeds
 
 
 def _folder(spark) -> str:
-    """A new folder for files that a query writes and reads: in the shared folder, or a temporary one where none is named."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    """A new folder, shared by all executors, for files that a query writes and reads."""
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
 # --- evidence
