@@ -13,6 +13,7 @@ other if no merge across their border comes before the merges that make them. Th
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from array import array
@@ -21,15 +22,19 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sondera.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Characters whose words are encoded together, and distinct words that a worker remembers.
-SLICE, MEMORY = 1 << 20, 600_000
+#: Characters whose words are encoded together, and distinct words that a worker remembers, twice: of late and before.
+SLICE, MEMORY = 1 << 20, 200_000
+#: Rows that a task hands on at a time.
+ROWS = 256
 _NEVER = 1 << 40
 
 
@@ -71,8 +76,9 @@ class Codec:
                 self.usable[piece] = i
                 if made[1]:
                     self.parts[i] = made[1]
-        self.follows: dict[int, bool] = {}
+        self.follows: list[dict[int, bool]] = [{} for _ in self.pieces]
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._build_automaton()
 
     def _merge(self, unit: str) -> tuple[list[int], tuple[int, int] | None]:
@@ -110,10 +116,9 @@ class Codec:
         """Whether piece ``b`` may stand behind ``a``: no merge over their border comes before those within them."""
         if a < 0 or b < 0:
             return True
-        key = a << 20 | b
-        known = self.follows.get(key)
+        known = self.follows[b].get(a)
         if known is None:
-            known = self.follows[key] = self._may_follow(a, b)
+            known = self.follows[b][a] = self._may_follow(a, b)
         return known
 
     def _spine(self, piece: int, side: int) -> list[int]:
@@ -168,6 +173,9 @@ class Codec:
                     deeper.append(to)
             level = deeper
         self.known_steps: list[dict[str, int]] = [dict(s) for s in self.step]
+        # a letter that is a piece by itself needs no test once all longer pieces have failed: one of them always fits
+        self.letter = [e[-1][1] if e and e[-1][0] == 1 else -1 for e in self.ends]
+        self.longer = [e[:-1] if x >= 0 else e for e, x in zip(self.ends, self.letter)]
 
     def _step(self, state: int, c: str) -> int:
         at = state
@@ -180,7 +188,7 @@ class Codec:
         """The pieces of distinct words, visited in sorted order: shared prefixes are gone through once."""
         out: dict[str, list[int]] = {}
         before, last, states = "", [0], [0]  # of each prefix length: its last piece, and the automaton's state
-        ends, known_steps, follows, twice = self.ends, self.known_steps, self.follows, MARK + MARK
+        longer, letter, known_steps, follows, twice = self.longer, self.letter, self.known_steps, self.follows, MARK + MARK
         lengths = self.lengths
         for word in sorted(words):
             if word.startswith(twice):  # runs of spaces share one rank: merged step by step
@@ -196,16 +204,20 @@ class Codec:
             state, end = states[same], same
             for c in word[same:]:
                 end += 1
-                to = known_steps[state].get(c)
-                state = self._step(state, c) if to is None else to
-                for length, piece in ends[state]:
+                try:
+                    state = known_steps[state][c]
+                except KeyError:
+                    state = self._step(state, c)
+                for length, piece in longer[state]:
                     if length == end or (left := last[end - length]) < 0:
                         break
-                    fits = follows.get(left << 20 | piece)
+                    fits = follows[piece].get(left)
                     if self.may_follow(left, piece) if fits is None else fits:
                         break
                 else:
-                    piece = -ord(c) - 1
+                    piece = letter[state]
+                    if piece < 0:
+                        piece = -ord(c) - 1
                 last.append(piece)
                 states.append(state)
             before, found = word, []
@@ -217,12 +229,17 @@ class Codec:
             out[word] = found
         return out
 
-    def _known(self, words: list[str]) -> None:
+    def _known(self, words: Iterable[str]) -> None:
+        """See to it that the memory holds all of ``words``. When it is full, what was not used of late is let go."""
         new = set(words).difference(self.memory)
+        if not new:
+            return
         if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
+            self.memory, self.older = {}, self.memory
             new = set(words)
-        for word, ids in self.encode_words(new).items():
+        for word in new.intersection(self.older):
+            self.memory[word] = self.older[word]
+        for word, ids in self.encode_words(new.difference(self.older)).items():
             if min(ids) < 0:  # letters outside the vocabulary are spelled in bytes
                 ids = [x for i in ids for x in ([i] if i >= 0 else [self.byte_of[b] for b in chr(-i - 1).encode()])]
             self.memory[word] = array("i", ids).tobytes()
@@ -239,30 +256,37 @@ class Codec:
             yield self.units.findall(marked, at, to)
             at = to
 
+    def _joined(self, words: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.memory.__getitem__, words))
+        except KeyError:
+            self._known(words)
+            return b"".join(map(self.memory.__getitem__, words))
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """Piece ids of whole texts; null and empty texts have none."""
-        for text in texts:
-            found = []
-            for words in self._slices(text) if text else ():
-                try:
-                    found.append(b"".join(map(self.memory.__getitem__, words)))
-                except KeyError:
-                    self._known(words)
-                    found.append(b"".join(map(self.memory.__getitem__, words)))
-            yield np.frombuffer(b"".join(found), np.int32)
+        """Piece ids of whole texts, in order; null and empty texts have none.
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """As ``encode``; the short texts' new words are gone through together, in one trie."""
-        group: list[str | None] = []
+        The words of several short texts are gone through together, in one trie; a long text by itself, slice by slice.
+        """
+        group: list[list[str]] = []
         size = 0
-        for text in [*texts, None]:
-            group.append(text)
+
+        def done() -> Iterator[np.ndarray]:
+            self._known(set().union(*group))
+            yield from (np.frombuffer(self._joined(words), np.int32) for words in group)
+            group.clear()
+
+        for text in texts:
+            if text and len(text) > SLICE:
+                yield from done()
+                yield np.frombuffer(b"".join(map(self._joined, self._slices(text))), np.int32)
+                continue
+            group.append([w for words in self._slices(text) for w in words] if text else [])
             size += len(text or "")
-            if size > SLICE or len(group) == len(texts) + 1:
-                self._known([w for t in group if t and len(t) <= SLICE for s in self._slices(t) for w in s])
-                yield from self.encode(group)
-                group, size = [], 0
-        yield from self.encode(group)
+            if size > SLICE:
+                yield from done()
+                size = 0
+        yield from done()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of piece ids: marks are spaces, and the first word's mark is taken off."""
@@ -278,29 +302,44 @@ def codec(model: str = MODEL) -> Codec:
     return Codec(model if os.path.isabs(model) else public_tokenizers.path(model))
 
 
-def encoder(model: str = MODEL) -> Column:
-    """A column function: array of piece ids of a text column."""
+def decoder(model: str = MODEL) -> Column:
+    """A column function: text of an array of piece ids."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(model)
         for batch in batches:
-            texts = batch.tolist()
-            yield pd.Series([x for x, _ in zip(own.encode_batch(texts), texts)], dtype="object")
+            yield pd.Series([None if ids is None else own.decode(ids.tolist()) for ids in batch], dtype="object")
 
     return of
 
 
-def decoder(model: str = MODEL) -> Column:
-    """A column function: text of an array of piece ids."""
+def _coded(docs: DataFrame, text: str, model: str, checked: bool) -> DataFrame:
+    """``docs`` with piece_ids, and if ``checked`` with the digest of the decoded text and whether it is the text.
 
-    @F.pandas_udf("string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Tasks hand rows on in small blocks, so that neither they nor the executor hold the ids of many documents at once.
+    """
+    new = [("piece_ids", pa.list_(pa.int32())), *([("decoded_sha256", pa.string()), ("round_trip", pa.bool_())] if checked else [])]
+    kept = docs.drop(*(n for n, _ in new))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            yield pd.Series([None if ids is None else own.decode(ids.tolist()) for ids in batch], dtype="object")
-
-    return of
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column(text).to_pylist()
+                ids = list(own.encode(texts))
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                found = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))]
+                if checked:
+                    decoded = [own.decode(x.tolist()) for x in ids]
+                    found.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]))
+                    found.append(pa.array([t == (g or "").replace(MARK, " ") for t, g in zip(decoded, texts)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, *(n for n, _ in new)])
+
+    types = {"piece_ids": T.ArrayType(T.IntegerType()), "decoded_sha256": T.StringType(), "round_trip": T.BooleanType()}
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(name, types[name]) for name, _ in new)])
+    return kept.mapInArrow(run, schema).withColumn("n_pieces", F.size("piece_ids").cast("long"))
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
@@ -308,7 +347,12 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
 
     Texts are encoded whole. Columns of those names are replaced.
     """
-    return docs.withColumn("piece_ids", encoder(model)(text)).withColumn("n_pieces", F.size("piece_ids").cast("long"))
+    return _coded(docs, text, model, checked=False)
+
+
+def round_trip(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+    """As ``encode``, and decoded in the same pass: decoded_sha256 and round_trip (whether decoding gives the text again)."""
+    return _coded(docs, text, model, checked=True)
 
 
 def decode(docs: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataFrame:
@@ -317,7 +361,5 @@ def decode(docs: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataF
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    both = decode(docs)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    return both.select("doc_id", "n_pieces", "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+    found = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_pieces", "piece_ids", "decoded_sha256", "round_trip")
