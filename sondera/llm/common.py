@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondera.lineage import checkpoint_dir, cut
+
+__all__ = ["ascii_lower", "checkpoint_dir", "crc_mod", "cut", "table", "with_hot_apart"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -14,21 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there, with no lineage before it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def ascii_lower(text: Column | str) -> Column:
     """A-Z to a-z and nothing else. ``lower`` is the same and faster where all characters are ASCII."""
     col = F.col(text) if isinstance(text, str) else text

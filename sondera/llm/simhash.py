@@ -147,7 +147,9 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    keyed = fps.select("fp").mapInPandas(spread, "key long, fp long")
+    # few bytes become many rows: deal them out by the session's number of partitions, not by their size
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = dealt.mapInPandas(spread, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long").distinct()
 
 
