@@ -6,12 +6,16 @@ another has none and the last at most 1. Golay keys meet whenever a segment diff
 bucket find every such pair: a Golay key of each of the three segments, and one segment as it is with a Golay key of
 another. Members of a bucket are then compared bit by bit. A bucket gives at most one link per member (a spanning
 forest of its true links), so that a large group of near copies does not become all of its pairs.
+
+Where a bucket holds very many fingerprints they are dealt out again, each to all words within 2 bits of it: any two
+that differ in 4 bits share such a word, and no word has more than 2,081 fingerprints around it. No task gets a group
+that grows with the input, and no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,8 @@ SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # lowest bit, width
 #: Shingles hashed at a time, so that a very long text needs no more memory than a long one.
 BLOCK = 1 << 16
+#: A bucket with more fingerprints than this is not compared but dealt out again by neighbouring words.
+MOST_IN_BUCKET = 1 << 14
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -98,8 +104,11 @@ def links_within(fps: np.ndarray, most: int = MAX_BITS) -> Iterator[tuple[int, i
             root[root == r] = root[i]
 
 
-def _bucket_links(rows: pd.DataFrame, most: int) -> list[tuple[int, int]]:
-    """Links of the buckets in ``rows`` (key, fp), which hold whole buckets, sorted by key."""
+def _bucket_links(rows: pd.DataFrame, most: int, most_in_bucket: int) -> list[tuple[int, int]]:
+    """Links of the buckets in ``rows`` (key, fp), which hold whole buckets, sorted by key.
+
+    Of a bucket that is too large each member is linked to itself: the sign that it must be dealt out again.
+    """
     key, fp = rows["key"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
     edge = np.flatnonzero(np.diff(key)) + 1
     starts, ends = np.concatenate(([0], edge)), np.append(edge, len(key))
@@ -109,50 +118,91 @@ def _bucket_links(rows: pd.DataFrame, most: int) -> list[tuple[int, int]]:
     out += zip(fp[close].tolist(), fp[close + 1].tolist())
     for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
         own = np.unique(fp[s:e])
-        out += ((int(own[i]), int(own[j])) for i, j in links_within(own, most))
+        if e - s > most_in_bucket:
+            out += zip(own.tolist(), own.tolist())
+        elif (np.bitwise_count(own ^ own[0]) <= most).all():
+            out += ((int(x), int(own[0])) for x in own[1:])
+        else:
+            out += ((int(own[i]), int(own[j])) for i, j in links_within(own, most))
     return out
 
 
-def fingerprint_links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """(a, b): links that join all distinct fingerprints ``fp`` of ``fps`` as all pairs within ``most`` bits would."""
-    if most > MAX_BITS:
-        raise ValueError(f"the buckets find pairs that differ in {MAX_BITS} bits at most")
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch["fp"].to_numpy()[at : at + 2048]
-                where, key = bucket_keys(part.view(np.uint64))
-                yield pd.DataFrame({"key": key, "fp": part[where]})
+def _links_by_key(keyed: DataFrame, most: int, most_in_bucket: int) -> DataFrame:
+    """(a, b): the links of the buckets of ``keyed`` (key, fp). A task holds ``most_in_bucket`` rows of a bucket at most."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by key; the last bucket of a batch waits for the next batch, where it may go on."""
         rest: list[pd.DataFrame] = []
+        large = None  # key of the last bucket, once it is known to be too large
         for batch in batches:
-            last = batch["key"].to_numpy()[-1] if len(batch) else None
-            if last is None:
+            if large is not None:
+                to = int(np.searchsorted(batch["key"].to_numpy(), large, side="right"))
+                own, batch = batch["fp"].iloc[:to].to_numpy(), batch.iloc[to:]
+                yield pd.DataFrame({"a": own, "b": own})
+            if not len(batch):
                 continue
+            large, last = None, batch["key"].iat[-1]
             if rest and rest[0]["key"].iat[0] == last:
                 rest.append(batch)
-                continue
-            open_from = int(np.searchsorted(batch["key"].to_numpy(), last))
-            done = pd.concat([*rest, batch.iloc[:open_from]])
-            rest = [batch.iloc[open_from:]]
-            if len(done):
-                yield as_frame(_bucket_links(done, most))
+            else:
+                open_from = int(np.searchsorted(batch["key"].to_numpy(), last))
+                done = pd.concat([*rest, batch.iloc[:open_from]])
+                rest = [batch.iloc[open_from:]]
+                if len(done):
+                    yield as_frame(_bucket_links(done, most, most_in_bucket))
+            if sum(map(len, rest)) > most_in_bucket:
+                own = pd.concat(rest)["fp"].to_numpy()
+                yield pd.DataFrame({"a": own, "b": own})
+                rest, large = [], last
         if rest:
-            yield as_frame(_bucket_links(pd.concat(rest), most))
+            yield as_frame(_bucket_links(pd.concat(rest), most, most_in_bucket))
 
     def as_frame(found: list[tuple[int, int]]) -> pd.DataFrame:
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    # few bytes become many rows: deal them out by the session's number of partitions, not by their size
-    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = dealt.mapInPandas(spread, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long").distinct()
 
 
+def _keyed(fps: DataFrame, spread) -> DataFrame:
+    """Few bytes become many rows: deal them out by the session's number of partitions, not by their size."""
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInPandas(spread, "key long, fp long")
+
+
+def neighbour_links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """As ``fingerprint_links``, by the words that lie within half of ``most`` bits (rounded up) of each fingerprint."""
+    radius = -(-most // 2)
+    masks = np.array([sum(1 << i for i in bits) for n in range(radius + 1) for bits in combinations(range(64), n)], np.uint64)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch["fp"].to_numpy()[at : at + 64]
+                yield pd.DataFrame({"key": (part.view(np.uint64)[:, None] ^ masks).ravel().view(np.int64), "fp": np.repeat(part, len(masks))})
+
+    return _links_by_key(_keyed(fps, spread), most, len(masks))
+
+
+def fingerprint_links(fps: DataFrame, most: int = MAX_BITS, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+    """(a, b): links that join all distinct fingerprints ``fp`` of ``fps`` as all pairs within ``most`` bits would."""
+    if most > MAX_BITS:
+        raise ValueError(f"the buckets find pairs that differ in {MAX_BITS} bits at most")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                part = batch["fp"].to_numpy()[at : at + 2048]
+                where, key = bucket_keys(part.view(np.uint64))
+                yield pd.DataFrame({"key": key, "fp": part[where]})
+
+    links = cut(_links_by_key(_keyed(fps, spread), most, most_in_bucket))
+    crowded = links.filter("a = b").select(F.col("a").alias("fp"))
+    if crowded.isEmpty():
+        return links
+    return links.filter("a <> b").unionByName(neighbour_links(crowded, most))
+
+
 def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links, its own included).
 

@@ -355,6 +355,30 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.drop_near_copies(df.unionByName(df)).count() == len(set(want.values()))
 
 
+def test_crowded_buckets_lose_no_link(spark):
+    """Buckets of more than 2 (and 40) fingerprints are dealt out again; the groups stay those of all pairs."""
+    rng = random.Random(12)
+    fps = {0, 1}
+    for _ in range(4):
+        centre = rng.getrandbits(64)
+        for _ in range(120):
+            fps.add(centre ^ sum(1 << i for i in rng.sample(range(24), rng.randint(0, 6))))
+    fps = sorted(fps)
+    signed = {i: x - (x >> 63 << 64) for i, x in enumerate(fps)}
+    want = brute_components(dict(enumerate(fps)))
+    df = spark.createDataFrame([(x,) for x in signed.values()], "fp long")
+    for most_in_bucket in (2, 40, 10**6):
+        got = {r["node"]: r["component"] for r in components.components(simhash.fingerprint_links(df, 4, most_in_bucket)).collect()}
+        groups, of_all = defaultdict(set), defaultdict(set)
+        for i, x in signed.items():
+            groups[got.get(x, x)].add(i)
+            of_all[want[i]].add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, of_all.values()))
+    for most in (1, 2, 3):
+        got = {tuple(sorted((r["a"], r["b"]))) for r in simhash.neighbour_links(df, most).collect()}
+        assert all(((a ^ b) & (2**64 - 1)).bit_count() <= most for a, b in got)
+
+
 def test_components_of_a_chain(spark):
     n = 200
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1000, 1001), (7, 7)], "a long, b long").repartition(5)
