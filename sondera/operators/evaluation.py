@@ -83,3 +83,14 @@ def holm(rows: DataFrame, p: str = "p") -> DataFrame:
     m = F.count(F.lit(1)).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     step = rows.withColumn("_s", F.least(F.lit(1.0), (m - F.row_number().over(w) + 1) * F.col(p)))
     return step.withColumn("adjusted", F.max("_s").over(w)).drop("_s")
+
+
+def report_blocks(blocks: dict[str, DataFrame], key: str) -> DataFrame:
+    """(block, key, measure, value): the result tables of an evaluation, collected in one long table."""
+    out = None
+    for name, rows in blocks.items():
+        measures = [c for c in rows.columns if c != key]
+        wide = rows.select(F.col(key).cast("string").alias("key"), *(F.col(m).cast("double").alias(m) for m in measures))
+        own = wide.unpivot(["key"], measures, "measure", "value").select(F.lit(name).alias("block"), "key", "measure", "value")
+        out = own if out is None else out.unionByName(own)
+    return out

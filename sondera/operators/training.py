@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -69,3 +72,43 @@ def usable_features(rows: DataFrame, features: list[str]) -> DataFrame:
     """(feature, present, constant): a feature with nothing present is dropped; a constant one is reported."""
     each = rows.select(*(F.col(f).cast("double").alias(f) for f in features)).unpivot([], features, "feature", "v")
     return each.groupBy("feature").agg(F.count("v").alias("present"), (F.min("v") == F.max("v")).alias("constant"))
+
+
+def temporal_holdout(rows: DataFrame, features: list[str], label: str, when: str, last: int) -> DataFrame:
+    """(train_rows, test_rows, auc): fitted on rows up to ``last``, tried on the later ones."""
+    own, later = rows.filter(F.col(when) <= last), rows.filter(F.col(when) > last)
+    score = BinaryClassificationEvaluator(labelCol=label).evaluate(logistic(features, label).fit(own).transform(later))
+    return rows.sparkSession.createDataFrame([(own.count(), later.count(), round(float(score), 4))], "train_rows long, test_rows long, auc double")
+
+
+def shuffled(rows: DataFrame, column: str, key: str, seed: int, bucket_rows: int = 10_000) -> DataFrame:
+    """``rows`` with the values of a column dealt out anew: in random buckets, each row gets the next one's value."""
+    buckets = max(1, rows.count() // bucket_rows)
+    w = W.partitionBy(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets))).orderBy(F.xxhash64(F.lit(seed + 1), key), key)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    last = F.lead(F.lit(1)).over(w).isNull()
+    return rows.withColumn(column, F.when(last, F.first(column).over(whole)).otherwise(F.lead(column).over(w)))
+
+
+def importance(rows: DataFrame, features: list[str], label: str, key: str, seed: int = 7) -> DataFrame:
+    """(feature, drop): what the area under the curve loses when the values of a feature are dealt out anew."""
+    model, auc = logistic(features, label).fit(rows), BinaryClassificationEvaluator(labelCol=label)
+    full = auc.evaluate(model.transform(rows))
+    out = [(f, round(full - float(auc.evaluate(model.transform(shuffled(rows, f, key, seed)))), 4)) for f in features]
+    return rows.sparkSession.createDataFrame(out, "feature string, drop double")
+
+
+def tree_rules(rows: DataFrame, features: list[str], label: str, depth: int = 3) -> str:
+    """A tree of few levels over the features, as indented lines; thresholds are in the features' own units."""
+    fill, assemble, _ = _prepared(features)
+    tree = DecisionTreeClassifier(labelCol=label, featuresCol="raw", maxDepth=depth, seed=7)
+    lines = Pipeline(stages=[fill, assemble, tree]).fit(rows).stages[-1].toDebugString.splitlines()[1:]
+    return "\n".join(re.sub(r"feature (\d+)", lambda m: features[int(m[1])], line) for line in lines if line.strip())
+
+
+def vector_probe(rows: DataFrame, vector: str, label: str, key: str) -> DataFrame:
+    """(train_rows, test_rows, auc): a logistic regression on the raw coordinates, tried on a fifth of the rows."""
+    own = rows.withColumn("features", array_to_vector(vector)).withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(5)))
+    train, test = own.filter("_fold <> 0"), own.filter("_fold = 0")
+    score = BinaryClassificationEvaluator(labelCol=label).evaluate(LogisticRegression(labelCol=label, regParam=0.01).fit(train).transform(test))
+    return rows.sparkSession.createDataFrame([(train.count(), test.count(), round(float(score), 4))], "train_rows long, test_rows long, auc double")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondera.functions.text import foreign_script, invented_numbers, references
+from sondera.functions.text import foreign_script, has_cyrillic, invented_numbers, references
 
 
 def first_words(text: Column, n: int = 6) -> Column:
@@ -142,3 +142,28 @@ def event_problems(events: DataFrame, required: dict[str, list[str]]) -> DataFra
     has = F.coalesce(F.json_object_keys("data"), F.array().cast("array<string>"))
     want = F.coalesce(F.try_element_at(need, F.col("kind")), F.array().cast("array<string>"))
     return events.withColumn("missing", F.array_except(want, has))
+
+
+def card_audit(cards: DataFrame, *by: str) -> DataFrame:
+    """Checks and defects of cards (text, sources, companies): dead references, numbers and companies that no source holds."""
+    said = F.lower(F.array_join("sources", " "))
+    refs = F.transform(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), 1), lambda r: r.cast("int"))
+    numbers = F.regexp_extract_all(F.regexp_replace("text", r"\[\d+\]", " "), F.lit(r"\d+"), 0)
+    own = cards.select(
+        *by, F.size(refs).alias("refs"), F.size(F.filter(refs, lambda r: (r < 1) | (r > F.size("sources")))).alias("dead_refs"),
+        F.size(numbers).alias("numbers"), F.size(F.filter(numbers, lambda n: ~F.contains(said, n))).alias("absent_numbers"),
+        F.size("companies").alias("companies"), F.size(F.filter("companies", lambda c: ~F.contains(said, F.lower(c)))).alias("absent_companies"),
+    )
+    measures = [c for c in own.columns if c not in by]
+    return own.groupBy(*by).agg(F.count(F.lit(1)).alias("cards"), *(F.sum(m).alias(m) for m in measures))
+
+
+def retext(sections: DataFrame) -> DataFrame:
+    """Sections (title, why, refs, sources) with needs_title, an empty reason filled and references cut to the sources there are."""
+    return sections.withColumns(
+        {
+            "needs_title": ~has_cyrillic("title"),
+            "why": F.coalesce(F.nullif(F.trim("why"), F.lit("")), F.lit("no reason given")),
+            "refs": F.filter("refs", lambda r: r.between(1, F.col("sources"))),
+        }
+    )

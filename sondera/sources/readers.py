@@ -36,9 +36,9 @@ def funders(awards: Column, funders_: Column) -> Column:
     return F.array_sort(F.array_compact(both))
 
 
-def openalex(spark: SparkSession, path: str) -> DataFrame:
-    """Works of OpenAlex pages: rows without id, title or date are left out."""
-    r = spark.read.schema(OPENALEX).option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+def openalex(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Works of OpenAlex pages, one in each file or each line: rows without id, title or date are left out."""
+    r = spark.read.schema(OPENALEX).option("multiLine", multi_line).json(path).select(F.explode("results").alias("r")).select("r.*")
     day = F.col("publication_date").try_cast("date")
     out = r.filter(F.col("id").isNotNull() & (F.trim("title") != "") & day.isNotNull())
     return out.select(
@@ -49,9 +49,19 @@ def openalex(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def arxiv(spark: SparkSession, path: str) -> DataFrame:
+def _feed(spark: SparkSession, path: str, tag: str, schema: str, lines: bool, inside: str = "") -> DataFrame:
+    """Rows of XML feeds, one feed in each file or, with ``lines``, in each line; ``inside`` names what holds the rows."""
+    if not lines:
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    rows = f"{tag} array<struct<{schema}>>"
+    feed = F.from_xml("value", f"{inside} struct<{rows}>" if inside else rows)
+    found = spark.read.text(path).select(feed.alias("f"))
+    return found.select(F.explode(".".join(x for x in ("f", inside, tag) if x)).alias("e")).select("e.*")
+
+
+def arxiv(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Entries of Atom feeds: the id is all behind /abs/, the date that of the first version."""
-    e = spark.read.format("xml").option("rowTag", "entry").schema(ATOM).load(path)
+    e = _feed(spark, path, "entry", ATOM, lines)
     day = F.substring("published", 1, 10).try_cast("date")
     key = F.regexp_extract("id", "/abs/(.+)$", 1)
     out = e.filter((key != "") & (F.trim("title") != "") & day.isNotNull())
@@ -66,9 +76,9 @@ def unescape(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
-def news_rss(spark: SparkSession, path: str) -> DataFrame:
+def news_rss(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Live documents of RSS feeds: the title without its publisher's tail, the RFC-822 date as ISO."""
-    r = spark.read.format("xml").option("rowTag", "item").schema(RSS).load(path)
+    r = _feed(spark, path, "item", RSS, lines, "channel")
     publisher = F.col("source._VALUE")
     title = unescape(F.col("title"))
     tail = F.concat(F.lit(" - "), publisher)
@@ -78,25 +88,96 @@ def news_rss(spark: SparkSession, path: str) -> DataFrame:
     return r.select(F.lit("news").alias("source"), bare.alias("title"), F.col("link").alias("url"), F.coalesce(day.cast("string"), F.lit("")).alias("published"), publisher.alias("publisher"), F.lit("en").alias("lang"), unescape(F.col("description")).alias("snippet"), domain.alias("domain"))
 
 
-def live_json(spark: SparkSession, path: str, schema: str, rows: str, fields: dict[str, Column]) -> DataFrame:
+def live_json(spark: SparkSession, path: str, schema: str, rows: str, fields: dict[str, Column], multi_line: bool = True) -> DataFrame:
     """Live documents of a JSON source: ``rows`` names the array, ``fields`` gives each column of LIVE from its items."""
-    items = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode(rows).alias("r")).select("r.*")
+    items = spark.read.schema(schema).option("multiLine", multi_line).json(path).select(F.explode(rows).alias("r")).select("r.*")
     return items.select(*(fields.get(c, F.lit(None).cast("string")).alias(c) for c in LIVE))
 
 
-def grants(spark: SparkSession, path: str) -> DataFrame:
-    schema = "results array<struct<appl_id bigint, project_title string, award_amount bigint, award_notice_date string, organization struct<org_name string>>>"
-    return live_json(spark, path, schema, "results", {
-        "source": F.lit("grants"), "title": F.col("project_title"), "url": F.concat(F.lit("grant:"), F.col("appl_id").cast("string")),
-        "published": F.substring("award_notice_date", 1, 10), "publisher": F.col("organization.org_name"), "lang": F.lit("en"),
-    })
+def _told(column: str, most: int | None = None) -> Column:
+    plain = unescape(F.coalesce(F.col(column), F.lit("")))
+    return plain if most is None else F.substring(plain, 1, most)
 
 
-def patents(spark: SparkSession, path: str) -> DataFrame:
+def grants(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Grants: the amount, if there is one, is told in the snippet."""
+    schema = "results array<struct<appl_id bigint, project_title string, award_amount bigint, award_notice_date string, organization struct<org_name string>>>"
+    return live_json(spark, path, schema, "results", {
+        "source": F.lit("grants"), "title": _told("project_title"), "url": F.concat(F.lit("https://reporter.nih.gov/project-details/"), F.col("appl_id").cast("string")),
+        "published": F.substring("award_notice_date", 1, 10), "publisher": F.coalesce("organization.org_name", F.lit("")), "lang": F.lit("en"),
+        "snippet": F.coalesce(F.concat(F.lit("grant $"), F.translate(F.format_number("award_amount", 0), ",", " ")), F.lit("")), "domain": F.lit("reporter.nih.gov"),
+    }, multi_line)
+
+
+def articles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Articles of a journal search; the date may be a bare year."""
+    schema = "articles array<struct<name string, link string, year int, journal string, annotation string>>"
+    return live_json(spark, path, schema, "articles", {
+        "source": F.lit("articles"), "title": _told("name"), "url": F.concat(F.lit("https://cyberleninka.ru"), F.col("link")), "published": F.coalesce(F.col("year").cast("string"), F.lit("")),
+        "publisher": _told("journal"), "lang": F.lit("ru"), "snippet": _told("annotation", 400), "domain": F.lit("cyberleninka.ru"),
+    }, multi_line)
+
+
+def repositories(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Code repositories of a search; their stars stand for the publisher."""
+    schema = "items array<struct<full_name string, html_url string, created_at string, stargazers_count bigint, description string>>"
+    return live_json(spark, path, schema, "items", {
+        "source": F.lit("code"), "title": F.col("full_name"), "url": F.col("html_url"), "published": F.coalesce(F.substring("created_at", 1, 10), F.lit("")),
+        "publisher": F.concat(F.lit("★ "), F.coalesce("stargazers_count", F.lit(0)).cast("string")), "lang": F.lit("en"), "snippet": _told("description", 300), "domain": F.lit("github.com"),
+    }, multi_line)
+
+
+#: Domains of preprint servers by a part of the publisher's name, and that of all others.
+PREPRINT_DOMAINS = {
+    "biorxiv": "biorxiv.org",
+    "medrxiv": "medrxiv.org",
+    "chemrxiv": "chemrxiv.org",
+    "research square": "researchsquare.com",
+    "preprints.org": "preprints.org",
+    "ssrn": "ssrn.com",
+    "arxiv": "arxiv.org",
+}
+PREPRINT_OTHER = "europepmc.org"
+
+
+def preprints(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Preprints: the link is that of the DOI if there is one, the domain that of the server."""
+    schema = "resultList struct<result array<struct<id string, doi string, title string, firstPublicationDate string, authorString string, journalTitle string, bookOrReportDetails struct<publisher string>>>>"
+    publisher = F.coalesce(F.nullif("bookOrReportDetails.publisher", F.lit("")), "journalTitle", F.lit(""))
+    domain = F.coalesce(*(F.when(F.lower(publisher).contains(part), d) for part, d in PREPRINT_DOMAINS.items()), F.lit(PREPRINT_OTHER))
+    doi = F.nullif("doi", F.lit(""))
+    return live_json(spark, path, schema, "resultList.result", {
+        "source": F.lit("preprints"), "title": _told("title"), "url": F.coalesce(F.concat(F.lit("https://doi.org/"), doi), F.concat(F.lit("https://europepmc.org/article/PPR/"), F.coalesce("id", F.lit("")))),
+        "published": F.coalesce(F.substring("firstPublicationDate", 1, 10), F.lit("")), "publisher": publisher, "lang": F.lit("en"), "snippet": _told("authorString", 200), "domain": domain,
+    }, multi_line)
+
+
+def trials(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Clinical trials: the snippet tells phases and status."""
+    schema = (
+        "studies array<struct<protocolSection struct<identificationModule struct<nctId string, briefTitle string>, statusModule struct<overallStatus string, startDateStruct struct<date string>>, "
+        "sponsorCollaboratorsModule struct<leadSponsor struct<name string>>, designModule struct<phases array<string>>>>>"
+    )
+    p = "protocolSection."
+    phases = F.nullif(F.array_join(F.coalesce(p + "designModule.phases", F.array().cast("array<string>")), ", "), F.lit(""))
+    return live_json(spark, path, schema, "studies", {
+        "source": F.lit("trials"), "title": _told(p + "identificationModule.briefTitle"), "url": F.concat(F.lit("https://clinicaltrials.gov/study/"), F.coalesce(p + "identificationModule.nctId", F.lit(""))),
+        "published": F.coalesce(F.substring(F.col(p + "statusModule.startDateStruct.date"), 1, 10), F.lit("")), "publisher": F.coalesce(p + "sponsorCollaboratorsModule.leadSponsor.name", F.lit("")), "lang": F.lit("en"),
+        "snippet": F.concat_ws(" · ", phases, F.nullif(p + "statusModule.overallStatus", F.lit(""))), "domain": F.lit("clinicaltrials.gov"),
+    }, multi_line)
+
+
+def companies(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(id, name): institutions of type company, a dimension for joins."""
+    r = spark.read.schema("results array<struct<id string, display_name string, type string>>").option("multiLine", multi_line).json(path).select(F.explode("results").alias("r"))
+    return r.filter(F.col("r.type") == "company").select(F.element_at(F.split("r.id", "/"), -1).alias("id"), F.col("r.display_name").alias("name")).distinct()
+
+
+def patents(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """Patent records whose nodes are single or lists: read as VARIANT, the English title first, three applicants at most."""
     v = F.try_parse_json("value")
     many = lambda p, t: F.coalesce(F.try_variant_get("v", p, f"array<{t}>"), F.array_compact(F.array(F.try_variant_get("v", p, t))))
-    raw = spark.read.text(path, wholetext=True).select(v.alias("v"))
+    raw = spark.read.text(path, wholetext=whole_files).select(v.alias("v"))
     titles = many("$.title", "struct<lang:string,text:string>")
     english = F.filter(titles, lambda t: t["lang"] == "en")
     title = F.coalesce(F.get(english, F.lit(0))["text"], F.get(titles, F.lit(0))["text"])

@@ -66,3 +66,40 @@ def model_guard(vectors: DataFrame, model: str, size: int) -> DataFrame:
     """``vectors``, failing the job on a row of another model or length: two models' vectors never mix."""
     ok = (F.col("model") == model) & (F.size("v") == size)
     return vectors.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("vector of another model or length")).isNull()))
+
+
+#: Sources whose records are works.
+SCIENCE = ("arxiv", "openalex")
+
+
+def from_signals(signals: DataFrame, stored: DataFrame, url: str = "url") -> DataFrame:
+    """Works to append from collected signals (id, source, url): science sources only, one version of each, none stored."""
+    own = versions(signals.filter(F.col("source").isin(*SCIENCE)), url).filter("keep")
+    return own.join(versions(stored, url).select("base").distinct(), "base", "left_anti").drop("base", "keep")
+
+
+def jdbc(spark, address: str, name: str, key: str, chunks: int = 32) -> DataFrame:
+    """A table of a database, read in ``chunks`` equal ranges of its content-addressed key, which fills [0, 2^63)."""
+    options = {"url": address, "dbtable": name, "partitionColumn": key, "lowerBound": "0", "upperBound": str(2**63 - 1), "numPartitions": str(chunks)}
+    return spark.read.format("jdbc").options(**options).load()
+
+
+def to_copy(source: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``source`` that a copy broken off has still to bring: those above the largest key of ``target``.
+
+    Fails where the two hold a different number of rows up to that key: then the target isn't a copy broken off.
+    """
+    last, have = target.agg(F.max(key), F.count(F.lit(1))).first()
+    if last is None:
+        return source
+    want = source.filter(F.col(key) <= last).count()
+    if want != have:
+        raise ValueError(f"up to {key} {last} the source has {want} rows and the target {have}")
+    return source.filter(F.col(key) > last)
+
+
+def write_features(rows: DataFrame, path: str, key: str, vector: str | None = None) -> None:
+    """One row for each item with all its features; an empty text is null. Vectors, if any, stay an array column."""
+    kinds = dict(rows.dtypes)
+    cols = [F.nullif(F.col(c), F.lit("")).alias(c) if kinds[c] == "string" and c != key else F.col(c) for c in rows.columns if c != vector]
+    rows.select(*cols, *([vector] if vector else [])).write.mode("overwrite").parquet(path)

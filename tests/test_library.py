@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sondera.functions import dates, money, stats, text, trust
-from sondera.operators import burst, evaluation, footprint, grouping, history, neighbours, ranking, scoring, verify
+from sondera.operators import burst, evaluation, footprint, grouping, history, neighbours, ranking, scoring, training, verify
 from sondera.sources import readers, works
 
 
@@ -202,3 +203,43 @@ def test_entry_and_queries(spark):
     assert entry.entry(spark).count() == 15
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 150
+
+
+def test_news_feed_file_and_lines(spark, tmp_path):
+    feed = "<rss><channel>" + "".join(f'<item><title>Big &amp;amp; new {i} - The Daily</title><link>u{i}</link><pubDate>Tue, 03 Jan 2023 08:00:00 GMT</pubDate><source url="https://www.daily.org/x">The Daily</source></item>' for i in range(3)) + "</channel></rss>"
+    (tmp_path / "feed.xml").write_text(feed)
+    for lines in (False, True):
+        got = sorted(tuple(r[c] for c in ("title", "url", "published", "publisher", "domain")) for r in readers.news_rss(spark, str(tmp_path / "feed.xml"), lines=lines).collect())
+        assert got == [(f"Big & new {i}", f"u{i}", "2023-01-03", "The Daily", "daily.org") for i in range(3)]
+
+
+def test_twins_join_first_accepted_head(spark):
+    rng = random.Random(4)
+    pairs = [(a, b, round(rng.random(), 3), rng.random() < 0.2) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.4]
+    accepted = {(a, b) for a, b, _, _ in pairs if rng.random() < 0.4}
+    near = {}
+    for a, b, score, same in pairs:
+        near.setdefault(a, []).append((not same, -score, b))
+        near.setdefault(b, []).append((not same, -score, a))
+    want = {}
+    for i in range(32):
+        heads = [j for _, _, j in sorted(near.get(i, [])) if want.get(j) == j][:4]
+        want[i] = next((j for j in heads if (min(i, j), max(i, j)) in accepted), i)
+    cands = spark.createDataFrame([(i, i) for i in range(32)], "id long, rank long")
+    verdicts = spark.createDataFrame([(b, a) for a, b in accepted] or [(-1, -1)], "a long, b long")
+    got = grouping.assign_twins(cands, spark.createDataFrame(pairs, "a long, b long, score double, same boolean"), verdicts)
+    assert {r["id"]: r["head"] for r in got.collect()} == want
+
+
+def test_copy_goes_on_or_refuses(spark):
+    source = spark.range(100)
+    assert sorted(r[0] for r in works.to_copy(source, spark.range(60)).collect()) == list(range(60, 100))
+    assert works.to_copy(source, spark.range(0)).count() == 100
+    with pytest.raises(ValueError):
+        works.to_copy(source, spark.range(60).filter("id <> 3"))
+
+
+def test_shuffled_deals_out_the_same_values(spark):
+    rows = spark.range(500).select("id", (F.col("id") * 3).alias("v"))
+    got = training.shuffled(rows, "v", "id", 7, bucket_rows=100).collect()
+    assert sorted(r["v"] for r in got) == [3 * i for i in range(500)] and sum(r["v"] == 3 * r["id"] for r in got) < 25
