@@ -3,8 +3,9 @@
 Markup is stripped to lines, one for each block of text. A line's weight is the number of its characters outside
 links, and none inside navigation, headers, footers, sidebars, notices, adverts, forms and comments. Weights are summed
 over a sliding window of lines: where the sum surges above a threshold the main text begins, and where it dives to
-nothing it ends. All lines with weight between the surge and the dive are kept, however short. Where the page marks its
-article (article, main, role or itemprop), only lines inside it have weight and it is kept from its first to its last.
+nothing it ends. All lines with weight between a surge and its dive are kept, however short, and the spans of a page are
+joined: only lines of links lie between them. Where the page marks its article (article, main, role or itemprop), only
+lines inside it have weight, each enough for a surge, and link lines between them are kept.
 """
 
 from __future__ import annotations
@@ -124,23 +125,22 @@ def main_text(page: str | None) -> str:
     if not lines:
         return ""
     marked = any(inside for _, weight, inside in lines if weight)
-    weights = [weight if inside or not marked else 0 for _, weight, inside in lines]
-    if marked:
-        begin = next(i for i, w in enumerate(weights) if w)
-        end = len(weights) - next(i for i, w in enumerate(reversed(weights)) if w)
-        return " ".join(lines[i][0] for i in range(begin, end) if lines[i][2])
+    weights = [weight if not marked else max(weight, SURGE_CHARS) if inside and weight else 0 for _, weight, inside in lines]
     sums = [sum(weights[i : i + WINDOW_LINES]) for i in range(len(weights))]
-    best, begin, found = 0, None, (0, 0)
-    for i in range(len(sums) + 1):  # the surge and dive with the most text between them
+    spans: list[tuple[int, int]] = []
+    begin = None
+    for i in range(len(sums) + 1):
         if begin is None and i < len(sums) and sums[i] >= SURGE_CHARS:
             begin = i
         elif begin is not None and (i == len(sums) or sums[i] == 0):
-            if sum(weights[begin:i]) > best:
-                best, found = sum(weights[begin:i]), (begin, i)
+            spans.append((begin, i))
             begin = None
-    if not best:  # no surge: a short page is all of its lines with weight
-        found = (0, len(weights))
-    return " ".join(lines[i][0] for i in range(*found) if weights[i])
+    if not spans:  # no surge: a short page is all of its lines with weight
+        spans = [(0, len(weights))]
+    kept = [i for span in spans for i in range(*span) if weights[i]]
+    if marked:  # link lines of the article are part of it
+        kept = [i for i in range(kept[0], kept[-1] + 1) if lines[i][2]]
+    return " ".join(lines[i][0] for i in kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -411,6 +411,16 @@ def test_main_text_of_all_given_pages(spark):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+def test_main_text_is_whole_where_links_cut_it():
+    first, second = "The first part of the article, which is long enough to be a surge of its own, as it is.", "The second part is a little shorter, and it is long enough for a surge of its own too."
+    links = "".join(f'<p><a href="/{i}">Read more of what we have on this</a></p>' for i in range(4))
+    menu = '<div><a href="/">Home of this site</a></div>' * 4
+    bare = f"<body>{menu}<p>{first}</p>{links}<p>{second}</p>{menu}</body>"
+    assert html_text.main_text(bare) == f"{first} {second}"
+    lines = "Read more of what we have on this " * 4
+    assert html_text.main_text(bare.replace(f"<p>{first}", f"<article><p>{first}").replace(f"{second}</p>", f"{second}</p></article>")) == f"{first} {lines}{second}"
+
+
 # --- 10
 
 
