@@ -1,12 +1,13 @@
 """Exact nearest neighbours, novelty and density over vector tables.
 
-Queries are few and broadcast behind a check of their size; each task multiplies its block of vectors with them and
-keeps the best of each query, and only these are shuffled.
+Queries are sent to the tasks in blocks of bounded size; each task multiplies its vectors with a block and keeps the best
+of each query, and only these are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,37 +16,48 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondera.functions.vectors import dot
+from sondera.lineage import cut
 
-#: Queries are sent to every task; beyond so many numbers in them, split the queries.
-MOST_QUERY_NUMBERS = 20_000_000
+#: A block of queries, with the best found for each, holds so many numbers; a task multiplies so many queries at a time.
+MOST_QUERY_NUMBERS, TILE = 20_000_000, 1024
 
 
-def _matrix(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = queries.select("query", "v").toPandas().sort_values("query")
-    m = np.array(rows["v"].tolist(), np.float64)
-    if m.size > MOST_QUERY_NUMBERS:
-        raise ValueError("too many queries for one pass")
-    return rows["query"].to_numpy(np.int64), m
-
-
-def top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, most_numbers: int = MOST_QUERY_NUMBERS) -> DataFrame:
     """(query, id, score, rank): the k vectors of ``corpus`` (id, v) nearest to each of ``queries`` (query, v).
 
-    By cosine of unit vectors; ties go to the smaller id. A query may find fewer than k.
+    By cosine of unit vectors; ties go to the smaller id. A query may find fewer than k. Any number of queries: those
+    beyond ``most_numbers`` go in blocks, one after the other, and the driver holds one block at a time.
     """
-    names, m = _matrix(queries)
+    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    per_block = max(1, most_numbers // (max(dim or 1, 1) + 2 * k))
+    if n <= per_block:
+        return _top_k_of_block(corpus, queries, k)
+    blocks = -(-2 * n // per_block)  # half full, as hashes deal unevenly
+    dealt = cut(queries.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")))
+    found = [cut(_top_k_of_block(corpus, dealt.filter(F.col("block") == b), k)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _top_k_of_block(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.select("query", "v").toPandas().sort_values("query")
+    names, m = rows["query"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.float64)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        tiles = range(0, len(names), TILE)
+        ids = [np.zeros((len(names[t : t + TILE]), 0), np.int64) for t in tiles]
+        scores = [np.zeros(i.shape) for i in ids]
         for batch in batches:
-            if not len(batch) or not len(names):
+            if not len(batch):
                 continue
-            got = m @ np.array(batch["v"].tolist(), np.float64).T
-            ids = np.concatenate([ids, np.broadcast_to(batch["id"].to_numpy(np.int64), got.shape)], axis=1)
-            scores = np.concatenate([scores, got], axis=1)
-            order = np.lexsort((ids, -scores), axis=1)[:, :k]
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-        yield pd.DataFrame({"query": np.repeat(names, ids.shape[1]), "id": ids.ravel(), "score": scores.ravel()})
+            own, v = batch["id"].to_numpy(np.int64), np.array(batch["v"].tolist(), np.float64).T
+            for i, t in enumerate(tiles):
+                got = m[t : t + TILE] @ v
+                every = np.concatenate([ids[i], np.broadcast_to(own, got.shape)], axis=1)
+                score = np.concatenate([scores[i], got], axis=1)
+                order = np.lexsort((every, -score), axis=1)[:, :k]
+                ids[i], scores[i] = np.take_along_axis(every, order, 1), np.take_along_axis(score, order, 1)
+        for t, i, s in zip(tiles, ids, scores):
+            yield pd.DataFrame({"query": np.repeat(names[t : t + TILE], i.shape[1]), "id": i.ravel(), "score": s.ravel()})
 
     part = corpus.select("id", "v").mapInPandas(best, "query long, id long, score double")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.round("score", 9).desc(), "id"))

@@ -243,3 +243,22 @@ def test_shuffled_deals_out_the_same_values(spark):
     rows = spark.range(500).select("id", (F.col("id") * 3).alias("v"))
     got = training.shuffled(rows, "v", "id", 7, bucket_rows=100).collect()
     assert sorted(r["v"] for r in got) == [3 * i for i in range(500)] and sum(r["v"] == 3 * r["id"] for r in got) < 25
+
+
+def test_top_k_takes_any_number_of_queries(spark):
+    """Every 50th vector of 1,500 asks, and blocks hold a few of them only."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(1500):
+        v = [rng.gauss(0, 1) for _ in range(8)]
+        n = sum(x * x for x in v) ** 0.5
+        rows.append((i, [x / n for x in v]))
+    corpus = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = corpus.filter("id % 50 = 0").select(F.col("id").alias("query"), "v")
+    want = {}
+    for q, v in rows[::50]:
+        order = sorted(((-round(sum(a * b for a, b in zip(v, w)), 9), i) for i, w in rows))
+        want |= {(q, r): i for r, (_, i) in enumerate(order[:5], 1)}
+    for most_numbers in (8 * 18, neighbours.MOST_QUERY_NUMBERS):
+        got = neighbours.top_k(corpus, queries, 5, most_numbers).collect()
+        assert len(got) == len(want) and {(r["query"], r["rank"]): r["id"] for r in got} == want
