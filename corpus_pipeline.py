@@ -1,6 +1,6 @@
 """A corpus from raw documents to token ids: five stages, each written as Parquet and read by the next.
 
-language ID -> exact dedup -> SimHash near-dedup -> mixing sources to target weights -> SentencePiece ids
+language ID -> exact dedup -> near-dedup -> mixing sources to target weights -> SentencePiece ids
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from sondera.llm.common import checkpoint_dir, crc_mod
 from sondera.llm.exact_dedup import drop_copies
 from sondera.llm.language_id import UNKNOWN, identify, train
 from sondera.llm.mixing import repeat_by_mix
+from sondera.llm.near_text import drop_similar
 from sondera.llm.sentencepiece_codec import encode
-from sondera.llm.simhash import drop_near_copies
 
 #: Documents whose language is less sure than this are rejected, with those that have none.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -35,8 +35,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, the one with the smallest id."""
-    return drop_near_copies(docs.select(*COLUMNS))
+    """Keep one document of each group of near copies (five-word Jaccard of 0.8), the one with the smallest id."""
+    return drop_similar(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sondera.llm import components, exact_dedup, golay, html_text, language_id, media, mixing, secret_scan, sentencepiece_codec, simhash, toxicity, url_filter
+from sondera.llm import components, exact_dedup, golay, html_text, language_id, media, mixing, near_text, secret_scan, sentencepiece_codec, simhash, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, fp string, score string"
 WORDS = "the cat sat on a mat while rain fell over old town roofs and birds sang in green parks near river banks".split()
@@ -379,6 +379,41 @@ def test_crowded_buckets_lose_no_link(spark):
         assert all(((a ^ b) & (2**64 - 1)).bit_count() <= most for a, b in got)
 
 
+def kept_by_brute_force(texts, least=0.8):
+    """Smallest positions of the groups that pairs with a five-word Jaccard of ``least`` join."""
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m.group().lower(), t or "").encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or len(a & b) >= least * len(a | b) - 1e-9:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return sorted(set(root))
+
+
+def test_similar_texts_equal_brute_force(spark):
+    rng = random.Random(31)
+    texts = odd_texts()
+    passage = [rng.choice(WORDS) for _ in range(40)]  # held by many texts that are no copies
+    base = [rng.choice(WORDS) + str(rng.randint(0, 50)) for _ in range(200)]
+    for n in range(120):
+        own = list(base) if n % 2 else [rng.choice(WORDS) + str(rng.randint(0, 50)) for _ in range(60)] + passage
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(len(own))] = "new" + str(rng.randint(0, 99))
+        texts.append(" ".join(own))
+    df = docs_of(spark, texts)
+    kept = near_text.drop_similar(df)
+    want = kept_by_brute_force(texts)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == df.columns
+    assert len(want) < simhash.drop_near_copies(df).count()  # copies that 4 bits miss
+    assert near_text.drop_similar(empty(df)).count() == 0
+    assert near_text.drop_similar(df.unionByName(df)).count() == len(want)
+
+
 def test_components_of_a_chain(spark):
     n = 200
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1000, 1001), (7, 7)], "a long, b long").repartition(5)
