@@ -414,6 +414,16 @@ def test_similar_texts_equal_brute_force(spark):
     assert near_text.drop_similar(df.unionByName(df)).count() == len(want)
 
 
+def test_similar_texts_with_null_and_repeated_ids(spark):
+    """Different texts stay, each once, whatever their ids; of copies the one with an id stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a + " end"), (None, b), (7, c), (7, "short"), (9, c + " end"), (None, c), (None, "lone"), (None, "lone")]
+    kept = near_text.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 5 and {r["text"] for r in kept if r["doc_id"] == 7} == {c, "short"}
+    alone = [r["text"] for r in kept if r["doc_id"] is None]
+    assert len(alone) == 3 and {b, "lone"} < set(alone) and (a in alone) != (a + " end" in alone)
+
+
 def test_components_of_a_chain(spark):
     n = 200
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1000, 1001), (7, 7)], "a long, b long").repartition(5)
