@@ -110,17 +110,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def _links(found: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """(a, b): links of different sets that join them as all similar pairs would."""
-    distinct = found.groupBy("set_id").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("text_id").alias("text_id"))
-    rows = cut(distinct.select(F.explode("keys").alias("key"), "set_id", "size", "text_id"))
+    distinct = found.groupBy("set_id").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    rows = cut(distinct.select(F.explode("keys").alias("key"), "set_id", "size"))
     buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("held", F.lit(True)))
-    shared = cut(with_hot_apart(rows, buckets, "key", "members").filter("held").select("key", "set_id", "size", "text_id"))
+    shared = cut(with_hot_apart(rows, buckets, "key", "members").filter("held").select("key", "set_id", "size"))
 
     @F.pandas_udf("binary")
     def as_bytes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([shingles(t, words).tobytes() for t in batch], dtype="object")
 
-    needed = shared.select("text_id", "set_id").distinct()
+    needed = shared.select("set_id").distinct().join(found.groupBy("set_id").agg(F.min("text_id").alias("text_id")), "set_id")
     texts = docs.select("text", _text_id()).join(needed, "text_id").dropDuplicates(["set_id"])
     sets = cut(texts.select("set_id", as_bytes("text").alias("s")))
     tried = links = docs.sparkSession.createDataFrame([], "a long, b long")
