@@ -3,7 +3,8 @@
 Rounds of two steps, each one aggregation and one join: in the first, every node links its larger neighbours to the
 smallest node that it knows; in the second, its smaller ones. After a logarithmic number of rounds what is left is a
 star around the smallest node of each component. Links stay distributed; each round is cut from its lineage by a
-checkpoint; the driver sees only a count and a checksum.
+checkpoint; the driver sees only a count and a checksum. A node with very many links is looked up in a broadcast of
+such nodes (1,000 at most), so that its links do not come together in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondera.llm.common import cut
+from sondera.llm.common import cut, with_hot_apart
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,13 +41,13 @@ def _mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node u links each neighbour above u to the smallest of u and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return _tidy(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("links"))
+    return _tidy(with_hot_apart(both.filter("v > u"), least, "u", "links").select(F.col("v").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node u links itself and its neighbours below u to the smallest of them."""
     down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
+    linked = with_hot_apart(down, least, "u", "links").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return _tidy(linked.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))))

@@ -407,11 +407,52 @@ def test_similar_texts_equal_brute_force(spark):
         texts.append(" ".join(own))
     df = docs_of(spark, texts)
     kept = near_text.drop_similar(df)
-    want = kept_by_brute_force(texts)
-    assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == df.columns
-    assert len(want) < simhash.drop_near_copies(df).count()  # copies that 4 bits miss
+    want, got = set(kept_by_brute_force(texts)), {r["doc_id"] for r in kept.collect()}
+    # fingerprints are found by chance near the limit: no document goes that brute force keeps, and 9 of 10 others go
+    assert want <= got and kept.columns == df.columns
+    assert len(texts) - len(got) >= 0.9 * (len(texts) - len(want))
+    assert len(got) < simhash.drop_near_copies(df).count()  # copies that 4 bits miss
     assert near_text.drop_similar(empty(df)).count() == 0
-    assert near_text.drop_similar(df.unionByName(df)).count() == len(want)
+    assert near_text.drop_similar(df.unionByName(df)).count() == len(got)
+
+
+def test_candidates_of_large_buckets(spark):
+    """Buckets that are dealt out in blocks, or cut by verification, join the same sets as buckets taken whole."""
+    rng = random.Random(37)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 50)) for _ in range(120)]
+    texts = []
+    for n in range(80):
+        own = list(base)
+        for _ in range(n % 5):
+            own[rng.randrange(len(own))] = "new" + str(rng.randint(0, 99))
+        texts.append(" ".join(own))
+    docs = docs_of(spark, texts)
+    found = near_text.cut(near_text.text_sets(docs, 5))
+    groups = []
+    for limits in ((1 << 20, 1 << 30), (3, 1 << 30), (1 << 20, 0)):
+        links = near_text.similar_links(found, docs, 5, 0.8, *limits)
+        groups.append({(r["node"], r["component"]) for r in components.components(links).collect()})
+    assert groups[0] and groups[0] == groups[1] == groups[2]
+
+
+def test_forest_joins_what_all_candidates_join():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 30, 200):
+        centres = rng.integers(0, 1 << 62, 4)
+        rest = np.array([int(centres[rng.integers(4)]) ^ sum(1 << int(b) for b in rng.integers(0, 62, rng.integers(0, 14))) for _ in range(n)], np.int64)
+        size = rng.choice([100, 110, 200], n)
+        near = [near_text._near(rest.view(np.uint64), size, i, 0.8) for i in range(n)]
+        root = list(range(n))
+        for i in range(n):
+            for j in np.flatnonzero(near[i]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+        mine, links = list(range(n)), near_text.forest(rest, size, 0.8)
+        for i, j in links:
+            assert near[i][j] and mine[i] != mine[j]
+            low, high = sorted((mine[i], mine[j]))
+            mine = [low if r == high else r for r in mine]
+        assert mine == root
 
 
 def test_similar_texts_with_null_and_repeated_ids(spark):
