@@ -3,8 +3,8 @@
 Rounds of two steps, each one aggregation and one join: in the first, every node links its larger neighbours to the
 smallest node that it knows; in the second, its smaller ones. After a logarithmic number of rounds what is left is a
 star around the smallest node of each component. Links stay distributed; each round is cut from its lineage by a
-checkpoint; the driver sees only a count and a checksum. A node with very many links is looked up in a broadcast of
-such nodes (1,000 at most), so that its links do not come together in one task.
+checkpoint; the driver sees only a count, a checksum and the most links of a node. Once that is over a million, nodes
+with very many links (1,000 at most) are looked up in a broadcast, so that their links do not come together in one task.
 """
 
 from __future__ import annotations
@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from sondera.llm.common import cut, with_hot_apart
 
 
-def components(links: DataFrame) -> DataFrame:
+#: From so many links of one node on, such nodes are joined apart.
+MANY_LINKS = 1 << 20
+
+
+def components(links: DataFrame, many: int = MANY_LINKS) -> DataFrame:
     """(node, component): for each node of ``links`` (a, b), the smallest node that it reaches. No links: no rows."""
     edges = _tidy(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     edges = cut(edges)
-    seen = _mark(edges)
+    seen, most = _mark(edges)
     while seen[0]:
-        edges = cut(_small_star(_large_star(edges)))
-        now = _mark(edges)
+        edges = cut(_small_star(_large_star(edges, most > many), most > many))
+        now, most = _mark(edges)
         if now == seen:
             break
         seen = now
@@ -34,20 +38,29 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select("a", "b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _mark(edges: DataFrame) -> tuple[tuple, int]:
+    """(count and checksum of the edges, most links of a node on either side)."""
+    sides = edges.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("u")), F.struct(F.lit(1).alias("side"), F.col("b").alias("u")))).alias("e"), F.xxhash64("a", "b").cast("decimal(20,0)").alias("h"))
+    by_node = sides.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"))
+    n, h, most = by_node.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+    return (n or 0, h), most or 0
+
+
+def _met(edges: DataFrame, least: DataFrame, many: bool) -> DataFrame:
+    """``edges`` (u, v) with the ``m`` of u."""
+    return with_hot_apart(edges, least, "u", "links") if many else edges.join(least, "u")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, many: bool) -> DataFrame:
     """Every node u links each neighbour above u to the smallest of u and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("links"))
-    return _tidy(with_hot_apart(both.filter("v > u"), least, "u", "links").select(F.col("v").alias("a"), F.col("m").alias("b")))
+    return _tidy(_met(both.filter("v > u"), least, many).select(F.col("v").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: bool) -> DataFrame:
     """Every node u links itself and its neighbours below u to the smallest of them."""
     down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
-    linked = with_hot_apart(down, least, "u", "links").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    linked = _met(down, least, many).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return _tidy(linked.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))))

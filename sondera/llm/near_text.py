@@ -34,6 +34,8 @@ SEGMENTS, SEGMENT_BITS, SPARE_BITS = 4, 21, 22
 MOST_BITS = 16
 #: A task takes a bucket whole up to so many rows and comparisons. Larger ones are dealt out in pairs of blocks.
 MOST_ROWS, MOST_COMPARED, BLOCK_ROWS = 1 << 20, 1 << 30, 1 << 13
+#: Buckets of so many rows are compared together with others of their size.
+SMALL = 24
 #: A set goes to the tasks once for every so many of its candidates.
 PAIRS_A_PART = 10_000
 ROWS = "key long, rest long, id long, size int"
@@ -127,45 +129,81 @@ def _near(bits: np.ndarray, size: np.ndarray, i: int, least: float) -> np.ndarra
 
 
 def _whole_buckets(batches: Iterator[pd.DataFrame], most_rows: int) -> Iterator[tuple[pd.DataFrame, bool]]:
-    """Buckets of rows that come sorted by key: (rows, True) for each, or (some of its rows, False) once it is too large."""
-    rest: list[pd.DataFrame] = []
+    """Rows come sorted by key: (rows of whole buckets, True), or (some rows of a bucket, False) once it is too large."""
+    rest: list[pd.DataFrame] = []  # the last bucket so far, which may go on in the next batch
     large = None
     for batch in batches:
         key = batch["key"].to_numpy()
-        edge = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-        for s, e in zip(edge[:-1], edge[1:]):
-            part = batch.iloc[s:e]
-            if rest and rest[0]["key"].iat[0] != key[s]:
-                yield pd.concat(rest), True
-                rest = []
-            if key[s] == large:
-                yield part, False
-            elif e < len(key) and not rest:
-                if e - s > 1:
-                    yield part, True
-            else:
-                rest.append(part)
-                if sum(map(len, rest)) > most_rows:
-                    yield pd.concat(rest), False
-                    rest, large = [], key[s]
+        if large is not None:
+            to = int(np.searchsorted(key, large, side="right"))
+            if to:
+                yield batch.iloc[:to], False
+            batch, key = batch.iloc[to:], key[to:]
+        if not len(key):
+            continue
+        large, last = None, key[-1]
+        if rest and rest[0]["key"].iat[0] == last:
+            rest.append(batch)
+        else:
+            open_from = int(np.searchsorted(key, last))
+            if rest or open_from:
+                yield pd.concat([*rest, batch.iloc[:open_from]]), True
+            rest = [batch.iloc[open_from:]]
+        if sum(map(len, rest)) > most_rows:
+            yield pd.concat(rest), False
+            rest, large = [], last
     if rest:
         yield pd.concat(rest), True
 
 
+def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the buckets of sorted keys."""
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+def _small_pairs(bits: np.ndarray, size: np.ndarray, starts: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of the bucket, row, row): all candidates of the buckets of ``k`` rows that begin at ``starts``."""
+    one, other = np.triu_indices(k, 1)
+    out = []
+    for at in range(0, len(starts), max(1, (1 << 20) // len(one))):
+        first = starts[at : at + max(1, (1 << 20) // len(one)), None]
+        i, j = first + one, first + other
+        near = (np.bitwise_count(bits[i] ^ bits[j]) <= MOST_BITS) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+        out.append((np.broadcast_to(first, i.shape)[near], i[near], j[near]))
+    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _pairs_frame(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(own[i], own[j]), "b": np.maximum(own[i], own[j])})
+
+
 def _forests(keyed: DataFrame, least: float, most_rows: int, most_compared: int) -> DataFrame:
     """(a, b): spanning forests of the buckets of ``keyed``. Members of a bucket that is too large are linked to themselves."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, whole in _whole_buckets(batches, most_rows):
             own = rows["id"].to_numpy()
-            found = forest(rows["rest"].to_numpy(), rows["size"].to_numpy(), least, most_compared) if whole else None
-            if found is None:
+            if not whole:
                 yield pd.DataFrame({"a": own, "b": own})
-            elif found:
-                at = np.array(found)
-                yield pd.DataFrame({"a": own[at].min(1), "b": own[at].max(1)})
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long").distinct()
+                continue
+            rest, size = rows["rest"].to_numpy(), rows["size"].to_numpy()
+            starts, lengths = _buckets(rows["key"].to_numpy())
+            singly = [(s, n) for s, n in zip(starts[lengths > SMALL].tolist(), lengths[lengths > SMALL].tolist())]
+            for k in range(2, SMALL + 1):
+                at, i, j = _small_pairs(rest.view(np.uint64), size, starts[lengths == k], k, least)
+                bucket, first, n = np.unique(at, return_index=True, return_counts=True)
+                yield _pairs_frame(own, i[first[n == 1]], j[first[n == 1]])
+                singly += ((s, k) for s in bucket[n > 1].tolist())
+            for s, n in singly:
+                found = forest(rest[s : s + n], size[s : s + n], least, most_compared)
+                if found is None:
+                    yield pd.DataFrame({"a": own[s : s + n], "b": own[s : s + n]})
+                elif found:
+                    i, j = np.array(found).T
+                    yield _pairs_frame(own[s : s + n], i, j)
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_gathered(compare), "a long, b long").distinct()
 
 
 def _in_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -186,18 +224,37 @@ def _between(keyed: DataFrame, least: float) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, _ in _whole_buckets(batches, 1 << 62):
-            bits, size, own, of = (rows[c].to_numpy() for c in ("rest", "size", "id", "component"))
-            bits, a, b = bits.view(np.uint64), [], []
-            for i in range(1, len(own)):
-                near = np.flatnonzero(_near(bits[: i + 1], size[: i + 1], i, least) & (of[: i + 1] != of[i]))
-                a.append(np.full(len(near), own[i]))
-                b.append(own[near])
-                if sum(map(len, a[-1000:])) > 1 << 18 or i == len(own) - 1:
-                    one, other = np.concatenate(a), np.concatenate(b)
-                    yield pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})
-                    a, b = [], []
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long").distinct()
+            rest, size, own, of = (rows[c].to_numpy() for c in ("rest", "size", "id", "component"))
+            bits = rest.view(np.uint64)
+            starts, lengths = _buckets(rows["key"].to_numpy())
+            for k in range(2, SMALL + 1):
+                _, i, j = _small_pairs(bits, size, starts[lengths == k], k, least)
+                apart = of[i] != of[j]
+                yield _pairs_frame(own, i[apart], j[apart])
+            for s, n in zip(starts[lengths > SMALL].tolist(), lengths[lengths > SMALL].tolist()):
+                for i in range(s + 1, s + n):
+                    near = s + np.flatnonzero(_near(bits[s : i + 1], size[s : i + 1], i - s, least) & (of[s : i + 1] != of[i]))
+                    if len(near):
+                        yield _pairs_frame(own, near, np.full(len(near), i))
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_gathered(compare), "a long, b long").distinct()
+
+
+def _gathered(compare: Callable, rows: int = 1 << 16) -> Callable:
+    """``compare`` with its small frames put together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in compare(batches):
+            if len(frame):
+                held.append(frame)
+            if sum(map(len, held[-64:])) > rows or len(held) > 4096:
+                yield pd.concat(held)
+                held = []
+        if held:
+            yield pd.concat(held)
+
+    return run
 
 
 def text_sets(docs: DataFrame, words: int) -> DataFrame:
