@@ -4,13 +4,13 @@ The operator of ``simhash.py`` in its general form. A set of shingles has a fing
 bits, each a word of the Golay code with two leading zeros, and 22 bits that are only compared. A segment names up to
 six codewords near it. Two sets of Jaccard 0.8 differ in 15 % of their bits, some three of a segment; whatever the
 errors, one half of the segments has no more than its share of them, so the keys are the codewords of every two
-segments. Members of a bucket are candidates where the 64 bits that the key does not come from differ in 16 at most and
+segments. Members of a bucket are candidates where the 64 bits that the key does not come from differ in 15 at most and
 the sizes allow the Jaccard; candidates are then verified by their whole sets, so that no link is false.
 
 The keys meet for 87 % of all pairs of Jaccard 0.8, 94 % at 0.85 and 98 % at 0.9 (simulated); what is found of groups
-is more, since a group has many links. Of the candidates a bucket gives a spanning forest, with its most central member
-as the root. Where verification cuts such a tree into several components, all candidates between different ones follow
-in a second round: the groups are those that all verified candidates would give.
+is more, since a group has many links. Of its candidates a bucket gives a spanning forest. Verification leaves some of
+these trees whole, and cuts others into parts that may be linked in another way: parts that a Jaccard of 0.6 joins are
+then compared all with all, fingerprints first, in blocks of bounded size, and only links come out.
 """
 
 from __future__ import annotations
@@ -30,10 +30,14 @@ from sondera.llm.components import components
 
 SHINGLE_WORDS, LEAST_JACCARD, SEED = 5, 0.8, 42
 SEGMENTS, SEGMENT_BITS, SPARE_BITS = 4, 21, 22
-#: Bits of 64 in which a candidate may differ: 2.2 standard deviations above the mean at a Jaccard of 0.8.
-MOST_BITS = 16
+#: Bits of 64, and of all, in which a candidate may differ: 2.0 and 2.5 standard deviations above the mean at a Jaccard of 0.8.
+MOST_BITS, MOST_OF_ALL = 15, 25
+#: Sets are related from this Jaccard on; less is a meeting by chance.
+RELATED = 0.6
 #: A task takes a bucket whole up to so many rows and comparisons. Larger ones are dealt out in pairs of blocks.
 MOST_ROWS, MOST_COMPARED, BLOCK_ROWS = 1 << 20, 1 << 30, 1 << 13
+#: Sets and bytes of sets in a block, where related sets are compared all with all.
+BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
 #: Buckets of so many rows are compared together with others of their size.
 SMALL = 24
 #: A set goes to the tasks once for every so many of its candidates.
@@ -99,23 +103,21 @@ def _spread(nodes: DataFrame) -> DataFrame:
     return dealt.mapInPandas(spread, ROWS)
 
 
-def forest(rest: np.ndarray, size: np.ndarray, least: float, most: int = MOST_COMPARED) -> list[tuple[int, int]] | None:
-    """(member, root or earlier member): a spanning forest of the candidates of a bucket; None if it takes over ``most`` comparisons."""
-    bits = rest.view(np.uint64)
-    n = len(bits)
-    if n > 2:  # the member nearest to what most members have
-        middle = np.packbits(np.unpackbits(bits.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) * 2 > n, bitorder="little").view(np.uint64)[0]
-        root = int(np.argmin(np.bitwise_count(bits ^ middle)))
-    else:
-        root = 0
+def forest(own: np.ndarray, rest: np.ndarray, size: np.ndarray, least: float, most: int = MOST_COMPARED) -> list[tuple[int, int]] | None:
+    """A spanning forest of the candidates of a bucket, as positions; None if it takes over ``most`` comparisons.
+
+    The smallest id is the first root, so that the buckets of a group name few different links.
+    """
+    bits, n, root = rest.view(np.uint64), len(rest), int(np.argmin(own))
     with_root = _near(bits, size, root, least)
     out = [(int(i), root) for i in np.flatnonzero(with_root) if i != root]
     others = np.flatnonzero(~with_root)
     if len(others) * n > most:
         return None
     tree = np.where(with_root, root, np.arange(n))
-    for i in others:
+    for i in others[np.argsort(own[others])]:
         near = np.flatnonzero(_near(bits, size, i, least))
+        near = near[np.argsort(own[near])]
         trees, first = np.unique(tree[near], return_index=True)
         for t, at in zip(trees, near[first]):
             if t != tree[i]:
@@ -196,7 +198,7 @@ def _forests(keyed: DataFrame, least: float, most_rows: int, most_compared: int)
                 yield _pairs_frame(own, i[first[n == 1]], j[first[n == 1]])
                 singly += ((s, k) for s in bucket[n > 1].tolist())
             for s, n in singly:
-                found = forest(rest[s : s + n], size[s : s + n], least, most_compared)
+                found = forest(own[s : s + n], rest[s : s + n], size[s : s + n], least, most_compared)
                 if found is None:
                     yield pd.DataFrame({"a": own[s : s + n], "b": own[s : s + n]})
                 elif found:
@@ -219,27 +221,6 @@ def _in_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return each.withColumn("key", pair).drop("_n", "_own", "_other", "members")
 
 
-def _between(keyed: DataFrame, least: float) -> DataFrame:
-    """(a, b): all candidates of the buckets of ``keyed`` (with ``component``) whose components differ."""
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, _ in _whole_buckets(batches, 1 << 62):
-            rest, size, own, of = (rows[c].to_numpy() for c in ("rest", "size", "id", "component"))
-            bits = rest.view(np.uint64)
-            starts, lengths = _buckets(rows["key"].to_numpy())
-            for k in range(2, SMALL + 1):
-                _, i, j = _small_pairs(bits, size, starts[lengths == k], k, least)
-                apart = of[i] != of[j]
-                yield _pairs_frame(own, i[apart], j[apart])
-            for s, n in zip(starts[lengths > SMALL].tolist(), lengths[lengths > SMALL].tolist()):
-                for i in range(s + 1, s + n):
-                    near = s + np.flatnonzero(_near(bits[s : i + 1], size[s : i + 1], i - s, least) & (of[s : i + 1] != of[i]))
-                    if len(near):
-                        yield _pairs_frame(own, near, np.full(len(near), i))
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_gathered(compare), "a long, b long").distinct()
-
-
 def _gathered(compare: Callable, rows: int = 1 << 16) -> Callable:
     """``compare`` with its small frames put together."""
 
@@ -286,20 +267,62 @@ def _with_sets(pairs: DataFrame, side: str, sets: DataFrame, name: str) -> DataF
     return numbered.join(dealt.select(side, "_part", F.col("s").alias(name)), [side, "_part"]).drop("_part")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): the pairs whose sets (set_id, s: the hashes as binary) have a Jaccard of ``least``."""
+def _jaccards(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of pairs of sets (set_id, s: the hashes as binary)."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("double")
     def of(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(left, right):
             p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
             both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-        return pd.Series(out, dtype="bool")
+            out.append(both / (len(p) + len(q) - both))
+        return pd.Series(out, dtype="float64")
 
     both = _with_sets(_with_sets(pairs, "a", sets, "left"), "b", sets, "right")
-    return both.filter(of("left", "right")).select("a", "b")
+    return both.select("a", "b", of("left", "right").alias("jaccard"))
+
+
+def links_among(rows: pd.DataFrame, least: float) -> list[tuple[int, int]]:
+    """Links of a Jaccard of ``least`` that join the sets of ``rows`` (set_id, part, block, low, high, s) as all such pairs would.
+
+    Sets of one ``part`` are joined already. Where there are two blocks, only pairs between them count: those inside one meet elsewhere.
+    """
+    own, block = rows["set_id"].to_numpy(), rows["block"].to_numpy()
+    low, high = (rows[c].to_numpy().view(np.uint64) for c in ("low", "high"))
+    high = high & np.uint64((1 << SEGMENT_BITS + SPARE_BITS) - 1)
+    sets = [np.frombuffer(s, np.int64) for s in rows["s"]]
+    size, apart = np.array([len(x) for x in sets]), len(set(block.tolist())) > 1
+    tree, out = np.unique(rows["part"].to_numpy(), return_inverse=True)[1], []
+    for i in range(1, len(own)):
+        near = (np.bitwise_count(low[:i] ^ low[i]) + np.bitwise_count(high[:i] ^ high[i]) <= MOST_OF_ALL) & (tree[:i] != tree[i])
+        near &= np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i]) - 1e-9
+        met = np.flatnonzero(near & (block[:i] != block[i]) if apart else near)
+        if not len(met):
+            continue
+        at = np.concatenate(([0], np.cumsum(size[met])[:-1]))
+        flat = np.concatenate([sets[j] for j in met])
+        both = np.add.reduceat(sets[i][np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)] == flat, at, dtype=np.int64)
+        for j in met[both >= least * (size[met] + size[i] - both) - 1e-9]:
+            if tree[j] != tree[i]:
+                out.append((int(own[j]), int(own[i])))
+                tree[tree == tree[j]] = tree[i]
+    return out
+
+
+def _links_of_related(related: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, block_sets: int, block_bytes: int) -> DataFrame:
+    """(a, b): links among the sets of each ``tree`` of ``related`` (set_id, part, tree), as all pairs of a tree would give."""
+    full = related.join(nodes, "set_id")
+    trees = cut(full.groupBy("tree").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("size") * 8).alias("bytes")))
+    full = with_hot_apart(full, trees, "tree", "members")
+    n = F.ceil(F.greatest(F.col("members") / block_sets, F.col("bytes") / block_bytes)).cast("int")
+    dealt = full.withColumns({"n": n, "block": F.pmod(F.xxhash64("set_id"), n).cast("int")})
+    dealt = cut(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("tree", "set_id", "part", "block", "low", "high", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(links_among(rows, least), columns=["a", "b"], dtype="int64")
+
+    return dealt.join(sets, "set_id").groupBy("tree", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def _sets_of(nodes: DataFrame, found: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -315,8 +338,10 @@ def _sets_of(nodes: DataFrame, found: DataFrame, docs: DataFrame, words: int) ->
     return one.select("set_id", as_bytes("text").alias("s"))
 
 
-def similar_links(found: DataFrame, docs: DataFrame, words: int, least: float, most_rows: int = MOST_ROWS, most_compared: int = MOST_COMPARED) -> DataFrame:
-    """(a, b): links that join the sets of ``found`` as all verified candidates would."""
+def similar_links(
+    found: DataFrame, docs: DataFrame, words: int, least: float, most_rows: int = MOST_ROWS, most_compared: int = MOST_COMPARED, block_sets: int = BLOCK_SETS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """(a, b): links of verified Jaccard between the sets of ``found``. The limits bound tasks and change no group."""
     nodes = found.groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("size", "low", "high"))).filter("size > 0")
     tried = cut(_forests(_spread(nodes), least, most_rows, most_compared))
     crowded = cut(tried.filter("a = b").select(F.col("a").alias("set_id")))
@@ -326,20 +351,21 @@ def similar_links(found: DataFrame, docs: DataFrame, words: int, least: float, m
         tried = cut(tried.filter("a <> b").unionByName(_forests(_in_blocks(rows, counts), least, 1 << 62, 1 << 62)).distinct())
     needed = tried.select(F.col("a").alias("set_id")).unionByName(tried.select(F.col("b").alias("set_id"))).distinct()
     sets = cut(_sets_of(needed, found, docs, words))
-    links = cut(_verified(tried, sets, least))
-    # trees of candidates that verification has cut: all candidates between their components
-    trees = components(tried)
-    placed = trees.join(components(links).withColumnsRenamed({"node": "_node", "component": "now"}), F.col("node") == F.col("_node"), "left")
-    placed = cut(placed.select(F.col("node").alias("set_id"), F.col("component").alias("tree"), F.coalesce("now", "node").alias("component")))
-    cut_trees = cut(placed.groupBy("tree").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y"))
-    if cut_trees.isEmpty():
+    measured = cut(_jaccards(tried, sets))
+    close = F.col("jaccard") >= least - 1e-9
+    links = measured.filter(close).select("a", "b")
+    parts = cut(components(links))
+    between = measured.filter((F.col("jaccard") >= RELATED) & ~close).select("a", "b")
+    for side in ("a", "b"):
+        between = between.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    trees = cut(components(between.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()))
+    if trees.isEmpty():
         return links
-    doubtful = cut(with_hot_apart(placed, cut_trees, "tree", "members").filter("members is not null").select("set_id", "component"))
-    rows = _spread(nodes.join(doubtful.select("set_id"), "set_id")).join(doubtful.withColumnRenamed("set_id", "id"), "id")
-    rows = cut(rows.select("key", "rest", "id", "size", "component"))
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("x"), F.max("component").alias("y"))
-    more = cut(_between(_in_blocks(rows, cut(counts.filter("x <> y").select("key", "members"))), least).join(tried, ["a", "b"], "left_anti"))
-    return links.unionByName(cut(_verified(more, sets, least)))
+    trees = trees.select(F.col("node").alias("part"), F.col("component").alias("tree"))
+    members = needed.join(parts, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("component", "set_id").alias("part"))
+    sizes = members.groupBy("part").agg(F.count(F.lit(1)).alias("members")).join(trees, "part")
+    related = cut(with_hot_apart(members, cut(sizes), "part", "members").filter("tree is not null").select("set_id", "part", "tree"))
+    return links.unionByName(cut(_links_of_related(related, nodes, sets, least, block_sets, block_bytes)))
 
 
 def drop_similar(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = LEAST_JACCARD) -> DataFrame:

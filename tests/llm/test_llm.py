@@ -429,7 +429,7 @@ def test_candidates_of_large_buckets(spark):
     docs = docs_of(spark, texts)
     found = near_text.cut(near_text.text_sets(docs, 5))
     groups = []
-    for limits in ((1 << 20, 1 << 30), (3, 1 << 30), (1 << 20, 0)):
+    for limits in ((1 << 20, 1 << 30), (3, 1 << 30, 10), (1 << 20, 0, 1024, 4000)):
         links = near_text.similar_links(found, docs, 5, 0.8, *limits)
         groups.append({(r["node"], r["component"]) for r in components.components(links).collect()})
     assert groups[0] and groups[0] == groups[1] == groups[2]
@@ -447,7 +447,7 @@ def test_forest_joins_what_all_candidates_join():
             for j in np.flatnonzero(near[i]):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
-        mine, links = list(range(n)), near_text.forest(rest, size, 0.8)
+        mine, links = list(range(n)), near_text.forest(rng.permutation(n), rest, size, 0.8)
         for i, j in links:
             assert near[i][j] and mine[i] != mine[j]
             low, high = sorted((mine[i], mine[j]))
