@@ -8,9 +8,9 @@ segments. Members of a bucket are candidates where the 64 bits that the key does
 the sizes allow the Jaccard; candidates are then verified by their whole sets, so that no link is false.
 
 The keys meet for 87 % of all pairs of Jaccard 0.8, 94 % at 0.85 and 98 % at 0.9 (simulated); what is found of groups
-is more, since a group has many links. Of its candidates a bucket gives a spanning forest. Verification leaves some of
-these trees whole, and cuts others into parts that may be linked in another way: parts that a Jaccard of 0.6 joins are
-then compared all with all, fingerprints first, in blocks of bounded size, and only links come out.
+is more, since a group has many links. Of its candidates a bucket gives a spanning forest. Of these each set is verified
+with its nearest, and the parts that come of it with each other by their nearest members. Parts that a Jaccard of 0.6
+joins are then compared all with all, fingerprints first, in blocks of bounded size, and only links come out.
 """
 
 from __future__ import annotations
@@ -176,18 +176,18 @@ def _small_pairs(bits: np.ndarray, size: np.ndarray, starts: np.ndarray, k: int,
     return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _pairs_frame(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.minimum(own[i], own[j]), "b": np.maximum(own[i], own[j])})
+def _pairs_frame(own: np.ndarray, rest: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(own[i], own[j]), "b": np.maximum(own[i], own[j]), "bits": np.bitwise_count(rest.view(np.uint64)[i] ^ rest.view(np.uint64)[j]).astype(np.int32)})
 
 
 def _forests(keyed: DataFrame, least: float, most_rows: int, most_compared: int) -> DataFrame:
-    """(a, b): spanning forests of the buckets of ``keyed``. Members of a bucket that is too large are linked to themselves."""
+    """(a, b, bits): spanning forests of the buckets of ``keyed``. Members of a bucket that is too large are linked to themselves."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, whole in _whole_buckets(batches, most_rows):
             own = rows["id"].to_numpy()
             if not whole:
-                yield pd.DataFrame({"a": own, "b": own})
+                yield pd.DataFrame({"a": own, "b": own, "bits": np.int32(0)})
                 continue
             rest, size = rows["rest"].to_numpy(), rows["size"].to_numpy()
             starts, lengths = _buckets(rows["key"].to_numpy())
@@ -195,17 +195,18 @@ def _forests(keyed: DataFrame, least: float, most_rows: int, most_compared: int)
             for k in range(2, SMALL + 1):
                 at, i, j = _small_pairs(rest.view(np.uint64), size, starts[lengths == k], k, least)
                 bucket, first, n = np.unique(at, return_index=True, return_counts=True)
-                yield _pairs_frame(own, i[first[n == 1]], j[first[n == 1]])
+                yield _pairs_frame(own, rest, i[first[n == 1]], j[first[n == 1]])
                 singly += ((s, k) for s in bucket[n > 1].tolist())
             for s, n in singly:
                 found = forest(own[s : s + n], rest[s : s + n], size[s : s + n], least, most_compared)
                 if found is None:
-                    yield pd.DataFrame({"a": own[s : s + n], "b": own[s : s + n]})
+                    yield pd.DataFrame({"a": own[s : s + n], "b": own[s : s + n], "bits": np.int32(0)})
                 elif found:
                     i, j = np.array(found).T
-                    yield _pairs_frame(own[s : s + n], i, j)
+                    yield _pairs_frame(own[s : s + n], rest[s : s + n], i, j)
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_gathered(compare), "a long, b long").distinct()
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_gathered(compare), "a long, b long, bits int")
+    return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 def _in_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -348,17 +349,25 @@ def similar_links(
     if not crowded.isEmpty():
         rows = cut(_spread(nodes.join(crowded, "set_id")))
         counts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-        tried = cut(tried.filter("a <> b").unionByName(_forests(_in_blocks(rows, counts), least, 1 << 62, 1 << 62)).distinct())
+        tried = cut(tried.filter("a <> b").unionByName(_forests(_in_blocks(rows, counts), least, 1 << 62, 1 << 62)))
     needed = tried.select(F.col("a").alias("set_id")).unionByName(tried.select(F.col("b").alias("set_id"))).distinct()
     sets = cut(_sets_of(needed, found, docs, words))
-    measured = cut(_jaccards(tried, sets))
     close = F.col("jaccard") >= least - 1e-9
-    links = measured.filter(close).select("a", "b")
+    # each set with its nearest candidate
+    both = tried.select(F.col("a").alias("u"), F.col("b").alias("v"), "bits").unionByName(tried.select(F.col("b").alias("u"), F.col("a").alias("v"), "bits"))
+    nearest = both.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("m")).select(F.least("u", "m.v").alias("a"), F.greatest("u", "m.v").alias("b")).distinct()
+    links = cut(_jaccards(nearest, sets)).filter(close).select("a", "b")
     parts = cut(components(links))
-    between = measured.filter((F.col("jaccard") >= RELATED) & ~close).select("a", "b")
+    # each two parts with candidates between them, by the nearest
+    between = tried
     for side in ("a", "b"):
         between = between.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-    trees = cut(components(between.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()))
+    between = between.filter("of_a <> of_b").groupBy(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y")).agg(F.min(F.struct("bits", "a", "b")).alias("m"))
+    between = cut(between.select("x", "y", "m.a", "m.b"))
+    measured = cut(_jaccards(between.select("a", "b"), sets))
+    links = links.unionByName(measured.filter(close).select("a", "b"))
+    related = between.join(measured.filter(F.col("jaccard") >= RELATED), ["a", "b"])
+    trees = cut(components(related.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     if trees.isEmpty():
         return links
     trees = trees.select(F.col("node").alias("part"), F.col("component").alias("tree"))
