@@ -468,8 +468,8 @@ def test_similar_texts_with_null_and_repeated_ids(spark):
 def test_components_of_a_chain(spark):
     n = 60
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1000, 1001), (7, 7)], "a long, b long").repartition(5)
-    for many in (components.MANY_LINKS, 0):
-        got = {r["node"]: r["component"] for r in components.components(chain, many).collect()}
+    for limits in ((), (components.MANY_LINKS, 10), (0, 20)):
+        got = {r["node"]: r["component"] for r in components.components(chain, *limits).collect()}
         assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
 
 
