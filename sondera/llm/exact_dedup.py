@@ -2,7 +2,8 @@
 
 The index is a table of one row per distinct text, bucketed and sorted by the text's digest. New documents are
 reduced to one row per digest (the row with the largest id), anti-joined with the index by sort-merge, and what is
-new is appended. The index side is never shuffled or sorted as a whole: its buckets are the join's partitions.
+new is appended. The index side is never shuffled: its buckets are the join's partitions. A bucket to which several
+batches were appended has several sorted files, and its task sorts it again for the join.
 
 Only DataFrame and SQL functions run here.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondera.llm.common import ascii_lower, cut, table, with_hot_apart
@@ -41,6 +42,9 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, found: DataFrame, batch: str) -> None:
         """Add the digests of ``found`` (doc_id, text_sha256, row) that the index hasn't got."""
         best = found.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -51,18 +55,22 @@ class DigestIndex:
         writer.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.name)
 
 
-def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None, first: Column | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     ``keep_id`` is the document that stands for the text in the index; ``group_size`` counts the rows of its batch.
-    Against an empty index the row with the largest id stays. Nulls: a null text is empty, a null id is the smallest.
-    An empty table gives no rows. Of repeated rows (equal id and text) one is kept. Other columns are not read.
+    Rows for which ``first`` holds are appended before the others, which then meet an index that has them. Of texts new
+    to the index the row with the largest id stays. Nulls: a null text is empty, a null id is the smallest. An empty
+    table gives no rows. Of repeated rows (equal id and text) one is kept. Texts are digested whole, however long. Other
+    columns are not read. A text that holds a large part of the batch is looked up apart.
     """
     batch = batch or uuid.uuid4().hex
     found = cut(digests(docs))
-    index.append(found, batch)
-    known = index.read().select("text_sha256", "keep_id", "keep_row", "group_size", F.col("batch").alias("of_batch"))
-    joined = with_hot_apart(found, known, "text_sha256", "group_size")
+    for part in [found] if first is None else [found.filter(F.coalesce(first, F.lit(False))), found.filter(~F.coalesce(first, F.lit(False)))]:
+        index.append(part, batch)
+    sizes = found.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"))
+    known = index.read().select("text_sha256", "keep_id", "keep_row", F.col("batch").alias("of_batch")).join(sizes, "text_sha256")
+    joined = with_hot_apart(found, cut(known), "text_sha256", "group_size")
     kept = (F.col("of_batch") == batch) & (F.col("row") == F.col("keep_row"))
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "row")
 
@@ -76,7 +84,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     found = cut(digests(docs))
     index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
     index.append(found, "all")
-    stays = index.read().select("keep_id", F.col("text_sha256").alias("_keep_sha"))
+    stays = cut(index.read().select("keep_id", F.col("text_sha256").alias("_keep_sha")))
+    index.drop()
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if ids.filter((F.col("n") > 1) | F.col("doc_id").isNull()).isEmpty():
         return docs.join(stays, F.col("doc_id") == F.col("keep_id"), "left_semi")
@@ -86,8 +95,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The half of the documents with the larger ids makes the index, the other half is deduplicated against it and appended."""
+    docs = table(spark, sf_dir, "documents")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return dedup(table(spark, sf_dir, "documents"), index).drop("row")
+    found = cut(dedup(docs, index, first=F.col("doc_id") >= F.lit(middle)).drop("row"))
+    index.drop()
+    return found
 
 
 OP3_SQL = """

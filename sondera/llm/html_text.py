@@ -29,6 +29,7 @@ _RAW = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|math|i
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")  # not the last / of a bare value
 #: Elements that end a line, elements that hold no main text, elements without an end tag.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _CHROME = frozenset("aside button dialog footer form head header label menu nav".split())
@@ -48,7 +49,7 @@ def _kind(name: str, attributes: str, in_article: bool) -> str:
     found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(attributes)} if attributes else {}
     role = found.get("role", "").lower()
     if name == "article" or name == "main" or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
-        return "chrome" if _CHROME_NAMES.search(f"{found.get('class', '')} {found.get('id', '')}") and name == "article" and in_article else "article"
+        return "chrome" if name == "article" and _CHROME_NAMES.search(f"{found.get('class', '')} {found.get('id', '')}") else "article"
     if name in _CHROME and not (name in ("header", "label") and in_article):
         return "chrome"
     if role in _CHROME_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
@@ -108,7 +109,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     article -= kind == "article"
                     if gone == name:
                         break
-        elif not attributes.rstrip().endswith("/"):
+        elif not _CLOSED.search(attributes):
             kind = _kind(name, attributes, article > 0)
             if kind or name in _OWN_END:
                 stack.append((name, kind))
@@ -144,7 +145,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with text and n_chars (code points). Rows are independent; columns of those names are replaced."""
+    """``pages`` with text and n_chars (code points). Columns of those names are replaced.
+
+    A null or empty page has an empty text of 0 characters. Rows are independent, so repeated rows get equal answers; an
+    empty table gives no rows. Pages are read whole, in time that grows with their length.
+    """
 
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -40,6 +40,8 @@ MOST_ROWS, MOST_COMPARED, BLOCK_ROWS = 1 << 20, 1 << 30, 1 << 13
 BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
 #: Buckets of so many rows are compared together with others of their size.
 SMALL = 24
+#: Rows of one id each that are broadcast at most; more are joined by shuffle.
+FEW = 250_000
 #: A set goes to the tasks once for every so many of its candidates.
 PAIRS_A_PART = 10_000
 ROWS = "key long, rest long, id long, size int"
@@ -335,10 +337,15 @@ def _sets_of(nodes: DataFrame, found: DataFrame, docs: DataFrame, words: int) ->
             yield pd.Series([shingles(t, words).tobytes() for t in batch], dtype="object")
 
     texts = found.join(nodes, "set_id").groupBy("set_id").agg(F.min("text_id").alias("text_id"))
-    one = docs.select("text", _text_id()).join(texts, "text_id").dropDuplicates(["set_id"])
+    one = docs.select("text", _text_id()).join(_checked(cut(texts)), "text_id").dropDuplicates(["set_id"])
     return one.select("set_id", as_bytes("text").alias("s"))
 
 
+def _checked(ids: DataFrame) -> DataFrame:
+    """``ids`` for the small side of a join: broadcast where a count shows that they are few, so that no text is shuffled."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
 def similar_links(
     found: DataFrame, docs: DataFrame, words: int, least: float, most_rows: int = MOST_ROWS, most_compared: int = MOST_COMPARED, block_sets: int = BLOCK_SETS, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -394,7 +401,8 @@ def drop_similar(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = LEA
     stays = cut(stays.select(F.col("first.doc_id").alias("_keep"), F.col("first.text_id").alias("_keep_text")))
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if ids.filter((F.col("n") > 1) | F.col("doc_id").isNull()).isEmpty():
-        return docs.join(stays, F.col("doc_id") == F.col("_keep"), "left_semi")
+        gone = cut(found.join(stays, F.col("doc_id") == F.col("_keep"), "left_anti").select(F.col("doc_id").alias("_gone")))
+        return docs.join(_checked(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     keyed = docs.withColumn("_text_id", _text_id())
     kept = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_text_id") == F.col("_keep_text")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_text_id"]).drop("_text_id")

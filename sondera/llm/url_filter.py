@@ -1,23 +1,26 @@
 """URL filter: given rules by host and path, and association rules mined from labels.
 
-Spark's FP-growth mines the token combinations of labelled urls together with their label. Rules that lead to a label
-are pruned by support, confidence and lift. A url is matched by inverted index: each token names the rules that need
-it, and a rule fits when it was named once for each of its tokens. The mined rules are the model: pruning bounds their
-number, and they travel to the tasks as a constant.
+Spark's FP-growth mines the token combinations of labelled urls together with their label. Tokens that stand in just the
+same urls are mined as one, and tokens of all urls are left out: both change no verdict. Rules that lead to a label are
+pruned by support, confidence and lift, and a rule goes where part of its tokens says the same with no less confidence:
+whatever it fits, the shorter one fits too. All other rules are kept, as a table.
+
+A url is matched by inverted index: each rule is listed under its rarest token, urls meet the rules that are listed under
+their tokens, and a rule fits if all its tokens are there. Different urls with the same tokens are matched once.
 
 Only DataFrame, SQL and spark.ml functions run here.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondera.llm.common import UPPER, cut, table
+from sondera.llm.common import UPPER, cut, table, with_hot_apart
 
 #: Fixed values: (verdict, host and path) of the given rules.
 RULES = (
@@ -27,9 +30,8 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MOST_TOKENS = 0.002, 0.6, 1.2, 4
-#: The model keeps so many mined rules at most, those of the highest confidence and support.
-MOST_RULES = 2000
+#: A rule needs this share of the labelled urls and so many of them, this confidence and this lift; it has so many tokens at most.
+MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_LIFT, MOST_TOKENS = 0.002, 5, 0.6, 1.2, 4
 BLOCK, ALLOW = "label:block", "label:allow"
 
 
@@ -56,7 +58,7 @@ def first_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
 def tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens of a url: scheme, parts of the host, its last two labels, path words, file ending, query names.
 
-    Numbers are left out: they name single pages.
+    Numbers are left out: they name single pages. A null url, and one without ://, has no tokens.
     """
     whole = F.coalesce(url, F.lit(""))
 
@@ -73,61 +75,102 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         named("query:", F.regexp_extract_all(query, F.lit(r"([^&=]+)(?:=[^&]*)?"), 1)),
         named("fragment:", F.regexp_extract_all(whole, F.lit(r"#(.+)$"), 1)),
     )
-    return F.array_sort(F.array_distinct(F.filter(every, lambda t: ~t.rlike(r"^\w+:\d*$"))))
+    return F.when(F.instr(whole, "://") > 0, F.array_sort(F.array_distinct(F.filter(every, lambda t: ~t.rlike(r"^\w+:\d*$"))))).otherwise(F.array().cast("array<string>"))
 
 
 @dataclass(frozen=True)
 class MinedRules:
-    """tokens that a rule needs, and its verdict; the first rules are the strongest."""
-
-    needs: list[list[str]]
-    verdicts: list[str]
-
-    def verdict(self, url_tokens: Column) -> Column:
-        """The verdict of the strongest rule whose tokens are all there, or null."""
-        if not self.needs:
-            return F.lit(None).cast("string")
-        index: dict[str, list[int]] = {}
-        for i, need in enumerate(self.needs):
-            for t in need:
-                index.setdefault(t, []).append(i)
-        by_token = F.from_json(F.lit(json.dumps(index)), "map<string,array<int>>")
-        sizes = F.from_json(F.lit(json.dumps([len(n) for n in self.needs])), "array<int>")
-        verdicts = F.from_json(F.lit(json.dumps(self.verdicts)), "array<string>")
-        named = F.flatten(F.filter(F.transform(url_tokens, lambda t: F.try_element_at(by_token, t)), lambda x: x.isNotNull()))
-        fits = F.filter(F.array_distinct(named), lambda r: F.size(F.filter(named, lambda x: x == r)) == F.get(sizes, r))
-        return F.get(verdicts, F.array_min(fits))
-
-
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> MinedRules:
-    """Association rules of ``labelled`` (tokens array, blocked boolean) that lead to a label. No rows: no rules."""
-    labelled = cut(labelled.filter("blocked is not null").select("tokens", "blocked"))
+    """The model, as tables.
+
+    ``classes``: (token, class) of the tokens that occur in rules; ``rules``: (key, need, strength, verdict), the classes
+    that a rule needs and the rarest of them, the smallest strength first; ``default``: what is said without a rule.
+    """
+
+    classes: DataFrame
+    rules: DataFrame
+    default: str
+
+    def verdicts(self, urls: DataFrame) -> DataFrame:
+        """``urls`` (with tokens) and the ``mined`` verdict of the strongest rule whose tokens are all there, or null."""
+        sets = cut(urls.groupBy("tokens").agg(F.count(F.lit(1)).alias("urls")))
+        known = sets.select("tokens", F.explode("tokens").alias("token")).join(self.classes, "token").groupBy("tokens").agg(F.collect_set("class").alias("has"))
+        met = known.withColumn("key", F.explode("has")).join(self.rules, "key").filter(F.forall("need", lambda t: F.array_contains("has", t)))
+        best = met.groupBy("tokens").agg(F.min(F.struct("strength", "verdict")).alias("best"))
+        judged = cut(sets.join(best.select("tokens", F.col("best.verdict").alias("mined")), "tokens"))
+        return with_hot_apart(urls, judged, "tokens", "urls").drop("urls")
+
+
+def _token_classes(labelled: DataFrame, rows: int, least: int) -> DataFrame:
+    """(token, class, urls) of the tokens in ``least`` or more labelled urls, not in all: tokens of the same urls are one class.
+
+    There are no more than the mean number of tokens of a url, divided by the least support.
+    """
+    mark = F.xxhash64("url_no").cast("decimal(38,0)")
+    own = labelled.select(F.explode("tokens").alias("token"), mark.alias("mark")).groupBy("token").agg(F.count(F.lit(1)).alias("urls"), F.sum("mark").alias("mark"))
+    own = own.filter((F.col("urls") >= least) & (F.col("urls") < rows))
+    return own.withColumn("class", F.min("token").over(W.partitionBy("urls", "mark"))).select("token", "class", "urls")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> MinedRules:
+    """Association rules of ``labelled`` (tokens array, blocked boolean) that lead to a label.
+
+    Rows without a label don't count. Without a rule the label of more urls is said; where these tie, or there are none,
+    urls are allowed.
+    """
+    spark = labelled.sparkSession
+    labelled = cut(labelled.filter("blocked is not null").select("tokens", "blocked", F.monotonically_increasing_id().alias("url_no")))
     rates = {r[0]: r[1] for r in labelled.groupBy("blocked").count().collect()}
     rows = sum(rates.values())
+    default = "block" if rates.get(True, 0) > rates.get(False, 0) else "allow"
     if not rows:
-        return MinedRules([], [])
-    baskets = labelled.select(F.concat("tokens", F.array(F.when(F.col("blocked"), BLOCK).otherwise(ALLOW))).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
+        return MinedRules(spark.createDataFrame([], "token string, class string"), spark.createDataFrame([], "key string, need array<string>, strength double, verdict string"), default)
+    least = max(min_rows, min_support * rows)
+    classes = cut(_token_classes(labelled, rows, least))
+    named = labelled.select("url_no", "blocked", F.explode_outer("tokens").alias("token")).join(classes, "token", "left")
+    baskets = named.groupBy("url_no", "blocked").agg(F.collect_set("class").alias("classes"))
+    baskets = cut(baskets.select(F.concat("classes", F.array(F.when(F.col("blocked"), BLOCK).otherwise(ALLOW))).alias("items")))
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / rows), minConfidence=min_confidence).fit(baskets).associationRules
     is_label = F.col("consequent")[0].isin(BLOCK, ALLOW)
     plain = F.forall("antecedent", lambda t: ~t.isin(BLOCK, ALLOW)) & (F.size("antecedent") <= MOST_TOKENS)
-    best = found.filter(is_label & plain & (F.col("lift") >= MIN_LIFT)).select(
-        F.array_sort("antecedent").alias("need"), (F.col("consequent")[0] == BLOCK).alias("block"), "confidence", "support"
-    )
-    best = best.orderBy(F.desc("confidence"), F.desc("support"), F.size("need"), F.desc("block"), F.array_join("need", " ")).limit(MOST_RULES).collect()
-    return MinedRules([r["need"] for r in best], ["block" if r["block"] else "allow" for r in best])
+    said = F.when(F.col("consequent")[0] == BLOCK, "block").otherwise("allow")
+    found = cut(found.filter(is_label & plain & (F.col("lift") >= MIN_LIFT)).select(F.array_sort("antecedent").alias("need"), said.alias("verdict"), "confidence", "support"))
+    # a rule with a token too many: without it no less confident
+    shorter = F.transform("need", lambda t: F.array_remove("need", t))
+    parts = found.filter(F.size("need") > 1).select("need", "verdict", "confidence", F.explode(shorter).alias("part"))
+    every = found.select(F.col("need").alias("part"), "verdict", F.col("confidence").alias("of_part"))
+    best_part = cut(_best_of_parts(parts, every))
+    kept = found.join(best_part, ["need", "verdict"], "left").filter(F.col("of_part").isNull() | (F.col("of_part") < F.col("confidence") - 1e-12))
+    urls = classes.groupBy("class").agg(F.first("urls").alias("urls"))
+    rarest = kept.select("*", F.explode("need").alias("class")).join(urls, "class").groupBy("need", "verdict", "confidence", "support").agg(F.min_by("class", F.struct("urls", "class")).alias("key"))
+    strength = F.struct(-F.col("confidence"), -F.col("support"), F.size("need"), F.col("verdict") != "block", F.array_join("need", " ")).alias("strength")
+    return MinedRules(classes.select("token", "class"), cut(rarest.select("key", "need", strength, "verdict")), default)
+
+
+def _best_of_parts(parts: DataFrame, every: DataFrame) -> DataFrame:
+    """(need, verdict, of_part): the highest confidence among all rules of part of a rule's tokens, level by level."""
+    found = None
+    for _ in range(MOST_TOKENS - 1):
+        met = parts.join(every, ["part", "verdict"]).select("need", "verdict", "of_part")
+        found = met if found is None else found.unionByName(met)
+        parts = parts.select("need", "verdict", "confidence", F.explode(F.transform("part", lambda t: F.array_remove("part", t))).alias("part")).filter(F.size("part") > 0).distinct()
+    return found.groupBy("need", "verdict").agg(F.max("of_part").alias("of_part"))
 
 
 def judge_urls(pages: DataFrame, mined: MinedRules, rules: tuple = RULES) -> DataFrame:
-    """``pages`` with host, path, rule, verdict. Columns of those names are replaced; rows are independent.
+    """``pages`` with host, path, rule, verdict. Columns of those names, and tokens and mined, are replaced.
 
-    A null url, or one without ://, has empty host and path and no tokens: no rule fits, and it is allowed.
+    A null url, or one without ://, has empty host and path and no tokens: no rule fits, and it gets the default. Repeated
+    rows get equal answers, an empty table gives no rows, urls are read whole. The longest given rule wins; of mined rules
+    the most confident, then the one of more urls, fewer tokens, the one that blocks, and the first by its tokens.
     """
+    pages = pages.drop("tokens", "mined")
     host, path = host_and_path(F.col("url"))
     with_parts = pages.withColumns({"host": host, "path": path})
     with_rule = with_parts.withColumn("_given", first_rule(F.col("host"), F.col("path"), rules))
-    by_method = mined.verdict(tokens(F.col("url"), F.col("host"), F.col("path")))
-    verdict = F.coalesce(F.col("_given.verdict"), by_method, F.lit("allow"))
-    return with_rule.withColumns({"rule": F.col("_given.rule"), "verdict": verdict}).drop("_given")
+    asked = with_rule.withColumn("tokens", F.when(F.col("_given").isNull(), tokens(F.col("url"), F.col("host"), F.col("path"))))
+    verdict = F.coalesce(F.col("_given.verdict"), F.col("mined"), F.lit(mined.default))
+    judged = mined.verdicts(asked).withColumns({"rule": F.col("_given.rule"), "verdict": verdict})
+    return judged.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", "rule", "verdict")
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:

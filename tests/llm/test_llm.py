@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -169,18 +170,61 @@ def test_url_rules_equal_brute_force(spark):
                 best = (verdict, rule)
         return host, path, best and best[1], best[0] if best else "allow"
 
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, url_filter.MinedRules([], [])).collect()}
+    no_rules = url_filter.mine(spark.createDataFrame([], "tokens array<string>, blocked boolean"))
+    assert no_rules.default == "allow" and no_rules.rules.isEmpty()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, no_rules).collect()}
     assert got == {i: brute(u) for i, u in enumerate(urls)}
 
 
-def test_mined_rules_match_as_sets(spark):
-    rows = [(["host:spam", "path:en"], True)] * 30 + [(["host:good", "path:en"], False)] * 60 + [(["host:spam", "path:de"], False)] * 20
+def mined_by_brute_force(rows, support, confidence, least_rows):
+    """(tokens, verdict, strength) of all rules of up to four tokens, with nothing pruned, and the default."""
+    labelled = [(frozenset(t), b) for t, b in rows if b is not None]
+    n, blocked = len(labelled), sum(b for _, b in labelled)
+    least, found = max(least_rows, support * n), []
+    every = sorted({t for own, _ in labelled for t in own})
+    for k in range(1, 5):
+        for need in combinations(every, k):
+            of = [b for own, b in labelled if own >= set(need)]
+            for label, base in ((True, blocked / n), (False, 1 - blocked / n)):
+                both = sum(b == label for b in of)
+                if both >= least and both / len(of) >= confidence and both / len(of) / base >= url_filter.MIN_LIFT - 1e-9:
+                    found.append((set(need), "block" if label else "allow", (-both / len(of), -both / n, k, not label, " ".join(need))))
+    return found, "block" if blocked > n - blocked else "allow"
+
+
+def test_mined_verdicts_equal_brute_force(spark):
+    rng = random.Random(17)
+    hosts = ["spam", "good", "shop", "news"]
+    for blocked_share in (0.3, 0.9):
+        rows = []
+        for _ in range(200):
+            host, lang = rng.choice(hosts), rng.choice(["en", "de", "fr"])
+            bad = (host == "spam" and lang != "de") or (host == "shop" and rng.random() < 0.8)
+            bad = bad if blocked_share == 0.3 else not (host == "good" and lang == "en")
+            rows.append(([f"host:{host}", f"site:{host}.x", "scheme:https", f"path:{lang}", *(["query:q"] * (rng.random() < 0.3))], bad))
+        rows += [(["host:spam"], None), ([], False), (["host:spam", "path:en"], True)]  # no label; no token; a host without its site
+        mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+        rules, default = mined_by_brute_force(rows, url_filter.MIN_SUPPORT, url_filter.MIN_CONFIDENCE, url_filter.MIN_ROWS)
+        asked = [sorted(set(t)) for t, _ in rows] + [["site:spam.x", "path:en"], ["host:new"], ["host:good", "path:en", "other"], None]
+        asked = asked + asked[:50]
+        want = []
+        for t in asked:
+            fits = [r for r in rules if r[0] <= set(t or [])]
+            want.append(min(fits, key=lambda r: (round(r[2][0], 12), round(r[2][1], 12), *r[2][2:]))[1] if fits else None)
+        urls = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "page_id long, tokens array<string>")
+        got = {r["page_id"]: r["mined"] for r in mined.verdicts(urls).collect()}
+        assert [got[i] for i in range(len(asked))] == want and mined.default == default
+        assert {"block", None} <= set(want) or {"allow", None} <= set(want)
+
+
+def test_url_filter_on_odd_tables(spark):
+    long = "https://spam.org/" + "x/" * 20_000
+    pages = spark.createDataFrame([(1, None), (2, "spam"), (3, long), (3, long), (None, "https://spam.net/a/1"), (4, "https://good.net/a/1")], "page_id long, url string").withColumns({"tokens": F.lit(1), "mined": F.lit(2)})
+    rows = [(["host:spam"], True)] * 30 + [(["host:good"], False)] * 60
     mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
-    t = spark.createDataFrame([(["host:spam", "path:en"],), (["host:spam"],), (["host:good", "path:en", "x"],), ([],)], "tokens array<string>")
-    need = [(set(n), v) for n, v in zip(mined.needs, mined.verdicts)]
-    want = [next((v for n, v in need if n <= set(r[0])), None) for r in t.collect()]
-    assert [r[0] for r in t.select(mined.verdict(F.col("tokens"))).collect()] == want and want[0] == "block" and want[3] is None
-    assert url_filter.mine(spark.createDataFrame([], "tokens array<string>, blocked boolean")).needs == []
+    got = sorted((r["page_id"] or 0, r["verdict"]) for r in url_filter.judge_urls(pages, mined).collect())
+    assert got == [(0, "block"), (1, "allow"), (2, "allow"), (3, "block"), (3, "block"), (4, "allow")]
+    assert url_filter.judge_urls(pages.filter("page_id < 0"), mined).count() == 0
 
 
 # --- 5
@@ -498,6 +542,16 @@ def test_main_text_of_all_given_pages(spark):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+def test_comments_beside_the_article_and_bare_attributes(spark):
+    page = "<article><h1>Title</h1><p>Body text.</p><div data-u=/x/>more</div></article><article class='comment'><p>Nice article, says a reader.</p></article><p>after</p>"
+    assert html_text.main_text(page) == "Title Body text. more"
+    rows = [(1, page, 9), (1, page, 9), (2, None, 9), (3, "", 9), (4, "<p>" + "word " * 200_000 + "</p>", 9)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, n_chars long")
+    got = sorted((r["page_id"], r["n_chars"], len(r["text"])) for r in html_text.extract(pages).collect())
+    assert got == [(1, 21, 21), (1, 21, 21), (2, 0, 0), (3, 0, 0), (4, 999_999, 999_999)]
+    assert html_text.extract(pages.filter("page_id < 0")).count() == 0
+
+
 def test_main_text_is_whole_where_links_cut_it():
     first, second = "The first part of the article, which is long enough to be a surge of its own, as it is.", "The second part is a little shorter, and it is long enough for a surge of its own too."
     links = "".join(f'<p><a href="/{i}">Read more of what we have on this</a></p>' for i in range(4))
