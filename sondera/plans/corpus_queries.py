@@ -99,20 +99,20 @@ def j10(spark, d) -> DataFrame:
 
 
 @query("a37_patent_activity", sql("works names", f"""
-WITH p AS (SELECT * FROM works WHERE id % 5 = 1 AND observed_at <= DATE '{AS_OF}'), hit AS (SELECT name, id, observed_at, row_number() OVER (PARTITION BY name ORDER BY observed_at DESC, id) AS rn FROM names JOIN p ON contains(tok, ' ' || name))
+WITH p AS (SELECT * FROM works WHERE starts_with(field, 'src1') AND observed_at <= DATE '{AS_OF}'), hit AS (SELECT name, id, observed_at, row_number() OVER (PARTITION BY name ORDER BY observed_at DESC, id) AS rn FROM names JOIN p ON contains(tok, ' ' || name))
 SELECT n.name, count(*) FILTER (WHERE observed_at > DATE '{AS_OF}' - 730) AS recent, count(*) FILTER (WHERE observed_at <= DATE '{AS_OF}' - 730 AND observed_at > DATE '{AS_OF}' - 1460) AS before,
   coalesce(array_to_string(list(id ORDER BY rn) FILTER (WHERE rn <= 3), ','), '') AS newest FROM names n LEFT JOIN hit USING (name) GROUP BY n.name"""))
 def a37(spark, d) -> DataFrame:
-    got = footprint.patent_activity(V.works(spark, d).filter("id % 5 = 1"), V.names(spark, d), AS_OF)
+    got = footprint.patent_activity(V.patents(spark, d), V.names(spark, d), AS_OF)
     return got.withColumn("newest", F.array_join(F.transform("newest", lambda x: x.cast("string")), ","))
 
 
 @query("f17_patent_growth", sql("works names", f"""
 SELECT n.name, round(CASE WHEN count(*) FILTER (WHERE observed_at <= DATE '{AS_OF}' - 730 AND observed_at > DATE '{AS_OF}' - 1460) > 0 THEN
   CAST(count(*) FILTER (WHERE observed_at > DATE '{AS_OF}' - 730) AS DOUBLE) / count(*) FILTER (WHERE observed_at <= DATE '{AS_OF}' - 730 AND observed_at > DATE '{AS_OF}' - 1460) END, 6) AS growth
-FROM names n LEFT JOIN works w ON contains(tok, ' ' || n.name) AND w.id % 5 = 1 AND observed_at <= DATE '{AS_OF}' GROUP BY n.name"""))
+FROM names n LEFT JOIN works w ON contains(tok, ' ' || n.name) AND starts_with(w.field, 'src1') AND observed_at <= DATE '{AS_OF}' GROUP BY n.name"""))
 def f17(spark, d) -> DataFrame:
-    got = footprint.patent_activity(V.works(spark, d).filter("id % 5 = 1"), V.names(spark, d), AS_OF)
+    got = footprint.patent_activity(V.patents(spark, d), V.names(spark, d), AS_OF)
     return got.select("name", r6(stats.growth(F.col("recent"), F.col("before")), "growth"))
 
 

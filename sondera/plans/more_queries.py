@@ -68,7 +68,7 @@ def j3(spark, d) -> DataFrame:
 
 
 @query("n1_grounding", sql("vectors works", f"""WITH m AS (SELECT id FROM works WHERE junk OR observed_at > DATE '{AS_OF}'), s AS (SELECT b.id AS query, a.id AS id, row_number() OVER (PARTITION BY b.id ORDER BY round({_DOT}, 9) DESC, a.id) AS rank
-  FROM vectors a, vectors b WHERE b.id < 10 AND a.id NOT IN (FROM m)) SELECT query, id, rank FROM s WHERE rank <= 8"""))
+  FROM vectors a, vectors b WHERE b.id % 50 = 0 AND a.id NOT IN (FROM m)) SELECT query, id, rank FROM s WHERE rank <= 8"""))
 def n1(spark, d) -> DataFrame:
     """Nearest works, none that is junk or from after the cut."""
     w = V.works(spark, d)
@@ -77,20 +77,19 @@ def n1(spark, d) -> DataFrame:
     return got.select("query", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("o10_ties_by_id", sql("vectors", f"SELECT query, id FROM (SELECT b.id AS query, a.id AS id, row_number() OVER (PARTITION BY b.id ORDER BY round({_DOT}, 9) DESC, a.id) AS rank FROM (SELECT id, v FROM vectors UNION ALL SELECT id + 100000, v FROM vectors) a, vectors b WHERE b.id < 10) WHERE rank <= 6"))
+@query("o10_ties_by_id", sql("vectors", f"SELECT query, id FROM (SELECT b.id AS query, a.id AS id, row_number() OVER (PARTITION BY b.id ORDER BY round({_DOT}, 9) DESC, a.id) AS rank FROM (SELECT id, v FROM vectors UNION ALL SELECT -id - 1, v FROM vectors) a, vectors b WHERE b.id % 50 = 0) WHERE rank <= 6"))
 def o10(spark, d) -> DataFrame:
     """Every vector stands there twice: of equal scores the smaller id comes first."""
     v = V.vectors(spark, d).select("id", "v")
-    return neighbours.top_k(v.unionByName(v.withColumn("id", F.col("id") + 100000)), _queries(spark, d), 6).select("query", "id")
+    return neighbours.top_k(v.unionByName(v.withColumn("id", -F.col("id") - 1)), _queries(spark, d), 6).select("query", "id")
 
 
-@query("j9_nearest_facet", sql("vectors", f"SELECT id, facet FROM (SELECT a.id, b.id AS facet, row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}, 9) DESC, b.id) AS rn FROM vectors a, vectors b WHERE b.id < 6) WHERE rn = 1"))
+@query("j9_nearest_facet", sql("vectors", f"SELECT id, facet FROM (SELECT a.id, b.id AS facet, row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}, 9) DESC, b.id) AS rn FROM vectors a, vectors b WHERE b.id % 50 = 0) WHERE rn = 1"))
 def j9(spark, d) -> DataFrame:
-    """Each work joins the facet that it is nearest to."""
+    """Each work joins the facet that it is nearest to: works ask, facets answer."""
     v = V.vectors(spark, d).select("id", "v")
-    facets = v.filter("id < 6").select(F.col("id").alias("facet"), F.col("v").alias("f"))
-    score = F.struct(F.round(vectors.dot(F.col("v"), F.col("f")), 9).alias("s"), (-F.col("facet")).alias("f"))
-    return v.join(F.broadcast(facets)).groupBy("id").agg((-F.max(score)["f"]).alias("facet"))
+    nearest = neighbours.top_k(v.filter("id % 50 = 0"), v.withColumnRenamed("id", "query"), 1)
+    return nearest.select(F.col("query").alias("id"), F.col("id").alias("facet"))
 
 
 @query("j13_row_locator", sql("names", "WITH p AS (SELECT p_name, min(p_partkey) AS k, string_split(p_name, ' ') AS w FROM part GROUP BY p_name), t AS (SELECT p_name || ' from store' AS said FROM part GROUP BY p_name) SELECT said, min(k) AS row_id FROM t JOIN p ON len(list_filter(w, lambda x: list_contains(string_split(said, ' '), x))) = len(w) GROUP BY said"))
@@ -125,7 +124,7 @@ def a13(spark, d) -> DataFrame:
     return V.candidates(spark, d).agg(F.count_if(on_scale & same).alias("agreed"), F.count_if(on_scale & ~same).alias("disagreed"), F.count_if(~on_scale).alias("outside"))
 
 
-@query("a15_hub_diagnostics", sql("vectors", f"WITH k AS (SELECT query, id, s FROM (SELECT b.id AS query, a.id AS id, {_DOT} AS s, row_number() OVER (PARTITION BY b.id ORDER BY round({_DOT}, 9) DESC, a.id) AS rank FROM vectors a, vectors b WHERE b.id < 10) WHERE rank <= 20) SELECT count(*) AS found, count(DISTINCT id) AS distinct_ids, (SELECT max(n) FROM (SELECT count(*) AS n FROM k GROUP BY id)) AS busiest FROM k"))
+@query("a15_hub_diagnostics", sql("vectors", f"WITH k AS (SELECT query, id, s FROM (SELECT b.id AS query, a.id AS id, {_DOT} AS s, row_number() OVER (PARTITION BY b.id ORDER BY round({_DOT}, 9) DESC, a.id) AS rank FROM vectors a, vectors b WHERE b.id % 50 = 0) WHERE rank <= 20) SELECT count(*) AS found, count(DISTINCT id) AS distinct_ids, (SELECT max(n) FROM (SELECT count(*) AS n FROM k GROUP BY id)) AS busiest FROM k"))
 def a15(spark, d) -> DataFrame:
     k = neighbours.top_k(V.vectors(spark, d), _queries(spark, d), 20).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return k.agg(F.sum("n").alias("found"), F.count(F.lit(1)).alias("distinct_ids"), F.max("n").alias("busiest"))

@@ -30,6 +30,11 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("junk", junk(F.col("source"), F.col("term_raw"), F.col("work_type")))
 
 
+def patents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of the sources that hold patents."""
+    return works(spark, sf_dir).filter("startswith(field, 'src1')")
+
+
 def junk(source, term_raw, work_type):
     """Works without content: of openalex, a bare title or a type that has no text."""
     return (source == "openalex") & ((F.length(term_raw) < 60) | F.coalesce(work_type.isin(*JUNK_TYPES), F.lit(False)))
@@ -44,8 +49,8 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model annotations of works: technique, role."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0")
+    """Model annotations of works: technique, role. French works have none."""
+    d = table(spark, sf_dir, "documents").filter("lang <> 'fr'")
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9]{5,}"), 0)
     role = F.get(F.array(*map(F.lit, ("proposes", "uses", "reviews", "none"))), (F.col("doc_id") % 4).cast("int"))
     model = F.when(F.col("doc_id") % 2 == 0, "m0").otherwise("m1")
@@ -120,7 +125,7 @@ SQL = {
   GROUP BY w HAVING count(*) * 50 >= (SELECT count(*) FROM documents) AND count(*) * 5 <= (SELECT count(*) FROM documents))""",
     "mentions": """mentions AS (SELECT doc_id AS signal_id, CASE WHEN doc_id % 2 = 0 THEN 'm0' ELSE 'm1' END AS model,
     coalesce(regexp_extract_all(lower(text), '[a-z][a-z0-9]{5,}')[1], '') AS tech,
-    list_extract(['proposes', 'uses', 'reviews', 'none'], CAST(doc_id % 4 + 1 AS INT)) AS role FROM documents WHERE doc_id % 3 <> 0)""",
+    list_extract(['proposes', 'uses', 'reviews', 'none'], CAST(doc_id % 4 + 1 AS INT)) AS role FROM documents WHERE lang <> 'fr')""",
     "vectors": """vectors AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label, DATE '2018-01-01' + CAST((vec_id * 29) % 2192 AS INT) AS observed_at FROM embeddings)""",
     "headlines": """headlines AS (SELECT o_orderkey AS n, p_name AS label,
     CASE o_orderkey % 5 WHEN 0 THEN p_name || ' startup raises $' || (o_custkey % 90 + 1) || 'M seed'
