@@ -160,29 +160,33 @@ def p18(spark, d) -> DataFrame:
 
 
 def _cards(spark, d) -> DataFrame:
-    """Cards with two cited headlines each: one sentence cites well, one invents a number, one has no reference."""
+    """Cards with two cited headlines each: numbers that the sources hold or not, references that are alive, dead or absent."""
     h = V.headlines(spark, d)
-    card = F.concat(F.lit("Plant "), F.col("n").cast("string"), F.lit(" got money [1]. It has 98765 robots [1, 2]. Nothing cited here. A dead one [7]."))
-    return h.select(F.col("n").alias("id"), card.alias("text"), F.array(F.concat(F.lit("plant "), F.col("n").cast("string")), "title").alias("cited"))
+    n = F.col("n")
+    robots = F.when(n % 3 == 0, n).otherwise(n + 98765).cast("string")
+    last = F.when(n % 4 == 0, "2").otherwise("7")
+    card = F.concat(F.lit("Plant "), n.cast("string"), F.lit(" got money [1]. It has "), robots, F.lit(" robots [1, 2]. Nothing cited here. An end ["), last, F.lit("]."))
+    return h.select(n.alias("id"), card.alias("text"), F.array(F.concat(F.lit("plant "), n.cast("string")), "title").alias("cited"))
 
 
-@query("v2_cited_only", sql("headlines", "SELECT n AS id, 'Plant ' || n || ' got money [1].' AS clean FROM headlines"))
+@query("v2_cited_only", sql("headlines", "SELECT n AS id, 'Plant ' || n || ' got money [1].' || CASE WHEN n % 3 = 0 THEN ' It has ' || n || ' robots [1, 2].' ELSE '' END || CASE WHEN n % 4 = 0 THEN ' An end [2].' ELSE '' END AS clean FROM headlines"))
 def v2(spark, d) -> DataFrame:
     return verify.cited_only(_cards(spark, d)).select("id", "clean")
 
 
-@query("a24_drop_reasons", sql("headlines", "SELECT r AS reason, count(*) AS n FROM (SELECT unnest(['', 'invented number', 'no reference', 'dead reference']) AS r FROM headlines) GROUP BY r"))
+@query("a24_drop_reasons", sql("headlines", """WITH r AS (SELECT unnest(['', 'no reference', CASE WHEN n % 3 = 0 THEN '' ELSE 'invented number' END, CASE WHEN n % 4 = 0 THEN '' ELSE 'dead reference' END]) AS reason FROM headlines)
+SELECT reason, count(*) AS n FROM r GROUP BY reason"""))
 def a24(spark, d) -> DataFrame:
     each = _cards(spark, d).select("cited", F.explode(verify.sentences(F.col("text"))).alias("s"))
     return each.groupBy(verify.drop_reason(F.col("s"), F.col("cited")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v3_invented_numbers", sql("headlines", "SELECT n AS id, '98765' AS numbers FROM headlines"))
+@query("v3_invented_numbers", sql("headlines", "SELECT n AS id, CASE WHEN n % 3 = 0 THEN '' ELSE CAST(n + 98765 AS VARCHAR) END AS numbers FROM headlines"))
 def v3(spark, d) -> DataFrame:
     return _cards(spark, d).select("id", F.array_join(text.invented_numbers(F.col("text"), F.col("cited")), ",").alias("numbers"))
 
 
-@query("f11_references", sql("headlines", "SELECT n AS id, '1,1,2,7' AS refs FROM headlines"))
+@query("f11_references", sql("headlines", "SELECT n AS id, '1,1,2,' || CASE WHEN n % 4 = 0 THEN '2' ELSE '7' END AS refs FROM headlines"))
 def f11(spark, d) -> DataFrame:
     return _cards(spark, d).select("id", F.array_join(F.transform(text.references("text"), lambda x: x.cast("string")), ",").alias("refs"))
 

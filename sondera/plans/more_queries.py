@@ -34,9 +34,12 @@ def f6(spark, d) -> DataFrame:
     return c.select("label", r6(F.sqrt(vectors.dot(F.col("c"), F.col("c"))), "norm"))
 
 
-@query("f12_scripts", "SELECT doc_id, false AS is_foreign, false AS cyrillic FROM documents")
+@query("f12_scripts", "SELECT doc_id, doc_id % 3 = 2 AS is_foreign, doc_id % 3 = 1 AS cyrillic FROM documents")
 def f12(spark, d) -> DataFrame:
-    return V.table(spark, d, "documents").select("doc_id", text.foreign_script("text").alias("is_foreign"), text.has_cyrillic("text").alias("cyrillic"))
+    """Texts as they are, with a Russian word at their end, and with a Chinese one."""
+    k = F.col("doc_id") % 3
+    told = F.concat("text", F.when(k == 1, " привет").when(k == 2, " 漢字").otherwise(" déjà ελλάς"))
+    return V.table(spark, d, "documents").select("doc_id", text.foreign_script(told).alias("is_foreign"), text.has_cyrillic(told).alias("cyrillic"))
 
 
 @query("f14_json_fields", sql("job_events", "SELECT seq, CAST(data->>'$.k' AS INT) AS k FROM job_events"))
@@ -209,11 +212,11 @@ def m24(spark, d) -> DataFrame:
     return both.select("id", F.array_join(F.transform("x", lambda x: x["w"]), " ").alias("name"))
 
 
-@query("m25_rescore", sql("candidates", f"WITH {_FEATS} SELECT key, round(abs(confidence - confidence), 6) AS changed FROM h"))
+@query("m25_rescore", sql("candidates", f"WITH {_FEATS} SELECT key, round(abs(confidence - CASE WHEN key % 2 = 0 THEN confidence ELSE place / 100.0::DOUBLE END), 6) AS changed FROM o"))
 def m25(spark, d) -> DataFrame:
-    """Scores from stored fields against scores made now."""
+    """Scores from stored fields, every other of which has since changed, against scores made now."""
     s = _scored(spark, d)
-    stored = s.select("key", F.to_json(F.struct("confidence")).alias("body"))
+    stored = s.select("key", F.to_json(F.struct(F.when(F.col("key") % 2 == 0, F.col("confidence")).otherwise(F.col("place") / 100.0).alias("confidence"))).alias("body"))
     return s.join(stored, "key").select("key", r6(F.abs(F.col("confidence") - F.from_json("body", "confidence double")["confidence"]), "changed"))
 
 

@@ -57,10 +57,12 @@ def n4(spark, d) -> DataFrame:
     return neighbours.coherence(V.vectors(spark, d), _queries(spark, d)).withColumn("coherence", F.round("coherence", 6))
 
 
-@query("f5_normalise", sql("vectors", "SELECT id, round(sqrt(list_dot_product(v, v)) / greatest(sqrt(list_dot_product(v, v)), 1e-9), 6) AS norm FROM vectors"))
+@query("f5_normalise", sql("vectors", "SELECT id, round(CASE WHEN id % 11 = 0 THEN 0 ELSE v[1] / sqrt(list_dot_product(v, v)) END, 6) AS first, CASE WHEN id % 11 = 0 THEN 0 ELSE 1 END AS norm FROM vectors"))
 def f5(spark, d) -> DataFrame:
-    v = V.vectors(spark, d).select("id", vectors.normalise(F.col("v")).alias("u"))
-    return v.select("id", F.round(F.sqrt(vectors.dot(F.col("u"), F.col("u"))), 6).alias("norm"))
+    """Vectors of other lengths have the direction that they had; a zero vector stays zero."""
+    scale = F.when(F.col("id") % 11 == 0, 0.0).otherwise(F.col("id") % 7 + 0.5)
+    v = V.vectors(spark, d).select("id", vectors.normalise(F.transform("v", lambda x: x * scale)).alias("u"))
+    return v.select("id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.sqrt(vectors.dot(F.col("u"), F.col("u"))), 6).cast("int").alias("norm"))
 
 
 @query("g1_variant_groups")
