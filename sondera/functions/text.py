@@ -54,7 +54,7 @@ def without(words: Column, stop: list[str]) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of a-z and 0-9."""
-    return F.filter(F.split(F.lower(_col(text)), "[^a-z0-9]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), 0)
 
 
 def padded(text: Column | str) -> Column:

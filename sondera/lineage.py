@@ -1,4 +1,4 @@
-"""Cutting the lineage of intermediate tables in a place that all executors share."""
+"""How tables lie on the cluster: lineage cut in a place that all executors share, small inputs dealt out."""
 
 from __future__ import annotations
 
@@ -20,3 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there, with no lineage before it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores is dealt out to all of them; others stay as they are read.
+
+    For work that is dear by the row, as on long texts: a small file is one split, a large table has enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sondera.functions.text import SHORT_CORE, core_matches, loose_tokens, loose_words, padded, tokens, windows
 from sondera.lineage import cut
 
+HEAD = 3  # letters of a name's second token that are part of its key
+
 
 def visible(works: DataFrame, as_of: str, open_sources: tuple = ("arxiv",)) -> DataFrame:
     """Works with content that were out by the date, of sources or fields that had begun by then."""
@@ -61,12 +63,16 @@ def core_postings(works: DataFrame, names: DataFrame) -> DataFrame:
     found = each.join(by_prefix.unionByName(whole.select("token", "name")), "token").select("name", "id", "observed_at")
     if not want.filter("single").limit(1).count():
         found = found.limit(0)
-    if most > 1:  # names of several tokens: from each place of their first token, look ahead
-        ahead = held.select("id", "observed_at", F.explode(windows(F.col("t"), most)).alias("run"))
-        ahead = ahead.select("id", "observed_at", F.get("run", F.lit(0)).alias("first"), F.array_compact("run").alias("run"))
+    if most > 1:  # names of several tokens: places where their first two tokens may stand, then the rest from there
+        begun = long_names.withColumn("head", F.substring(F.get("w", F.lit(1)), 1, HEAD))
+        sizes = sorted(r[0] for r in begun.select(F.length("head")).distinct().collect())  # at most HEAD of them
+        second = F.get("run", F.lit(1))
+        ahead = held.select("id", "observed_at", F.explode(windows(F.col("t"), most)).alias("run")).filter(second.isNotNull())
+        keys = F.array_distinct(F.array(*(F.substring(second, 1, n) for n in sizes)))
+        ahead = ahead.select("id", "observed_at", F.get("run", F.lit(0)).alias("first"), F.explode(keys).alias("head"), F.array_compact("run").alias("run"))
         n = F.size("w")
         fits = (F.size("run") >= n) & (F.slice("run", 1, n - 1) == F.slice("w", 1, n - 1)) & F.startswith(F.get("run", n - 1), F.get("w", n - 1))
-        found = found.unionByName(ahead.join(long_names, "first").filter(fits).select("name", "id", "observed_at"))
+        found = found.unionByName(ahead.join(begun, ["first", "head"]).filter(fits).select("name", "id", "observed_at"))
     return found.distinct()
 
 
@@ -76,7 +82,10 @@ def footprint(works: DataFrame, names: DataFrame, as_of: str) -> DataFrame:
 
 
 def label_footprint(works: DataFrame, labels: DataFrame, as_of: str) -> DataFrame:
-    """Footprint of labels (column ``name``) of two words or more: works that hold all their words, in any order."""
+    """Footprint of labels (column ``name``) of two words or more: works that hold all their words, in any order.
+
+    A label meets the works of its rarest word only; there its other words are looked up.
+    """
     held = visible(works, as_of).select("id", "observed_at", F.explode(F.array_distinct(tokens("term_raw"))).alias("token"))
     want = cut(labels.select("name").distinct().filter(F.size(loose_words("name")) > 1).select("name", F.explode(F.array_distinct(loose_tokens(F.col("name")))).alias("word")))
     n_words = want.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
@@ -85,8 +94,14 @@ def label_footprint(works: DataFrame, labels: DataFrame, as_of: str) -> DataFram
     ways = F.array_compact(F.array(*(F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in sizes))) if sizes else F.array().cast("array<string>")
     by_prefix = held.select("token").distinct().select("token", F.explode(ways).alias("word")).join(words, "word")
     whole = words.filter(F.length("word") <= 2).select(F.explode(F.array("word", F.concat("word", F.lit("s")))).alias("token"), "word")
-    hit = held.join(by_prefix.select("token", "word").unionByName(whole), "token").select("id", "observed_at", "word").distinct()
-    full = hit.join(want, "word").groupBy("name", "id", "observed_at").agg(F.count(F.lit(1)).alias("has")).join(n_words, "name").filter("has = n")
+    ways_to = by_prefix.select("token", "word").unionByName(whole)
+    hit = held.join(ways_to, "token").select("id", "observed_at", "word").distinct()
+    frequency = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(ways_to, "token").groupBy("word").agg(F.sum("df").alias("df"))
+    # a label without a work for one of its words has none at all; of the others the rarest word leads to the works
+    known = want.join(frequency, "word").groupBy("name").agg(F.count(F.lit(1)).alias("has"), F.min_by("word", F.struct("df", "word")).alias("word"))
+    led = cut(known.join(n_words, "name").filter("has = n").select("name", "word", "n"))
+    near = hit.join(led, "word").select("name", "n", "id", "observed_at").join(want, "name")
+    full = near.join(hit.select("id", "word"), ["id", "word"]).groupBy("name", "n", "id", "observed_at").agg(F.count(F.lit(1)).alias("has")).filter("has = n")
     return full.groupBy("name").agg(*measures(as_of))
 
 

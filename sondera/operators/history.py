@@ -24,19 +24,21 @@ def prior_runs(reports: DataFrame, most: int = 5, back: int = 32) -> DataFrame:
     """
     shown = F.xxhash64(F.array_sort(F.transform("labels", lambda x: F.lower(x))))
     r = reports.select("name", folded_query(F.col("query")).alias("q"), "started", shown.alias("print"))
+    # a run speaks for its labels until the next run of the same labels has begun
+    r = r.withColumn("until", F.lead("started").over(W.partitionBy("q", "print").orderBy("started", "name")))
     w = W.partitionBy("q").orderBy("started", "name")
-    one = F.struct("started", F.col("name").alias("prior"), "print")
+    one = F.struct("started", F.col("name").alias("prior"), "until")
     near = r.withColumns({"seen": F.collect_list(one).over(w.rowsBetween(-back, -1)), "before": F.row_number().over(w) - 1})
-    near = near.withColumn("seen", F.sort_array(F.filter("seen", lambda x: x["started"] < F.col("started")), asc=False))
-    first = F.filter("seen", lambda x, i: ~F.exists(F.slice("seen", F.lit(1), i), lambda y: y["print"] == x["print"]))
-    near = near.withColumn("last", F.slice(first, 1, most))
+    speaks = lambda x: (x["started"] < F.col("started")) & (x["until"].isNull() | (x["until"] >= F.col("started")))
+    near = near.withColumn("last", F.slice(F.reverse(F.filter("seen", speaks)), 1, most))
     enough = (F.size("last") == most) | (F.col("before") <= back)
     got = near.filter(enough).select("name", F.posexplode("last").alias("at", "x")).select("name", F.col("x.prior").alias("prior"), (F.col("at") + 1).alias("rank"))
     own, other = near.filter(~enough).select("name", "q", "started").alias("o"), r.alias("p")
-    pairs = own.join(other, (F.col("o.q") == F.col("p.q")) & (F.col("p.started") < F.col("o.started")))
-    newest = pairs.groupBy(F.col("o.name").alias("name"), F.col("p.print").alias("print")).agg(F.max(F.struct(F.col("p.started").alias("t"), F.col("p.name").alias("prior"))).alias("x"))
-    far = newest.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy(F.desc("x.t"), F.desc("x.prior")))).filter(F.col("rank") <= most)
-    return got.unionByName(far.select("name", F.col("x.prior").alias("prior"), "rank"))
+    until = F.col("p.until").isNull() | (F.col("p.until") >= F.col("o.started"))
+    pairs = own.join(other, (F.col("o.q") == F.col("p.q")) & (F.col("p.started") < F.col("o.started")) & until)
+    pairs = pairs.select(F.col("o.name").alias("name"), F.col("p.name").alias("prior"), F.col("p.started").alias("t"))
+    far = pairs.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy(F.desc("t"), F.desc("prior")))).filter(F.col("rank") <= most)
+    return got.unionByName(far.select("name", "prior", "rank"))
 
 
 def stability(reports: DataFrame, most: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondera.functions import dates, money, stats, text, trust
+from sondera.lineage import spread
 from sondera.operators import burst, footprint, grouping
 from sondera.plans import views as V
 from sondera.plans.registry import query, r6
@@ -56,7 +57,7 @@ _PAIRS = """pairs AS (SELECT name, count(*) AS df FROM (SELECT doc_id, unnest(li
 
 def _pairs(spark, d) -> DataFrame:
     """Pairs of neighbouring tokens in a fortieth to a twentieth of the documents."""
-    docs = V.table(spark, d, "documents")
+    docs = spread(V.table(spark, d, "documents"))
     n = docs.count()
     t = docs.select(F.explode(F.array_distinct(F.transform(text.ngrams(text.tokens("text"), 2), lambda g: F.array_join(g, " ")))).alias("name"))
     return t.groupBy("name").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") * 40 >= n) & (F.col("df") * 20 <= n))

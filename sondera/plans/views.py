@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondera.functions.text import padded
+from sondera.lineage import spread
 
 AS_OF = "2022-12-31"
+#: Kinds of works that have no text of their own.
 JUNK_TYPES = ("reference-entry", "paratext", "dataset", "book", "book-chapter")
 _TYPES = ("article", "dataset", "book", "preprint", "paratext", "review")
 
@@ -20,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     day = F.date_add(F.lit("2018-01-01").cast("date"), ((F.col("doc_id") * 37) % 2192).cast("int"))
     kind = F.get(F.array(*map(F.lit, _TYPES)), (F.col("doc_id") % 7).cast("int"))
     source = F.when(F.col("doc_id") % 4 == 0, "openalex").otherwise("arxiv")
@@ -42,7 +44,7 @@ def junk(source, term_raw, work_type):
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of six letters or more that are in a fiftieth to a fifth of the documents."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     n = d.count()
     words = d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9]{5,}"), 0))).alias("name"))
     return words.groupBy("name").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") * 50 >= n) & (F.col("df") * 5 <= n))
