@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """The shared folder that the cluster names; a temporary one only on a single machine where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if not named and sc._jsc.sc().getCheckpointDir().isEmpty() and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
@@ -29,3 +32,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df``, to be broadcast in a join if it is counted to have few rows; else an ordinary side of it.
+
+    For rows of bounded width that are cheap to count, such as a table that has just been cut.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,6 +89,119 @@ def holm(rows: DataFrame, p: str = "p") -> DataFrame:
     return step.withColumn("adjusted", F.max("_s").over(w)).drop("_s")
 
 
+def platt(rows: DataFrame, margin: str, outcome: str, tol: float = 1e-10, most: int = 200) -> tuple[float, float]:
+    """(a, b) of sigmoid(a * margin + b), of greatest likelihood; rows without a margin or an outcome don't count."""
+    own = rows.filter(F.col(margin).isNotNull() & F.col(outcome).isNotNull())
+    own = own.select(array_to_vector(F.array(F.col(margin).cast("double"))).alias("features"), F.col(outcome).cast("double").alias("label"))
+    fitted = LogisticRegression(regParam=0.0, tol=tol, maxIter=most).fit(own)
+    return float(fitted.coefficients[0]), float(fitted.intercept)
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Chance of a Student t of ``df`` (whole) degrees of freedom as far from zero: a finite sum in the angle."""
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    sine, square = F.sin(angle), F.cos(angle) * F.cos(angle)
+    odd = df % 2 == 1
+    # 1 + (1/2) c2 + (1*3)/(2*4) c2^2 ... for even degrees; cos * (1 + (2/3) c2 + ...) for odd ones above 1
+    steps = F.when(odd, F.floor((df - 3) / 2)).otherwise(F.floor((df - 2) / 2)).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("all"))
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc["term"] * square * F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k))
+        return F.struct(term.alias("term"), (acc["all"] + term).alias("all"))
+
+    places = F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    series = F.aggregate(places, start, add, lambda acc: acc["all"])
+    inside = F.when(df == 1, 2 * angle / math.pi).when(odd, 2 / math.pi * (angle + sine * F.cos(angle) * series)).otherwise(sine * series)
+    return F.greatest(F.lit(0.0), 1 - inside)
+
+
+def corrected_t(folds: DataFrame, difference: str, n_train: Column, n_test: Column, *by: str) -> DataFrame:
+    """(by, folds, t, p) of differences by resampled fold: their variance grows by n_test / n_train for shared training rows.
+
+    Equal differences have no variance: t is infinite (0 where they are zero), p is 0 (1).
+    """
+    k, mean, var = F.count(difference), F.avg(difference), F.var_samp(difference)
+    out = folds.groupBy(*by).agg(k.alias("folds"), mean.alias("_m"), var.alias("_v"), F.avg(n_test / n_train).alias("_r"))
+    t = F.when(F.col("_v") > 0, F.col("_m") / F.sqrt(F.col("_v") * (1 / F.col("folds") + F.col("_r"))))
+    flat = F.when(F.col("_m") > 0, float("inf")).when(F.col("_m") < 0, float("-inf")).otherwise(0.0)
+    out = out.withColumn("t", F.when(F.col("folds") > 1, F.coalesce(t, flat)))
+    p = F.when(F.col("_v") > 0, t_two_sided(F.col("t"), F.col("folds") - 1)).otherwise(F.when(F.col("_m") == 0, 1.0).otherwise(0.0))
+    return out.withColumn("p", F.when(F.col("folds") > 1, p)).select(*by, "folds", "t", "p")
+
+
+def _log_factorial(n: Column) -> Column:
+    """Stirling's series at n + 10, brought back down: good to some 1e-12."""
+    x = n.cast("double") + 10
+    up = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return up - sum((F.log(n.cast("double") + k) for k in range(1, 11)), F.lit(0.0))
+
+
+def binomial_two_sided(k: Column, n: Column) -> Column:
+    """Exact chance of a fair coin's k of n or anything as far out. From the nearer side down, terms fall like a bell:
+
+    beyond 12 root(n) of them nothing is left of a double.
+    """
+    low = F.least(k, n - k).cast("double")
+    first = F.exp(_log_factorial(n) - _log_factorial(low) - _log_factorial(n - low) - n * math.log(2))
+    steps = F.least(low, F.ceil(12 * F.sqrt(n.cast("double"))) + 50).cast("int")
+
+    def add(acc: Column, i: Column) -> Column:
+        at = low - i + 1  # C(n, at - 1) = C(n, at) * at / (n - at + 1)
+        term = acc["term"] * at / (n - at + 1)
+        return F.struct(term.alias("term"), (acc["all"] + term).alias("all"))
+
+    places = F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(places, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("all")), add, lambda acc: acc["all"])
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * first * tail)).otherwise(1.0)
+
+
+def mcnemar(rows: DataFrame, outcome: str, a: str, b: str, *by: str) -> DataFrame:
+    """(by, only_a, only_b, p): rows that only one of two models has right, and the exact chance of so uneven a split."""
+    right = lambda m: F.col(m) == F.col(outcome)
+    out = rows.groupBy(*by).agg(F.count_if(right(a) & ~right(b)).alias("only_a"), F.count_if(~right(a) & right(b)).alias("only_b"))
+    return out.withColumn("p", binomial_two_sided(F.col("only_a"), F.col("only_a") + F.col("only_b")))
+
+
+def choose(models: DataFrame, score: str = "auc", sparse: str = "sparse", slack: float = 0.02) -> DataFrame:
+    """The best sparse model if it comes within ``slack`` of the best dense one, else the best. ``models``: one row each."""
+    rest = models.agg(F.max(F.when(~F.col(sparse), F.col(score))).alias("_top"))
+    near = F.col(sparse) & (F.col(score) >= F.coalesce(F.col("_top"), F.lit(float("-inf"))) - slack)
+    return models.join(F.broadcast(rest)).orderBy(near.desc(), F.desc(score), "model").limit(1).drop("_top")
+
+
+#: From best to worst.
+STAGES = ("top", "watch", "beyond", "excluded", "missing")
+
+
+def locate(items: DataFrame, reports: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, report, cut, pool, stage, place): the best place of a target in each report, ``missing`` where it is in none.
+
+    ``items``: report, stage, place, label; ``reports``: report, cut, and what else is carried; ``targets``: target, alias
+    (lower case), any number of aliases each, with the reports that they are looked up in.
+    """
+    order = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    pool = items.groupBy("report").agg(F.count(F.lit(1)).alias("pool"))
+    hits = items.withColumn("alias", F.lower("label")).join(targets.select("target", "report", "alias"), ["report", "alias"])
+    best = hits.groupBy("target", "report").agg(F.min(F.struct(order.alias("o"), F.coalesce("place", F.lit(0)).alias("p"), "stage", "place")).alias("x"))
+    asked = targets.select("target", "report").distinct().join(reports, "report").join(pool, "report", "left").join(best, ["target", "report"], "left")
+    return asked.select("target", *reports.columns, F.coalesce("pool", F.lit(0)).alias("pool"), F.coalesce("x.stage", F.lit("missing")).alias("stage"), F.col("x.place").alias("place"))
+
+
+def retro(places: DataFrame, top: int = 15) -> DataFrame:
+    """(n, in_top, seen, in_pool, chance): what reports said of targets, and how many a random order would put on top."""
+    found = F.col("stage") != "missing"
+    chance = F.sum(F.when(found & (F.col("pool") > 0), F.least(F.lit(1.0), F.lit(top) / F.col("pool"))).otherwise(0.0))
+    return places.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("stage") == "top").alias("in_top"), F.count_if(F.col("stage").isin("top", "watch")).alias("seen"), F.count_if(found).alias("in_pool"), chance.alias("chance"))
+
+
+def lead_time(places: DataFrame, known: DataFrame) -> DataFrame:
+    """(target, first_top, first_seen, lead_days): first cuts on top and on top or watched, and days until ``known.day``."""
+    on = lambda *s: F.min(F.when(F.col("stage").isin(*s), F.col("cut")))
+    first = places.groupBy("target").agg(on("top").alias("first_top"), on("top", "watch").alias("first_seen"))
+    return first.join(known, "target", "left").select("target", "first_top", "first_seen", F.datediff("day", "first_seen").alias("lead_days"))
+
+
 def report_blocks(blocks: dict[str, DataFrame], key: str) -> DataFrame:
     """(block, key, measure, value): the result tables of an evaluation, collected in one long table."""
     out = None

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.functions.text import SHORT_CORE, core_matches, loose_tokens, loose_words, padded, tokens, windows
-from sondera.lineage import cut
+from sondera.functions.text import SHORT_CORE, core_matches, loose_tokens, loose_words, padded, tokens
+from sondera.lineage import cut, small
 
 HEAD = 3  # letters of a name's second token that are part of its key
 
@@ -52,27 +52,27 @@ def core_postings(works: DataFrame, names: DataFrame) -> DataFrame:
     held = works.select("id", "observed_at", tokens("term_raw").alias("t"))
     long_names = want.filter(~F.col("single"))
     most = long_names.agg(F.max(F.size("w"))).first()[0] or 1
-    # names of one token: which tokens of the vocabulary they match
-    each = held.select("id", "observed_at", F.explode(F.array_distinct("t")).alias("token"))
+    found = held.select(F.lit("").alias("name"), "id", "observed_at").limit(0)
     single = want.filter("single")
-    sizes = sorted(r[0] for r in single.filter(~F.col("short")).select(F.length("first")).distinct().collect())
-    ways = F.array_compact(F.array(*(F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in sizes))) if sizes else F.array().cast("array<string>")
-    vocabulary = each.select("token").distinct()
-    by_prefix = vocabulary.select("token", F.explode(ways).alias("first")).join(single.filter(~F.col("short")).select("name", "first"), "first").select("token", "name")
-    whole = single.filter("short").select("name", F.explode(F.array("first", F.concat("first", F.lit("s")))).alias("token"))
-    found = each.join(by_prefix.unionByName(whole.select("token", "name")), "token").select("name", "id", "observed_at")
-    if not want.filter("single").limit(1).count():
-        found = found.limit(0)
+    sizes = sorted(r[0] for r in single.select(F.length("first")).distinct().collect())
+    if sizes:  # names of one token: which tokens of the vocabulary they match
+        each = held.select("id", "observed_at", F.explode(F.array_distinct("t")).alias("token"))
+        ways = F.array_compact(F.array(*(F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in sizes)))
+        prefixes = small(single.filter(~F.col("short")).select("name", "first"))
+        by_prefix = each.select("token").distinct().select("token", F.explode(ways).alias("first")).join(prefixes, "first").select("token", "name")
+        whole = single.filter("short").select(F.explode(F.array("first", F.concat("first", F.lit("s")))).alias("token"), "name")
+        found = each.join(small(cut(by_prefix.unionByName(whole))), "token").select("name", "id", "observed_at")
     if most > 1:  # names of several tokens: places where their first two tokens may stand, then the rest from there
         begun = long_names.withColumn("head", F.substring(F.get("w", F.lit(1)), 1, HEAD))
         sizes = sorted(r[0] for r in begun.select(F.length("head")).distinct().collect())  # at most HEAD of them
-        second = F.get("run", F.lit(1))
-        ahead = held.select("id", "observed_at", F.explode(windows(F.col("t"), most)).alias("run")).filter(second.isNotNull())
-        keys = F.array_distinct(F.array(*(F.substring(second, 1, n) for n in sizes)))
-        ahead = ahead.select("id", "observed_at", F.get("run", F.lit(0)).alias("first"), F.explode(keys).alias("head"), F.array_compact("run").alias("run"))
+        places = [F.slice("t", k + 1, F.greatest(F.size("t"), F.lit(1))).alias(f"w{k}") for k in range(most)]
+        ahead = held.select("id", "observed_at", F.inline(F.arrays_zip(*places))).filter("w1 is not null")
+        keys = F.array_distinct(F.array(*(F.substring("w1", 1, n) for n in sizes)))
+        run = F.array_compact(F.array(*(f"w{k}" for k in range(most)))).alias("run")
+        ahead = ahead.select("id", "observed_at", F.col("w0").alias("first"), F.explode(keys).alias("head"), run)
         n = F.size("w")
         fits = (F.size("run") >= n) & (F.slice("run", 1, n - 1) == F.slice("w", 1, n - 1)) & F.startswith(F.get("run", n - 1), F.get("w", n - 1))
-        found = found.unionByName(ahead.join(begun, ["first", "head"]).filter(fits).select("name", "id", "observed_at"))
+        found = found.unionByName(ahead.join(small(begun), ["first", "head"]).filter(fits).select("name", "id", "observed_at"))
     return found.distinct()
 
 
@@ -92,15 +92,16 @@ def label_footprint(works: DataFrame, labels: DataFrame, as_of: str) -> DataFram
     words = want.select("word").distinct()
     sizes = sorted(r[0] for r in words.filter(F.length("word") > 2).select(F.length("word")).distinct().collect())
     ways = F.array_compact(F.array(*(F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in sizes))) if sizes else F.array().cast("array<string>")
-    by_prefix = held.select("token").distinct().select("token", F.explode(ways).alias("word")).join(words, "word")
+    vocabulary = cut(held.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    by_prefix = vocabulary.select("token", F.explode(ways).alias("word")).join(small(words), "word")
     whole = words.filter(F.length("word") <= 2).select(F.explode(F.array("word", F.concat("word", F.lit("s")))).alias("token"), "word")
-    ways_to = by_prefix.select("token", "word").unionByName(whole)
+    ways_to = small(cut(by_prefix.select("token", "word").unionByName(whole)))
     hit = held.join(ways_to, "token").select("id", "observed_at", "word").distinct()
-    frequency = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(ways_to, "token").groupBy("word").agg(F.sum("df").alias("df"))
+    frequency = vocabulary.join(ways_to, "token").groupBy("word").agg(F.sum("df").alias("df"))
     # a label without a work for one of its words has none at all; of the others the rarest word leads to the works
     known = want.join(frequency, "word").groupBy("name").agg(F.count(F.lit(1)).alias("has"), F.min_by("word", F.struct("df", "word")).alias("word"))
     led = cut(known.join(n_words, "name").filter("has = n").select("name", "word", "n"))
-    near = hit.join(led, "word").select("name", "n", "id", "observed_at").join(want, "name")
+    near = hit.join(small(led), "word").select("name", "n", "id", "observed_at").join(want, "name")
     full = near.join(hit.select("id", "word"), ["id", "word"]).groupBy("name", "n", "id", "observed_at").agg(F.count(F.lit(1)).alias("has")).filter("has = n")
     return full.groupBy("name").agg(*measures(as_of))
 

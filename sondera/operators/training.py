@@ -52,6 +52,21 @@ def leave_one_out(rows: DataFrame, features: list[str], label: str, group: str)
     return out
 
 
+def repeated_folds(rows: DataFrame, features: list[str], label: str, key: str, repeats: int = 3, folds: int = 5, seed: int = 7) -> DataFrame:
+    """(repeat, fold, n_train, n_test, auc): each repeat deals the rows anew, by a seeded hash of their key, to folds.
+
+    Every row is scored in each repeat by a model that has not seen it. One fit for each fold of a repeat.
+    """
+    auc, out = BinaryClassificationEvaluator(labelCol=label), []
+    for r in range(1, repeats + 1):
+        dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.lit(r), key), F.lit(folds)))
+        sizes = {f: n for f, n in dealt.groupBy("_fold").count().collect()}
+        for f in sorted(sizes):
+            got = logistic(features, label).fit(dealt.filter(F.col("_fold") != f)).transform(dealt.filter(F.col("_fold") == f))
+            out.append((r, int(f), sum(sizes.values()) - sizes[f], sizes[f], round(float(auc.evaluate(got)), 4)))
+    return rows.sparkSession.createDataFrame(out, "repeat int, fold int, n_train long, n_test long, auc double")
+
+
 def compare(rows: DataFrame, features: list[str], label: str, seed: int = 7) -> DataFrame:
     """(model, auc): estimators trained on four fifths of the rows and tried on the rest, by a hash of the row."""
     fold = F.pmod(F.xxhash64(*features), F.lit(5))

@@ -59,7 +59,9 @@ def _pairs(spark, d) -> DataFrame:
     """Pairs of neighbouring tokens in a fortieth to a twentieth of the documents."""
     docs = spread(V.table(spark, d, "documents"))
     n = docs.count()
-    t = docs.select(F.explode(F.array_distinct(F.transform(text.ngrams(text.tokens("text"), 2), lambda g: F.array_join(g, " ")))).alias("name"))
+    t = docs.select(text.tokens("text").alias("t"))
+    pair = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    t = t.select(F.explode(F.array_distinct(pair)).alias("name"))
     return t.groupBy("name").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") * 40 >= n) & (F.col("df") * 20 <= n))
 
 

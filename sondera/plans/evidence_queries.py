@@ -404,11 +404,6 @@ def m21(spark, d) -> DataFrame:
     return training.usable_features(c, ["share", "works", "nothing"])
 
 
-@query("m22_oracle_rank", sql("candidates", f"WITH {_FEATS} SELECT query_id, count(*) FILTER (WHERE confidence > 0.7) + 1 AS place FROM h GROUP BY query_id"))
-def m22(spark, d) -> DataFrame:
-    return _scored(spark, d).groupBy("query_id").agg((F.count_if(F.col("confidence") > 0.7) + 1).alias("place"))
-
-
 @query("m16_ranking_coverage", sql("candidates", """WITH r AS (SELECT domain, key, funding AND commercial AS listed, row_number() OVER (PARTITION BY domain ORDER BY works DESC, key) AS a, row_number() OVER (PARTITION BY domain ORDER BY after DESC, key) AS b FROM candidates)
 SELECT rule, count(*) FILTER (WHERE listed AND place <= 30) AS caught FROM (SELECT 'works' AS rule, listed, a AS place FROM r UNION ALL SELECT 'after', listed, b FROM r) GROUP BY rule"""))
 def m16(spark, d) -> DataFrame:

@@ -178,15 +178,6 @@ def g4(spark, d) -> DataFrame:
     return V.candidates(spark, d).groupBy("query_id").agg(F.when(F.max(F.when(own, F.col("works"))) > 0, best_own).otherwise(F.max_by("label", order)).alias("core"))
 
 
-@query("m11_model_choice", sql("candidates", "WITH a AS (SELECT domain AS model, round(avg(share), 6) AS auc, domain < 'C' AS l1 FROM candidates GROUP BY domain) SELECT model, auc FROM a ORDER BY (l1 AND auc >= (SELECT max(auc) FROM a WHERE NOT l1) - 0.02) DESC, auc DESC, model LIMIT 1"))
-def m11(spark, d) -> DataFrame:
-    """The sparser model if it is within 0.02 of the other kind's best, else the best."""
-    a = V.candidates(spark, d).groupBy(F.col("domain").alias("model")).agg(F.round(F.avg("share"), 6).alias("auc")).withColumn("l1", F.col("model") < "C")
-    rest = a.agg(F.max(F.when(~F.col("l1"), F.col("auc"))).alias("top"))
-    near = F.col("l1") & (F.col("auc") >= F.col("top") - 0.02)
-    return a.crossJoin(F.broadcast(rest)).orderBy(near.desc(), F.desc("auc"), "model").limit(1).select("model", "auc")
-
-
 @query("m15_horizon_ladder", sql("works names", """WITH g AS (SELECT name, df, """ + ", ".join(f"count(*) FILTER (WHERE NOT (month(observed_at) = 1 AND day(observed_at) = 1) AND observed_at > DATE '2020-06-30' AND observed_at <= DATE '2020-06-30' + {h}) AS h{h}" for h in (90, 180, 365, 730)) + """ FROM names JOIN works ON contains(tok, ' ' || name) AND NOT junk GROUP BY name, df),
 l AS (SELECT df, unnest(['h90', 'h180', 'h365']) AS horizon, unnest([h90, h180, h365]) AS n, h730 FROM g), r AS (SELECT horizon, rank() OVER (PARTITION BY horizon ORDER BY n) + (count(*) OVER (PARTITION BY horizon, n) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY horizon ORDER BY h730) + (count(*) OVER (PARTITION BY horizon, h730) - 1) / 2.0::DOUBLE AS y FROM l)
 SELECT horizon, round(corr(x, y), 6) AS rho, count(*) AS n FROM r GROUP BY horizon"""))
@@ -197,11 +188,6 @@ def m15(spark, d) -> DataFrame:
     return evaluation.spearman(each, "v", "h730", "horizon").withColumn("rho", F.round("rho", 6))
 
 
-@query("m23_lead_time", sql("candidates", "SELECT domain, min(before) FILTER (WHERE kind = 'emerging' AND works >= 45) AS first_cut FROM candidates GROUP BY domain"))
-def m23(spark, d) -> DataFrame:
-    return V.candidates(spark, d).groupBy("domain").agg(F.min(F.when((F.col("kind") == "emerging") & (F.col("works") >= 45), F.col("before"))).alias("first_cut"))
-
-
 @query("m24_null_control")
 def m24(spark, d) -> DataFrame:
     """Names whose words are dealt anew by a seeded hash: as many names, of as many words."""

@@ -262,3 +262,61 @@ def test_top_k_takes_any_number_of_queries(spark):
     for most_numbers in (8 * 18, neighbours.MOST_QUERY_NUMBERS):
         got = neighbours.top_k(corpus, queries, 5, most_numbers).collect()
         assert len(got) == len(want) and {(r["query"], r["rank"]): r["id"] for r in got} == want
+
+
+def test_students_t_and_coin(spark):
+    for t, df, p in [(12.7062, 1, 0.05), (4.3027, 2, 0.05), (3.1824, 3, 0.05), (2.7764, 4, 0.05), (2.2622, 9, 0.05), (3.2498, 9, 0.01), (1.9842, 99, 0.05), (0.0, 7, 1.0), (-2.2281, 10, 0.05)]:
+        assert one(spark, evaluation.t_two_sided(F.col("t"), F.col("df")), t=t, df=df) == pytest.approx(p, abs=2e-5)
+    from math import comb
+
+    for k, n in [(0, 0), (0, 1), (1, 3), (3, 10), (10, 10), (50, 100), (400, 1000), (900, 1000)]:
+        want = min(1.0, 2 * sum(comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n)
+        assert one(spark, evaluation.binomial_two_sided(F.col("k"), F.col("n")), k=k, n=n) == pytest.approx(want, rel=1e-8)
+
+
+def test_paired_tests(spark):
+    folds = spark.createDataFrame([("x", d) for d in (0.03, 0.01, 0.05, 0.02)] + [("zero", 0.0)] * 3 + [("same", 0.5)] * 3 + [("one", 0.5)], "m string, d double")
+    got = {r["m"]: r for r in evaluation.corrected_t(folds, "d", F.lit(90), F.lit(30), "m").collect()}
+    naive = 0.0275 / (0.01707825 / 2)
+    assert got["x"]["t"] == pytest.approx(naive / (1 + 4 / 3) ** 0.5, rel=1e-5) and 0.05 < got["x"]["p"] < 0.2
+    assert (got["zero"]["t"], got["zero"]["p"]) == (0.0, 1.0) and got["same"]["t"] == float("inf") and got["same"]["p"] == 0.0 and got["one"]["t"] is None
+    rows = spark.createDataFrame([(1, 1, 0)] * 7 + [(0, 1, 0)] + [(1, 1, 1)] * 3 + [(None, 1, 0)], "y int, a int, b int")
+    assert tuple(evaluation.mcnemar(rows, "y", "a", "b").first())[:2] == (7, 1)
+
+
+def test_platt_and_choice(spark):
+    rows = [(x / 10, True) for x in range(-5, 20)] + [(x / 10, False) for x in range(-20, 6)] + [(None, True)]
+    a, b = evaluation.platt(spark.createDataFrame(rows, "s double, y boolean"), "s", "y")
+    grad = sum((y - 1 / (1 + 2.718281828459045 ** -(a * s + b))) * s for s, y in rows if s is not None)
+    assert a > 1 and abs(grad) < 1e-3
+    pick = lambda *m: evaluation.choose(spark.createDataFrame(list(m), "model string, auc double, sparse boolean")).first()["model"]
+    assert pick(("a", 0.79, True), ("b", 0.80, False)) == "a" and pick(("a", 0.77, True), ("b", 0.80, False)) == "b" and pick(("a", 0.1, True)) == "a"
+
+
+def test_what_reports_said(spark):
+    items = spark.createDataFrame([("r1", "top", 2, "Old"), ("r1", "watch", None, "New"), ("r2", "watch", None, "New one"), ("r2", "top", 1, "NEW"), ("r3", "excluded", None, "New")], "report string, stage string, place int, label string")
+    runs = spark.createDataFrame([("r1", dt.date(2019, 1, 1)), ("r2", dt.date(2020, 1, 1)), ("r3", dt.date(2018, 1, 1)), ("r4", dt.date(2017, 1, 1))], "report string, cut date")
+    asked = spark.createDataFrame([("t", r, a) for r in ("r1", "r2", "r3", "r4") for a in ("new", "new one")], "target string, report string, alias string")
+    places = evaluation.locate(items, runs, asked)
+    assert {r["report"]: (r["stage"], r["place"], r["pool"]) for r in places.collect()} == {"r1": ("watch", None, 2), "r2": ("top", 1, 2), "r3": ("excluded", None, 1), "r4": ("missing", None, 0)}
+    assert tuple(evaluation.retro(places, top=1).first()) == (4, 1, 2, 3, 2.0)
+    known = spark.createDataFrame([("t", dt.date(2019, 1, 31))], "target string, day date")
+    assert tuple(evaluation.lead_time(places, known).first()) == ("t", dt.date(2020, 1, 1), dt.date(2019, 1, 1), 30)
+
+
+def test_first_naming_and_catalogue(spark):
+    h = spark.createDataFrame([("ensemble of models", "a", 1), ("ensemble of models", "b", 2)], "label string, title string, n int")
+    firms = spark.createDataFrame([("a", "Ensemble"), ("b", "Acme"), ("a", "Acme"), ("b", "Beta"), ("c", "Gone")], "title string, company string")
+    assert sorted(map(tuple, grouping.first_naming(h, firms, "n").collect())) == [("ensemble of models", "Acme", 1), ("ensemble of models", "Beta", 2)]
+    c = spark.createDataFrame([(1, "Federated learnings for phones", 1546300800), (2, "federated learning", 1609459200), (3, "federated learning", None), (4, None, 1546300800)], "id long, text string, launched_at long")
+    got = grouping.catalogue(spark.createDataFrame([("federated learning",)], "phrase string"), c, "2020-01-01").collect()
+    assert [(r["id"], str(r["launched"])) for r in got] == [(1, "2019-01-01"), (3, "None")]
+
+
+def test_label_footprint_equals_matching(spark):
+    r = random.Random(3)
+    words = "graph graphs neural net nets ai ais deep deepest of learning".split()
+    works_ = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 6))), dt.date(2020, 1, 2 + i % 20), False) for i in range(60)], "id long, term_raw string, observed_at date, junk boolean")
+    labels = spark.createDataFrame([(x,) for x in ("graph ai", "neural net", "deep learning graph", "missing graph", "ai", "net-net deep")], "name string")
+    want = works_.join(labels, text.label_matches(text.padded("term_raw"), F.col("name"))).filter(F.size(text.loose_words("name")) > 1).groupBy("name").count()
+    assert {x["name"]: x["works"] for x in footprint.label_footprint(works_, labels, "2022-01-01").collect()} == {x["name"]: x["count"] for x in want.collect()}
