@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
-A byte-pair vocabulary spells ordinary words in few tokens and random strings in many. A run of key-like characters
-whose number of characters per token is low is reported as ``random``, unless it is a known digest or identifier:
-a whole hexadecimal digest, a UUID, a number or date, a host name, an e-mail address, a path or URL, or a word list
-joined by separators.
+A byte-pair vocabulary spells ordinary words in few tokens and random strings in many. A run of key-like characters is
+reported as ``random`` if it, or a part of it between separators that is long enough by itself, has few characters per
+token. Known digests and identifiers (hexadecimal digests, UUIDs, ULIDs, integrity strings, numbers and dates) are taken
+out first, wherever they stand between separators, and so are words and numbers joined by separators. What is tested has
+letters of both cases or letters and digits; letters alone must have fewer characters per token still.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ KINDS = ("assign", "access", "hex", "random")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Random strings: at least so many characters, and at most so many characters for each token.
 LEAST_CHARS, MOST_CHARS_PER_TOKEN = 20, 2.0
+#: The same for letters alone, which names in mixed case are, too.
+MOST_CHARS_PER_TOKEN_LETTERS = 1.75
+#: Longer runs are not remembered, only tested anew: bounds the memory of answers.
+REMEMBERED_CHARS = 256
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
@@ -41,6 +46,13 @@ _KNOWN = re.compile(
     r"|sha(?:1|224|256|384|512)-[A-Za-z0-9+/]+=*",  # integrity strings
     re.I,
 )
+_INSIDE = re.compile(
+    r"(?<![0-9a-z])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
+    r"|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+    r"|[0-7][0-9a-hjkmnp-tv-z]{25})(?![0-9a-z])",  # ULID
+    re.I,
+)
+_SEPARATORS = re.compile(r"[/_=-]+")
 _WORDS = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*|[0-9]*")
 _CLASSES = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 
@@ -59,15 +71,31 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(maxsize=1 << 16)
-def looks_random(run: str, vocabulary: str = VOCABULARY) -> bool:
-    """Whether a run of key-like characters is random by the token-efficiency test."""
-    if sum(bool(c.search(run)) for c in _CLASSES) < 2 or not _CLASSES[2].search(run) or _KNOWN.fullmatch(run):
+def _random_part(part: str, vocabulary: str) -> bool:
+    """The token-efficiency test of one string."""
+    digits = bool(_CLASSES[2].search(part))
+    if sum(bool(c.search(part)) for c in _CLASSES) < 2:
         return False
-    pieces = re.split(r"[+/_=-]+", run)
+    pieces = re.split(r"[+/_=-]+", part)
     if max(map(len, pieces)) < 12 and all(_WORDS.fullmatch(p) for p in pieces):  # words and numbers, joined
         return False
-    return len(run) <= MOST_CHARS_PER_TOKEN * len(encoding(vocabulary).encode_ordinary(run))
+    return len(part) <= (MOST_CHARS_PER_TOKEN if digits else MOST_CHARS_PER_TOKEN_LETTERS) * len(encoding(vocabulary).encode_ordinary(part))
+
+
+def _tested(run: str, vocabulary: str) -> bool:
+    if _KNOWN.fullmatch(run):
+        return False
+    rest = _INSIDE.sub("/", run)
+    whole = [run] if rest == run else []
+    return any(_random_part(p, vocabulary) for p in (*whole, *(p for p in _SEPARATORS.split(rest) if len(p) >= LEAST_CHARS)))
+
+
+_remembered = lru_cache(maxsize=1 << 16)(_tested)
+
+
+def looks_random(run: str, vocabulary: str = VOCABULARY) -> bool:
+    """Whether a run of key-like characters is random by the token-efficiency test, as a whole or in one of its parts."""
+    return (_remembered if len(run) <= REMEMBERED_CHARS else _tested)(run, vocabulary)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -100,7 +128,8 @@ def find_secrets(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     """``docs`` with n_assign, n_access, n_hex, n_random, base_sha256 and spans (kind:start:end, code points).
 
     A null text counts as empty: no spans, and the digest of the empty string. Rows are independent, so ties and
-    repeated rows give equal answers. Texts are read whole. The columns added replace those of the same names.
+    repeated rows give equal answers, and an empty table an empty one. Texts are read whole, and so are runs of any length.
+    The columns added replace those of the same names.
     """
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
