@@ -61,6 +61,18 @@ def test_random_strings_and_known_digests():
         assert not secret_scan.looks_random(plain)
 
 
+def test_random_parts_of_runs():
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    assert sum(secret_scan.looks_random(key(letters, 24)) for _ in range(100)) >= 95
+    assert all(secret_scan.looks_random(f"services/incoming/webhook/notifications/{key(letters + '0123456789', 24)}") for _ in range(50))
+    sha1, md5 = hashlib.sha1(b"x").hexdigest(), hashlib.md5(b"x").hexdigest()
+    for plain in (f"repos/blob/{sha1}", f"md5-{md5}", f"digest_{sha1}", "01ARZ3NDEKTSV4RRFFQ69G5FAV", "id-e233b297-1e3f-44a4-8f35-2f7c144307d9", "AbstractSingletonProxyFactoryBean", "getElementByIdFromDocumentRoot", "a" * 10_000):
+        assert not secret_scan.looks_random(plain)
+    assert secret_scan.looks_random(key(letters + "0123456789", 5000))
+
+
 def test_secrets_on_odd_tables(spark):
     df = docs_of(spark, [*odd_texts(), "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""])
     got = {r["doc_id"]: r for r in secret_scan.find_secrets(df).collect()}
@@ -589,6 +601,37 @@ def test_language_on_odd_tables(spark):
 # --- the pipeline
 
 
+def test_language_equals_brute_force(spark):
+    rng = random.Random(41)
+    rows = [(i, "".join(rng.choice(("abcde ", "cdefg ", "xyzé ")[i % 3]) for _ in range(rng.randint(1, 40))), "abc"[i % 3]) for i in range(90)] + [(90, None, "a"), (91, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = [(t, lang) for _, t, lang in rows if t is not None and lang is not None]
+    ids = {t: [i for b in language_id.blocks(t) for i in b.tolist()] for t, _ in known}
+    counts = {x: {} for x in "abc"}
+    for t, lang in known:
+        for i in ids[t]:
+            counts[lang][i] = counts[lang].get(i, 0) + 1
+    size = 1 << language_id.BUCKET_BITS
+    total = {x: sum(c.values()) + language_id.SMOOTHING * size for x, c in counts.items()}
+    got = {r["doc_id"]: r for r in language_id.identify(df, language_id.train(df)).collect()}
+    for i, t, _ in rows[:90]:
+        if not any(map(str.isalpha, t)):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        weight = min(1.0, language_id.EVIDENCE / len(ids[t]))
+        score = {x: weight * sum(np.log((counts[x].get(k, 0) + language_id.SMOOTHING) / total[x]) for k in ids[t]) + np.log(30 / 90) for x in "abc"}
+        best = max(sorted(score), key=score.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - 1 / sum(np.exp(v - score[best]) for v in score.values())) < 1e-4
+
+
+def test_many_languages_have_fewer_buckets(spark):
+    assert [language_id.bits_for(n) for n in (0, 4, 256, 257, 1024, 65536)] == [16, 16, 16, 15, 14, 8]
+    df = spark.createDataFrame([(i, f"{chr(0x4E00 + i)} word", f"l{i:03d}") for i in range(300)], "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert model.log_prob.shape == (1 << 15, 300)
+    assert language_id.identify(df, model).filter("lang_pred = lang").count() >= 290
+
+
 def test_pipeline_equals_brute_force_where_it_can(spark):
     import corpus_pipeline
 
