@@ -273,6 +273,24 @@ def test_media_copies_against_brute_force(spark):
     assert media.copies(broken.filter("media_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("leaders, crowd", [(1, 256), (4, 256), (1, 2)])
+def test_media_copies_behind_a_stranger(spark, leaders, crowd):
+    """Image 1 holds all descriptors of the others, in places that fit no shift: the copies 2 to 4 meet all the same."""
+    rng = np.random.default_rng(3)
+    own = np.zeros(12, media.FEATURE)
+    own["x"], own["y"], own["scale"] = rng.uniform(20, 60, 12), rng.uniform(20, 60, 12), 1
+    own["bits"] = rng.integers(0, 256, (12, 32))
+    strangers = own.copy()
+    strangers["x"], strangers["y"] = rng.uniform(0, 900, 12), rng.uniform(0, 900, 12)
+    moved = own.copy()
+    moved["x"] += 5
+    images = [(1, strangers), (2, own), (3, moved), (4, own)]
+    frame = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in images], "media_id long, features binary")
+    assert media.agreeing(strangers, own) < media.LEAST_AGREE <= media.agreeing(own, moved)
+    linked = media.links(frame, leaders, crowd)
+    assert {(r["node"], r["component"]) for r in components.components(linked).collect()} == {(2, 2), (3, 2), (4, 2)}
+
+
 # --- 6
 
 
