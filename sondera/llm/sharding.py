@@ -139,7 +139,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     by_size = cut(groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("groups")))
     known = by_size.orderBy("bytes").toPandas()  # distinct sizes: at most sqrt(2 x all bytes)
     sizes = known["bytes"].to_numpy(np.int64)
-    runs = pd.DataFrame(near_equal(sizes, known["groups"].to_numpy(np.int64), shards), columns=["at", "shard", "n"])
+    runs = pd.DataFrame(near_equal(sizes, known["groups"].to_numpy(np.int64), shards), columns=["at", "shard", "n"], dtype="int64")
     runs["bytes"] = sizes[runs["at"].to_numpy(np.int64)]
     runs["upto"] = runs.groupby("at")["n"].cumsum()
     runs = spark.createDataFrame(pa.table({c: pa.array(runs[c].to_numpy(np.int64), pa.int64()) for c in ("bytes", "shard", "upto")}))
