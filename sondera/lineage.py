@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a table's files: it changes when the table does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)]
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:24]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer splits than the cluster has cores is dealt out to all of them; others stay as they are read.
 
@@ -40,3 +55,14 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     For rows of bounded width that are cheap to count, such as a table that has just been cut.
     """
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def held(df: DataFrame, most_rows: int = 100_000) -> tuple[DataFrame, list | None]:
+    """``df`` computed once: with its rows, to be broadcast, if they are few; else cut, and nothing.
+
+    For rows of bounded width. Few rows are fetched in the one job that counts them and cost no file.
+    """
+    rows = df.limit(most_rows + 1).toArrow()
+    if rows.num_rows > most_rows:
+        return cut(df), None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.to_pylist()

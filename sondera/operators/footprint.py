@@ -1,22 +1,25 @@
 """How often and since when a corpus names something, always as of a date.
 
-``scan`` is the definition: each name against each text. ``footprint`` gives the same by postings: tokens are joined
-with the names' tokens, so that a name meets the works that hold its first token, and only those.
+``scan`` is the definition: each name against each text. ``footprint`` gives the same by postings: of a persisted index
+(``Postings``), which is how many names or repeated questions are to be answered, or of works read for this once, whose
+tokens are joined with the names' tokens, so that a name meets the works that hold its first token, and only those.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondera.functions.text import SHORT_CORE, core_matches, loose_tokens, loose_words, padded, tokens
 from sondera.lineage import cut, small
+from sondera.operators.postings import Postings
 
 HEAD = 3  # letters of a name's second token that are part of its key
 
 
-def visible(works: DataFrame, as_of: str, open_sources: tuple = ("arxiv",)) -> DataFrame:
-    """Works with content that were out by the date, of sources or fields that had begun by then."""
+def visible(works: DataFrame | Postings, as_of: str) -> DataFrame | Postings:
+    """Works with content that were out by the date."""
     return works.filter((F.col("observed_at") <= F.lit(as_of).cast("date")) & ~F.col("junk"))
 
 
@@ -41,11 +44,13 @@ def scan(works: DataFrame, names: DataFrame, as_of: str) -> DataFrame:
     return names.join(visible(works, as_of), core_matches(F.col("tok"), F.col("name"))).groupBy("name").agg(*measures(as_of))
 
 
-def core_postings(works: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, id, observed_at): distinct works that name a core, joined on tokens.
+def core_postings(works: DataFrame | Postings, names: DataFrame) -> DataFrame:
+    """(name, id, observed_at): distinct works that name a core, of an index or joined on tokens.
 
-    The corpus vocabulary, not the corpus, meets the names' prefixes: which tokens may begin a match of which name.
+    Without an index, the corpus vocabulary, not the corpus, meets the names' prefixes: which tokens may begin a match of which name.
     """
+    if isinstance(works, Postings):
+        return works.core_works(names).select("name", "id", "observed_at")
     want = names.select("name").distinct().withColumn("w", tokens("name")).filter(F.size("w") > 0)
     short = (F.length(F.trim("name")) < SHORT_CORE) & (F.size("w") == 1)
     want = cut(want.select("name", "w", short.alias("short"), (F.size("w") == 1).alias("single"), F.get("w", F.lit(0)).alias("first")))
@@ -76,16 +81,18 @@ def core_postings(works: DataFrame, names: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def footprint(works: DataFrame, names: DataFrame, as_of: str) -> DataFrame:
+def footprint(works: DataFrame | Postings, names: DataFrame, as_of: str) -> DataFrame:
     """As ``scan``, by postings. Names without a work have no row."""
     return core_postings(visible(works, as_of), names).groupBy("name").agg(*measures(as_of))
 
 
-def label_footprint(works: DataFrame, labels: DataFrame, as_of: str) -> DataFrame:
+def label_footprint(works: DataFrame | Postings, labels: DataFrame, as_of: str) -> DataFrame:
     """Footprint of labels (column ``name``) of two words or more: works that hold all their words, in any order.
 
     A label meets the works of its rarest word only; there its other words are looked up.
     """
+    if isinstance(works, Postings):
+        return visible(works, as_of).label_works(labels).groupBy("name").agg(*measures(as_of))
     held = visible(works, as_of).select("id", "observed_at", F.explode(F.array_distinct(tokens("term_raw"))).alias("token"))
     want = cut(labels.select("name").distinct().filter(F.size(loose_words("name")) > 1).select("name", F.explode(F.array_distinct(loose_tokens(F.col("name")))).alias("word")))
     n_words = want.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
@@ -106,7 +113,7 @@ def label_footprint(works: DataFrame, labels: DataFrame, as_of: str) -> DataFram
     return full.groupBy("name").agg(*measures(as_of))
 
 
-def grown(works: DataFrame, names: DataFrame, cut: str, horizons: tuple = (90, 180, 365, 730)) -> DataFrame:
+def grown(works: DataFrame | Postings, names: DataFrame, cut: str, horizons: tuple = (90, 180, 365, 730)) -> DataFrame:
     """Works of each name in (cut, cut + h] for every horizon in days, in one pass; 1 January dates don't count."""
     day, at = F.col("observed_at"), F.lit(cut).cast("date")
     dated = ~((F.month(day) == 1) & (F.dayofmonth(day) == 1))
@@ -114,22 +121,24 @@ def grown(works: DataFrame, names: DataFrame, cut: str, horizons: tuple = (90, 1
     return core_postings(works.filter(~F.col("junk")), names).groupBy("name").agg(*cols)
 
 
-def at_dates(works: DataFrame, names: DataFrame, dates: dict[str, str]) -> DataFrame:
+def at_dates(works: DataFrame | Postings, names: DataFrame, dates: dict[str, str]) -> DataFrame:
     """Works of each name up to each date, side by side: a column for each key of ``dates``."""
     cols = [F.count_if(F.col("observed_at") <= F.lit(d).cast("date")).alias(k) for k, d in dates.items()]
     return core_postings(works.filter(~F.col("junk")), names).groupBy("name").agg(*cols)
 
 
-def patent_activity(patents: DataFrame, phrases: DataFrame, as_of: str, days: int = 730, newest: int = 3) -> DataFrame:
+def patent_activity(patents: DataFrame | Postings, phrases: DataFrame, as_of: str, days: int = 730, newest: int = 3) -> DataFrame:
     """(name, recent, before, newest ids): documents of the last ``days`` and of as many before; asked but not found is 0."""
     day, at = F.col("observed_at"), F.lit(as_of).cast("date")
-    hits = core_postings(patents.filter(day <= at), phrases)
-    order = F.struct((-F.datediff(day, F.lit("1970-01-01").cast("date"))).alias("age"), "id")
+    place = F.row_number().over(W.partitionBy("name").orderBy(F.desc("observed_at"), "id"))
+    hits = cut(core_postings(patents.filter(day <= at), phrases))
     found = hits.groupBy("name").agg(
         F.count_if(day > F.date_sub(at, days)).alias("recent"),
         F.count_if((day <= F.date_sub(at, days)) & (day > F.date_sub(at, 2 * days))).alias("before"),
-        F.transform(F.slice(F.array_sort(F.collect_list(order)), 1, newest), lambda x: x["id"]).alias("newest"),
     )
+    first = hits.withColumn("place", place).filter(F.col("place") <= newest)  # cut before anything is collected
+    first = first.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("newest"))
+    found = found.join(first, "name")
     asked = phrases.select("name").distinct().join(found, "name", "left")
     return asked.select("name", F.coalesce("recent", F.lit(0)).alias("recent"), F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("newest", F.array().cast("array<bigint>")).alias("newest"))
 

@@ -191,10 +191,41 @@ def f11(spark, d) -> DataFrame:
     return _cards(spark, d).select("id", F.array_join(F.transform(text.references("text"), lambda x: x.cast("string")), ",").alias("refs"))
 
 
-@query("v4_quote_attribution")
+_FORM = "trim(regexp_replace(replace(replace(lower(translate({}, '“”«»‘’—–', '\"\"\"\"''''--')), 'ß', 'ss'), 'ё', 'е'), '\\s+', ' ', 'g'))"
+_BARE = "trim(" + _FORM + ", '''\" ')"
+_MID = "CAST(length(text) // 3 + 1 AS INT)"
+
+
+@query("f13_quote_form", "SELECT doc_id, sha256(" + _FORM.format("'“' || text || '” — ' || upper(text)") + ") AS form FROM documents")
+def f13(spark, d) -> DataFrame:
+    """Texts between other quotes, and again in capitals, in the form in which quotes are compared."""
+    docs = V.table(spark, d, "documents")
+    marked = F.concat(F.lit("“"), "text", F.lit("” — "), F.upper("text"))
+    return docs.select("doc_id", F.sha2(verify.one_form(marked), 256).alias("form"))
+
+
+@query("v4_quote_attribution", f"""
+WITH q AS (SELECT doc_id, doc_id % 6 AS k, text, substr(text, {_MID}, 60) AS a, substr(text, {_MID} + 90, 30) AS b FROM documents),
+n AS (SELECT doc_id, k, {_FORM.format("text")} AS page, {_BARE.format("a")} AS fa, {_BARE.format("b")} AS fb FROM q WHERE NOT contains(a || b, '...') AND NOT contains(a || b, '…')),
+p AS (SELECT *, strpos(page, fa) AS av, strpos(page, fb) AS bv FROM n),
+c AS (SELECT *, av > 1 AND regexp_matches(substr(page, av - 1, 2), '^[0-9][0-9]$') OR regexp_matches(substr(page, av + length(fa) - 1, 2), '^[0-9][0-9]$') AS cuts FROM p)
+SELECT doc_id, k, CASE WHEN k = 0 THEN length(fa) >= 20 AND NOT cuts WHEN k = 1 THEN length(fa) > 20 WHEN k = 2 THEN false
+  WHEN k = 3 THEN greatest(length(fa), length(fb)) >= 20 AND (fb = '' OR contains(substr(page, av + length(fa)), fb))
+  WHEN k = 4 THEN greatest(length(fa), length(fb)) >= 20 AND (fb = '' OR contains(substr(page, bv + length(fb)), fa)) ELSE false END AS appears FROM c""")
 def v4(spark, d) -> DataFrame:
+    """Quotes from the middle of each text: true, with a letter left out, with a number put in, of two parts in order and
+    turned round, and too short."""
     docs = V.table(spark, d, "documents")
-    return docs.select("doc_id", verify.quote_appears(F.substring("text", 5, 60), F.col("text")).alias("appears"))
+    mid = F.floor(F.length("text") / 3).cast("int") + 1
+    own = docs.select("doc_id", "text", (F.col("doc_id") % 6).alias("k"), F.substring("text", mid, F.lit(60)).alias("a"), F.substring("text", mid + 90, F.lit(30)).alias("b"))
+    own = own.filter(~F.contains(F.concat("a", "b"), F.lit("...")) & ~F.contains(F.concat("a", "b"), F.lit("…")))
+    dots, k = F.lit(" … "), F.col("k")
+    quote = (
+        F.when(k == 0, F.col("a")).when(k == 1, F.concat(F.substring("a", 1, 29), F.substring("a", 31, 30)))
+        .when(k == 2, F.concat(F.substring("a", 1, 30), F.lit(" 7 "), F.substring("a", 31, 30))).when(k == 3, F.concat("a", dots, "b"))
+        .when(k == 4, F.concat("b", dots, "a")).otherwise(F.substring("a", 1, 15))
+    )
+    return own.select("doc_id", "k", verify.quote_appears(quote, F.col("text")).alias("appears"))
 
 
 @query("v5_company_grounding")

@@ -54,7 +54,7 @@ def f15(spark, d) -> DataFrame:
 
 @query("f18_corpus_line", sql("works names", f"WITH v AS (SELECT * FROM works WHERE observed_at <= DATE '{AS_OF}' AND NOT junk) SELECT name, count(*) || ' works, ' || count(*) FILTER (WHERE observed_at >= DATE '{AS_OF}' - 365) || ' in the last year' AS line FROM names JOIN v ON contains(tok, ' ' || name) GROUP BY name"))
 def f18(spark, d) -> DataFrame:
-    fp = footprint.footprint(V.works(spark, d), V.names(spark, d), AS_OF)
+    fp = footprint.footprint(V.postings(spark, d), V.names(spark, d), AS_OF)
     return fp.select("name", F.format_string("%d works, %d in the last year", "works", "last_year_works").alias("line"))
 
 
@@ -183,7 +183,7 @@ l AS (SELECT df, unnest(['h90', 'h180', 'h365']) AS horizon, unnest([h90, h180,
 SELECT horizon, round(corr(x, y), 6) AS rho, count(*) AS n FROM r GROUP BY horizon"""))
 def m15(spark, d) -> DataFrame:
     """Rank correlation of growth at each horizon with growth over two years."""
-    g = footprint.grown(V.works(spark, d), V.names(spark, d), "2020-06-30")
+    g = footprint.grown(V.postings(spark, d), V.names(spark, d), "2020-06-30")
     each = g.unpivot(["name", "h730"], ["h90", "h180", "h365"], "horizon", "v")
     return evaluation.spearman(each, "v", "h730", "horizon").withColumn("rho", F.round("rho", 6))
 
@@ -218,7 +218,7 @@ def m30(spark, d) -> DataFrame:
 r AS (SELECT *, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY df) + (count(*) OVER (PARTITION BY df) - 1) / 2.0::DOUBLE AS y FROM a) SELECT round(corr(x, y), 6) AS rho, round(median(n::DOUBLE / df), 6) AS median_ratio, count(*) AS n FROM r"""))
 def m32(spark, d) -> DataFrame:
     """Works that a name's prefix finds against documents that hold it as a word."""
-    both = footprint.at_dates(V.works(spark, d), V.names(spark, d), {"n": "9999-01-01"}).join(V.names(spark, d), "name")
+    both = footprint.at_dates(V.postings(spark, d), V.names(spark, d), {"n": "9999-01-01"}).join(V.names(spark, d), "name")
     ranked = both.withColumns({"x": evaluation.average_rank("n"), "y": evaluation.average_rank("df")})
     return ranked.agg(F.round(F.corr("x", "y"), 6).alias("rho"), F.round(F.median(F.col("n") / F.col("df")), 6).alias("median_ratio"), F.count(F.lit(1)).alias("n"))
 
@@ -226,5 +226,5 @@ def m32(spark, d) -> DataFrame:
 @query("p19_facets_with_works", sql("works names", "SELECT name, n FROM (SELECT name, count(*) FILTER (WHERE observed_at <= DATE '2019-06-30') AS n FROM names JOIN works ON contains(tok, ' ' || name) AND NOT junk GROUP BY name) WHERE n >= 3 ORDER BY n DESC, name LIMIT 6"))
 def p19(spark, d) -> DataFrame:
     """Facets with three works or more at the cut, six of them."""
-    got = footprint.at_dates(V.works(spark, d), V.names(spark, d), {"n": "2019-06-30"})
+    got = footprint.at_dates(V.postings(spark, d), V.names(spark, d), {"n": "2019-06-30"})
     return ranking.top_n(got.filter("n >= 3").withColumn("q", F.lit(1)), 6, [F.desc("n"), F.asc("name")], "q").select("name", "n")
