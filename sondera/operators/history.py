@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondera.operators.grouping import NEAR, alike
+
 
 def folded_query(query: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(query, r"\s+", " ")))
@@ -41,14 +43,18 @@ def prior_runs(reports: DataFrame, most: int = 5, back: int = 32) -> DataFrame:
     return got.unionByName(far.select("name", "prior", "rank"))
 
 
-def stability(reports: DataFrame, most: int = 5) -> DataFrame:
-    """(name, runs, stable): labels of a report that at least half of its earlier runs held too."""
+def stability(reports: DataFrame, most: int = 5, threshold: float = NEAR) -> DataFrame:
+    """(name, runs, stable): labels of a report whose direction at least half of its earlier runs held too.
+
+    A run holds a direction if one of its labels is the label but for case, or shares ``threshold`` of the words.
+    """
     prior = prior_runs(reports, most)
     runs = prior.groupBy("name").agg(F.count(F.lit(1)).alias("runs"))
-    lab = reports.select("name", F.explode("labels").alias("label")).select("name", F.lower("label").alias("label"))
-    seen = lab.join(prior, "name").join(lab.select(F.col("name").alias("prior"), "label"), ["prior", "label"])
-    held = seen.groupBy("name", "label").agg(F.countDistinct("prior").alias("held")).join(runs, "name")
-    ok = held.filter(F.col("held") >= F.ceil(F.col("runs") / 2)).groupBy("name").agg(F.count(F.lit(1)).alias("stable"))
+    said = reports.select("name", F.explode("labels").alias("label"))
+    before = prior.join(said.select(F.col("name").alias("prior"), F.col("label").alias("other")), "prior").select(F.col("name").alias("scope"), "prior", "other")
+    same = alike(said.select(F.col("name").alias("scope"), F.col("label").alias("name")), before, threshold)
+    held = same.join(before, ["scope", "other"]).groupBy(F.col("scope").alias("name"), F.col("name").alias("label")).agg(F.countDistinct("prior").alias("held"))
+    ok = said.join(held, ["name", "label"]).join(runs, "name").filter(F.col("held") >= F.ceil(F.col("runs") / 2)).groupBy("name").agg(F.count(F.lit(1)).alias("stable"))
     return runs.join(ok, "name", "left").select("name", "runs", F.coalesce("stable", F.lit(0)).alias("stable"))
 
 

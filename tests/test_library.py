@@ -444,3 +444,75 @@ def test_one_form(spark):
 
     rows = spark.createDataFrame([("“Ёж” — ﬁne  Straße",), (None,), ("",)], "t string")
     assert [r[0] for r in rows.select(one_form(F.col("t"))).collect()] == ['"еж" - fine strasse', None, ""]
+
+
+# --- greedy groups in rounds
+
+
+def greedy_heads(ranks, near):
+    heads, out = [], {}
+    for i in sorted(ranks, key=lambda x: (ranks[x], x)):
+        out[i] = next((h for h in heads if h in near.get(i, {})), i)
+        if out[i] == i:
+            heads.append(i)
+    return out
+
+
+def greedy_twins(ranks, near, same, yes, most):
+    out = {}
+    for i in sorted(ranks, key=lambda x: (ranks[x], x)):
+        offered = sorted((not same[frozenset((i, j))], -s, j) for j, s in near.get(i, {}).items() if out.get(j) == j)[:most]
+        out[i] = next((j for *_, j in offered if frozenset((i, j)) in yes), i)
+    return out
+
+
+def greedy_variants(near, threshold):
+    free, groups, of, out = set(near), [], {}, []
+    for seed in sorted(near, key=lambda i: (-len(near[i]), -round(sum(near[i].values()), 9), i)):
+        if seed in free:
+            members = [seed]
+            for other in sorted(near[seed], key=lambda i: (-near[seed][i], i)):
+                if other in free and sum(near[other].get(m, 0) for m in members) / len(members) >= threshold:
+                    members.append(other)
+            if len(members) > 1:
+                free -= set(members)
+                groups.append(members)
+    for members in groups:
+        head = max(members, key=lambda i: (sum(near[i].get(m, 0) for m in members), -i))
+        of.update(dict.fromkeys(members, head))
+    for i in free:
+        reach = [(s, -j) for j, s in near[i].items() if j in of]
+        out += [(i, of[-max(reach)[1]], True)] if reach else []
+    return sorted(out + [(i, h, False) for i, h in of.items()])
+
+
+@pytest.mark.parametrize(("n", "links", "tail"), [(9, 13, 3), (60, 130, 20_000)])
+def test_greedy_groups_equal_brute_force(spark, n, links, tail):
+    rng = random.Random(11)
+    pairs = [(a, b, rng.randint(30, 100) / 100, rng.random() < 0.3) for a, b in sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(links)})]
+    ranks = {i: rng.randint(0, 9) for i in range(n + 3)}
+    near, same = {}, {}
+    for a, b, s, c in pairs:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = s
+        same[frozenset((a, b))] = c
+    accepted = [(b, a) for a, b, *_ in pairs if rng.random() < 0.5]
+    links = spark.createDataFrame(pairs, "a long, b long, score double, same boolean")
+    cands = spark.createDataFrame(list(ranks.items()), "id long, rank int")
+    assert {r["id"]: r["head"] for r in grouping.merge_near(cands, links, tail).collect()} == greedy_heads(ranks, near)
+    verdicts = spark.createDataFrame(accepted, "a long, b long")
+    got = {r["id"]: r["head"] for r in grouping.assign_twins(cands, links, verdicts, 2, tail).collect()}
+    assert got == greedy_twins(ranks, near, same, {frozenset(p) for p in accepted}, 2)
+    assert sorted(map(tuple, grouping.variant_groups(cands, links.drop("same"), 0.5, tail).collect())) == greedy_variants(near, 0.5)
+
+
+def test_equal_names_are_linked_with_their_smallest_id(spark):
+    df = spark.createDataFrame([(3, "Graph Nets"), (1, "graph nets "), (2, "GRAPH NETS"), (4, "graph nets two")], "id long, name string")
+    assert sorted((r["a"], r["b"]) for r in grouping.similar_names(df, 0.6).collect()) == [(1, 2), (1, 3), (1, 4)]
+
+
+def test_directions_across_runs(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("r1", "Q", t0, ["graph neural nets", "dust"]), ("r2", "q ", t0 + dt.timedelta(1), ["Neural Graph Search"]), ("r3", "Q", t0 + dt.timedelta(2), ["graph neural fields", "dust", "new"])]
+    df = spark.createDataFrame(rows, "name string, query string, started timestamp, labels array<string>")
+    got = {r["name"]: (r["runs"], r["stable"]) for r in history.stability(df).collect()}
+    assert got == {"r2": (1, 1), "r3": (2, 2)}  # the first label is held by both runs, dust by one of two, new by none
