@@ -23,6 +23,8 @@ from sondera.llm.common import cut, table
 #: Sources in order of their names have these weights in turn; no target exceeds so many times a source.
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 SEED = 20
+#: Fixed value: a word.
+WORD = "[^\\x20\\x09-\\x0D]+"
 #: The dynamic program closes a gap of up to so many words; larger gaps are first narrowed by whole documents.
 KNAPSACK_WORDS = 1 << 17
 #: A (source, length) with over 1/HOT_SHARE of the documents is selected in HOT_PARTS hash ranges.
@@ -31,7 +33,7 @@ HOT_SHARE, HOT_PARTS = 10_000, 1024
 
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size): size counts the words ``[^\\x20\\x09-\\x0D]+`` of the whole text; null has none."""
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
     return docs.select("doc_id", "source", words.cast("long").alias("size"))
 
 
@@ -176,11 +178,23 @@ def _few(goals: DataFrame, most: int = 10_000) -> bool:
 def repeat_by_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken; the columns of ``docs``.
 
-    Rows of one doc_id that are taken a different number of times each get the mean, rounded up.
+    Rows of one doc_id are told apart by source and size, and those alike in both in the order of their texts: so just
+    the words that the mix has planned are written, also where ids repeat.
     """
-    taken = mix(docs, seed).filter("copies > 0").groupBy("doc_id").agg(F.ceil(F.avg("copies")).cast("int").alias("_copies"))
-    again = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return again.withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    alike = ["doc_id", "source", "size"]
+    place = F.row_number().over(W.partitionBy(*alike).orderBy(F.desc("copies")))
+    taken = cut(mix(docs, seed).select(*alike, "copies"))
+    repeated = cut(taken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")))
+    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    once = taken.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
+    out = docs.join(once, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_n", again).select(*docs.columns)
+    if repeated.isEmpty():
+        return out
+    several = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+    several = several.withColumn("_place", F.row_number().over(W.partitionBy("doc_id", "source", "_size").orderBy("text")))
+    ranked = taken.withColumn("place", place).filter("copies > 0").select(*(F.col(c).alias(f"_t_{c}") for c in [*alike, "place"]), F.col("copies").alias("_copies"))
+    same = [F.col(a).eqNullSafe(F.col(f"_t_{b}")) for a, b in (("doc_id", "doc_id"), ("source", "source"), ("_size", "size"), ("_place", "place"))]
+    return out.unionAll(several.join(ranked, same).withColumn("_n", again).select(*docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

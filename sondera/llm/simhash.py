@@ -20,7 +20,7 @@ from itertools import combinations, permutations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondera.llm import golay
@@ -55,15 +55,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(set_bits * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, *more: Column) -> DataFrame:
+    """(doc_id, fp, and ``more`` columns): fp is the fingerprint's 64 bits as a signed long."""
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, words) for t in batch], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", of("text").alias("fp"))
+    return docs.select("doc_id", of("text").alias("fp"), *more)
 
 
 def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,30 +203,40 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_BITS, most_in_bucket: int
     return links.filter("a <> b").unionByName(neighbour_links(crowded, most))
 
 
+def _grouped(found: DataFrame, most: int) -> DataFrame:
+    """``found`` (doc_id, fp, ...) with component_id."""
+    groups = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+    links = fingerprint_links(groups, most)
+    reached = components(links)
+    first = reached.join(groups, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("first_id").alias("least_id"))
+    linked = reached.join(first, "component").select(F.col("node").alias("fp"), "least_id", "component")
+    named = cut(groups.join(linked, "fp", "left").select("fp", "copies", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("component")))
+    return with_hot_apart(found, named, "fp", "copies").drop("copies")
+
+
 def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links, its own included).
 
     A null or empty text, or one without words, has fingerprint zero and links as any other. Fewer words than a
     shingle: the whole sequence is hashed. Repeated rows give repeated rows. An empty table gives no rows. A null
-    doc_id counts as larger than any other. Other columns are not read.
+    doc_id counts as larger than any other. Very long texts are hashed whole. Other columns are not read.
     """
-    found = cut(fingerprints(docs, words))
-    groups = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
-    links = fingerprint_links(groups, most)
-    reached = components(links)
-    first = reached.join(groups, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("first_id").alias("least_id"))
-    linked = reached.join(first, "component").select(F.col("node").alias("fp"), "least_id")
-    named = cut(groups.join(linked, "fp", "left").select("fp", "copies", F.coalesce("least_id", "first_id").alias("component_id")))
-    return with_hot_apart(found, named, "fp", "copies").select("doc_id", "fp", "component_id")
+    return _grouped(cut(fingerprints(docs, words)), most).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; the columns of ``docs``."""
-    groups = near_groups(docs)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = groups.groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each group, the one with the smallest doc_id (null last); the columns of ``docs``.
+
+    Of several rows of that id the one whose text has the smallest digest stays, of equal rows one.
+    """
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    marked = docs.withColumns({"_digest": text, "_fp_row": F.xxhash64(*docs.columns)})
+    found = cut(fingerprints(docs, SHINGLE_WORDS, text.alias("digest"), F.xxhash64(*docs.columns).alias("whole")))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "whole")
+    stays = _grouped(found, MAX_BITS).groupBy("component").agg(F.min(first).alias("s")).select("s.doc_id", "s.digest", "s.whole")
+    stays = stays.select(F.col("doc_id").alias("_keep"), F.col("digest").alias("_keep_digest"), F.col("whole").alias("_keep_row"))
+    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_keep_digest")) & (F.col("_fp_row") == F.col("_keep_row")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_digest", "_fp_row"]).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,6 +346,19 @@ def test_repeat_by_mix(spark):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({k: v for k, v in copies.items() if v}) and out.columns == df.columns
 
 
+def test_repeat_by_mix_with_repeated_ids(spark):
+    """Just the planned words are written where ids repeat, with one source and size or several."""
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, 3, None, 40 + i]), " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 6))), "en", rng.choice(["x", "y", None]), None, *["x"] * 4) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    planned = Counter()
+    for r in mixing.mix(df).collect():
+        planned[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    out = mixing.repeat_by_mix(df).collect()
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in out) == Counter({k: v for k, v in planned.items() if v})
+    assert {tuple(r) for r in out} <= set(rows)
+
+
 # --- 7
 
 
@@ -429,6 +442,16 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.drop_near_copies(df.unionByName(df)).count() == len(set(want.values()))
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    rng = random.Random(21)
+    base = [" ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(5)]
+    rows = [(None, base[0]), (None, base[1]), (None, base[2]), (None, base[2]), (7, base[3]), (7, base[4]), (8, base[3]), (9, base[0])]
+    df = spark.createDataFrame([(i, t, *["x"] * 2, None, *["x"] * 4) for i, t in rows], SCHEMA)
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(df).collect()), key=repr)
+    assert kept == sorted([(9, base[0]), (None, base[1]), (None, base[2]), (7, base[3]), (7, base[4])], key=repr)
+    assert simhash.near_groups(df).count() == len(rows)
+
+
 def test_crowded_buckets_lose_no_link(spark):
     """Buckets of more than 2 (and 40) fingerprints are dealt out again; the groups stay those of all pairs."""
     rng = random.Random(12)
