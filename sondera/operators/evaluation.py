@@ -10,22 +10,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondera.lineage import cut
+
 
 def average_rank(value: str, *by: str) -> Column:
     """Rank from 1 in which ties share the mean."""
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*by, value)) - 1) / F.lit(2.0)
 
 
+def value_ranks(rows: DataFrame, value: str, *more: Column) -> DataFrame:
+    """(value, n, before, rank, and ``more`` aggregates): each distinct value, its rows, those below, its mean rank from 1.
+
+    Exact, without a window over everything: values are counted, dealt to tasks by ranges whose borders Spark samples,
+    and summed up within each; the sums of the ranges before, one number a task, are then added. A value is one row, so
+    ties lie in one range.
+    """
+    counted = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"), *more)
+    ranged = cut(counted.repartitionByRange(value).withColumn("_task", F.spark_partition_id()))
+    sums = sorted(ranged.groupBy("_task").agg(F.min(value).alias("least"), F.sum("n").alias("n")).collect(), key=lambda r: r["least"])
+    begins, at = {}, 0
+    for r in sums:
+        begins[r["_task"]], at = at, at + r["n"]
+    w = W.partitionBy("_task").orderBy(value)
+    begin = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in begins.items() for x in pair)), F.col("_task").cast("long")) if begins else F.lit(0).cast("long")
+    out = ranged.withColumn("before", begin + F.sum("n").over(w) - F.col("n"))
+    return out.withColumn("rank", F.col("before") + (F.col("n") + 1) / F.lit(2.0)).drop("_task")
+
+
 def auc(rows: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
     """(by, auc, pos, neg): Mann-Whitney; ties count half; null where one side is empty."""
-    ranked = rows.filter(F.col(score).isNotNull() & F.col(positive).isNotNull()).withColumn("_r", average_rank(score, *by))
-    pos, neg = F.count_if(F.col(positive)), F.count_if(~F.col(positive))
-    u = F.sum(F.when(F.col(positive), F.col("_r"))) - pos * (pos + 1) / F.lit(2.0)
+    own = rows.filter(F.col(score).isNotNull() & F.col(positive).isNotNull())
+    if not by:
+        ranked = value_ranks(own, score, F.count_if(F.col(positive)).alias("_pos"))
+        pos, neg, of_pos = F.coalesce(F.sum("_pos"), F.lit(0)), F.coalesce(F.sum(F.col("n") - F.col("_pos")), F.lit(0)), F.sum(F.col("rank") * F.col("_pos"))
+    else:
+        ranked = own.withColumn("_r", average_rank(score, *by))
+        pos, neg, of_pos = F.count_if(F.col(positive)), F.count_if(~F.col(positive)), F.sum(F.when(F.col(positive), F.col("_r")))
+    u = of_pos - pos * (pos + 1) / F.lit(2.0)
     return ranked.groupBy(*by).agg(F.when((pos > 0) & (neg > 0), u / (pos * neg)).alias("auc"), pos.alias("pos"), neg.alias("neg"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    ranked = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": average_rank(x, *by), "_y": average_rank(y, *by)})
+    own = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if by:
+        ranked = own.withColumns({"_x": average_rank(x, *by), "_y": average_rank(y, *by)})
+    else:  # equal pairs count together, then each side's rank is looked up by its value
+        pairs = cut(own.groupBy(F.col(x).alias("_vx"), F.col(y).alias("_vy")).agg(F.count(F.lit(1)).alias("_n")))
+        rank_x = value_ranks(own.select(F.col(x).alias("_vx")), "_vx").select("_vx", F.col("rank").alias("_x"))
+        rank_y = value_ranks(own.select(F.col(y).alias("_vy")), "_vy").select("_vy", F.col("rank").alias("_y"))
+        ranked = pairs.join(rank_x, "_vx").join(rank_y, "_vy")
+        n = F.sum("_n")
+        over = lambda c: F.sum(F.col("_n") * c)
+        a, b = F.col("_x"), F.col("_y")
+        sums = ranked.agg(n.alias("n"), (over(a) / n).alias("mx"), (over(b) / n).alias("my"))
+        centred = ranked.join(F.broadcast(sums), F.lit(True)).withColumns({"_x": a - F.col("mx"), "_y": b - F.col("my")})  # sums is one row
+        rho = over(a * b) / F.sqrt(over(a * a) * over(b * b))
+        return centred.agg(F.when(over(a * a) * over(b * b) > 0, rho).alias("rho"), F.coalesce(n, F.lit(0)).alias("n"))
     return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
@@ -42,7 +82,7 @@ def permutation_floor(rows: DataFrame, score: str, positive: str, key: str, shuf
     dealt = tries.withColumn("_i", F.row_number().over(W.partitionBy("_t").orderBy(F.xxhash64("_t", key, F.lit(seed)), key))).join(labels, "_i")
     pos, neg = F.count_if("_y"), F.count_if(~F.col("_y"))
     each = dealt.groupBy("_t").agg(((F.sum(F.when(F.col("_y"), F.col("_r"))) - pos * (pos + 1) / F.lit(2.0)) / (pos * neg)).alias("auc"))
-    return each.withColumn("_n", F.row_number().over(W.orderBy("auc", "_t"))).filter(F.col("_n") == int(share * shuffles) + 1).select(F.col("auc").alias("floor"))
+    return each.orderBy("auc", "_t").offset(int(share * shuffles)).limit(1).select(F.col("auc").alias("floor"))
 
 
 def growth_ratio(before: Column, after: Column) -> Column:

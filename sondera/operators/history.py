@@ -66,8 +66,8 @@ def stage_durations(events: DataFrame) -> DataFrame:
 def stage_typical(events: DataFrame, last_runs: int = 20) -> DataFrame:
     """(kind, typical, runs): median of the first time of each kind over the last runs."""
     start = events.groupBy("job_id").agg(F.min("ts").alias("t"))
-    last = start.withColumn("_n", F.row_number().over(W.orderBy(F.desc("t"), "job_id"))).filter(F.col("_n") <= last_runs)
-    first = events.join(last, "job_id").groupBy("job_id", "kind").agg(F.min("at_s").alias("at_s"))
+    last = start.orderBy(F.desc("t"), "job_id").limit(last_runs).select("job_id")
+    first = events.join(F.broadcast(last), "job_id").groupBy("job_id", "kind").agg(F.min("at_s").alias("at_s"))
     return first.groupBy("kind").agg(F.median("at_s").alias("typical"), F.count(F.lit(1)).alias("runs"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondera.functions import money, text
+from sondera.functions import money, stats, text
 from sondera.lineage import checkpoint_dir
 from sondera.operators import evaluation, ranking, training, verify
 from sondera.plans import views as V
@@ -435,22 +435,40 @@ def m21(spark, d) -> DataFrame:
     return training.usable_features(c, ["share", "works", "nothing"])
 
 
-@query("m16_ranking_coverage", sql("candidates", """WITH r AS (SELECT domain, key, funding AND commercial AS listed, row_number() OVER (PARTITION BY domain ORDER BY works DESC, key) AS a, row_number() OVER (PARTITION BY domain ORDER BY after DESC, key) AS b FROM candidates)
-SELECT rule, count(*) FILTER (WHERE listed AND place <= 30) AS caught FROM (SELECT 'works' AS rule, listed, a AS place FROM r UNION ALL SELECT 'after', listed, b FROM r) GROUP BY rule"""))
+@query("m16_ranking_coverage", sql("candidates", """WITH r AS (SELECT domain, key, funding AND commercial AS listed, row_number() OVER (PARTITION BY domain ORDER BY works DESC, key) AS a, row_number() OVER (PARTITION BY domain ORDER BY after DESC, key) AS b FROM candidates),
+m AS (SELECT i, listed, row_number() OVER (PARTITION BY i, domain ORDER BY md5(i || '-' || key), key) AS place FROM r, range(50) t(i)),
+s AS (SELECT domain, count(*) AS n, count(*) FILTER (WHERE listed) AS k FROM r GROUP BY domain)
+SELECT rule, count(*) FILTER (WHERE listed AND place <= 30)::DOUBLE AS caught FROM (SELECT 'works' AS rule, listed, a AS place FROM r UNION ALL SELECT 'after', listed, b FROM r UNION ALL SELECT 'either', listed, least(a, b) FROM r) GROUP BY rule
+UNION ALL SELECT 'random', round(avg(c), 6) FROM (SELECT i, count(*) FILTER (WHERE listed AND place <= 30) AS c FROM m GROUP BY i)
+UNION ALL SELECT 'expected', round(sum(k * least(1, 30.0::DOUBLE / n)), 6) FROM s"""))
 def m16(spark, d) -> DataFrame:
+    """Listed rows among the first 30 of each domain: by works, by growth, by either, by 50 seeded orders on average, and
+    what such orders are expected to catch. All orders are dealt in one pass, and a task hands on 30 rows of each at most."""
     c = V.candidates(spark, d).withColumn("listed", F.col("funding") & F.col("commercial"))
+    found = {rule: ranking.top_n(c, 30, [F.desc(rule), F.asc("key")], "domain").select("key", "listed") for rule in ("works", "after")}
+    found["either"] = found["works"].union(found["after"]).distinct()
     out = None
-    for rule in ("works", "after"):
-        top = ranking.top_n(c, 30, [F.desc(rule), F.asc("key")], "domain").agg(F.lit(rule).alias("rule"), F.count_if("listed").alias("caught"))
-        out = top if out is None else out.unionByName(top)
-    return out
-
-
-@query("m31_money_from_zero", sql("candidates", """WITH r AS (SELECT after > 30 AS pos, rank() OVER (ORDER BY share) + (count(*) OVER (PARTITION BY share) - 1) / 2.0::DOUBLE AS r FROM candidates WHERE share IS NOT NULL AND before = 0)
-SELECT round((sum(r) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos)), 6) AS auc, count(*) FILTER (WHERE pos) AS pos, count(*) FILTER (WHERE NOT pos) AS neg FROM r"""))
+    for rule, rows in found.items():
+        one = rows.agg(F.lit(rule).alias("rule"), F.count_if("listed").cast("double").alias("caught"))
+        out = one if out is None else out.unionByName(one)
+    dealt = c.select("domain", "key", "listed", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i"))
+    order = F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("key").cast("string")))
+    each = ranking.top_n(dealt, 30, [order.asc(), F.asc("key")], "i", "domain").groupBy("i").agg(F.count_if("listed").alias("c"))
+    by_domain = c.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count_if("listed").alias("k"))
+    expected = by_domain.agg(F.lit("expected").alias("rule"), r6(F.sum(F.col("k") * F.least(F.lit(1.0), 30.0 / F.col("n"))), "caught"))
+    return out.unionByName(each.agg(F.lit("random").alias("rule"), r6(F.avg("c"), "caught"))).unionByName(expected)
+
+
+@query("m31_money_from_zero", sql("candidates", """WITH z AS (SELECT * FROM candidates WHERE before = 0), r AS (SELECT after > 30 AS pos, rank() OVER (ORDER BY share) + (count(*) OVER (PARTITION BY share) - 1) / 2.0::DOUBLE AS r FROM z WHERE share IS NOT NULL),
+a AS (SELECT key FROM z WHERE share IS NOT NULL ORDER BY share DESC, key LIMIT 50), b AS (SELECT key FROM z ORDER BY works DESC, key LIMIT 50)
+SELECT round((sum(r) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos)), 6) AS auc, count(*) FILTER (WHERE pos) AS pos, count(*) FILTER (WHERE NOT pos) AS neg,
+  (SELECT count(*) FROM a JOIN b USING (key)) AS both_tops FROM r"""))
 def m31(spark, d) -> DataFrame:
+    """Candidates without money before: how well the share tells who gets some, and how far its top and that of works agree."""
     c = V.candidates(spark, d).filter("before = 0").withColumns({"y": F.col("after") > 30})
-    return evaluation.auc(c, "share", "y").withColumn("auc", F.round("auc", 6))
+    first = c.filter("share is not null").orderBy(F.desc("share"), "key").limit(50).select("key")
+    both = first.join(c.orderBy(F.desc("works"), "key").limit(50).select("key"), "key").agg(F.count(F.lit(1)).alias("both_tops"))
+    return evaluation.auc(c, "share", "y").withColumn("auc", F.round("auc", 6)).join(F.broadcast(both), F.lit(True))  # one row with one row
 
 
 @query("m26_hard_controls", sql("candidates", "SELECT DISTINCT label FROM (SELECT label FROM candidates WHERE works >= 40 AND before >= 10 UNION ALL SELECT label FROM candidates WHERE kind = 'noise' UNION ALL SELECT label FROM candidates WHERE key % 101 = 0)"))
@@ -459,11 +477,17 @@ def m26(spark, d) -> DataFrame:
     return c.filter("works >= 40 and before >= 10").select("label").unionByName(c.filter("kind = 'noise'").select("label")).unionByName(c.filter("key % 101 = 0").select("label")).distinct()
 
 
-@query("m27_reachable", sql("candidates headlines", "SELECT count(*) FILTER (WHERE p_name IS NOT NULL) AS reached, count(*) AS n FROM (SELECT DISTINCT p_name AS name FROM part UNION SELECT 'airship ' || n_name FROM nation) LEFT JOIN (SELECT DISTINCT label AS p_name FROM headlines) ON name = p_name"))
+_WILSON = "round(greatest(0, (yes::DOUBLE / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(yes::DOUBLE / n * (1 - yes::DOUBLE / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS low, round(least(1, (yes::DOUBLE / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(yes::DOUBLE / n * (1 - yes::DOUBLE / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS high"
+
+
+@query("m27_reachable", sql("candidates headlines", """WITH c AS (SELECT count(*) FILTER (WHERE p_name IS NOT NULL) AS yes, count(*) AS n FROM (SELECT DISTINCT p_name AS name FROM part UNION SELECT 'airship ' || n_name FROM nation) LEFT JOIN (SELECT DISTINCT label AS p_name FROM headlines) ON name = p_name)
+SELECT yes AS reached, n, """ + _WILSON + " FROM c"))
 def m27(spark, d) -> DataFrame:
     names = V.table(spark, d, "part").select(F.col("p_name").alias("name")).union(V.table(spark, d, "nation").select(F.concat(F.lit("airship "), "n_name"))).distinct()
     h = V.headlines(spark, d).select("label").distinct()
-    return names.join(h, F.col("name") == F.col("label"), "left").agg(F.count("label").alias("reached"), F.count(F.lit(1)).alias("n"))
+    got = names.join(h, F.col("name") == F.col("label"), "left").agg(F.count("label").alias("reached"), F.count(F.lit(1)).alias("n"))
+    w = stats.wilson(F.col("reached"), F.col("n"))
+    return got.select("reached", "n", r6(w["low"], "low"), r6(w["high"], "high"))
 
 
 __all__ = ["first_headlines", "r6"]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondera.functions import stats, text, vectors
-from sondera.operators import evaluation, footprint, neighbours, ranking
+from sondera.operators import evaluation, footprint, grouping, neighbours, ranking
 from sondera.plans import views as V
 from sondera.plans.ranking_queries import _DOT, _FEATS, _queries, _scored
 from sondera.plans.registry import query, r6
@@ -95,22 +95,26 @@ def j9(spark, d) -> DataFrame:
     return nearest.select(F.col("query").alias("id"), F.col("id").alias("facet"))
 
 
-@query("j13_row_locator", sql("names", "WITH p AS (SELECT p_name, min(p_partkey) AS k, string_split(p_name, ' ') AS w FROM part GROUP BY p_name), t AS (SELECT p_name || ' from store' AS said FROM part GROUP BY p_name) SELECT said, min(k) AS row_id FROM t JOIN p ON len(list_filter(w, lambda x: list_contains(string_split(said, ' '), x))) = len(w) GROUP BY said"))
+@query("j13_row_locator", """WITH p AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name),
+t AS (SELECT p_name || CASE WHEN k % 2 = 0 THEN ' of it' ELSE ' sold at far stores by us today' END AS said FROM p),
+w AS (SELECT said, unnest(list_distinct(list_filter(regexp_extract_all(lower(said), '[a-z0-9]+'), lambda x: length(x) > 2))) AS w FROM t), n AS (SELECT said, count(*) AS n FROM w GROUP BY said),
+r AS (SELECT k, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))) AS w FROM p), h AS (SELECT said, k, count(*) AS c FROM w JOIN r USING (w) GROUP BY ALL),
+b AS (SELECT said, k, c, row_number() OVER (PARTITION BY said ORDER BY c DESC, k) AS rn FROM h)
+SELECT said, CASE WHEN c >= 0.7 * n THEN k END AS row_id FROM n LEFT JOIN b USING (said) WHERE rn = 1 OR rn IS NULL""")
 def j13(spark, d) -> DataFrame:
-    """The row whose words a text holds most of; below the threshold of 0.4 of the text's words none."""
+    """Texts that hold a row's words, with few or many words of their own."""
     p = V.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("row_id"))
-    said = p.select(F.concat("p_name", F.lit(" from store")).alias("said"))
-    words = said.select("said", F.size(text.tokens("said")).alias("n"), F.explode(text.tokens("said")).alias("w"))
-    rows = p.select("row_id", F.explode(F.array_distinct(text.tokens("p_name"))).alias("w"))
-    hit = words.join(rows, "w").groupBy("said", "row_id", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= 0.4 * F.col("n"))
-    return hit.groupBy("said").agg((-F.max(F.struct("k", (-F.col("row_id")).alias("r")))["r"]).alias("row_id"))
+    own = F.when(F.col("row_id") % 2 == 0, " of it").otherwise(" sold at far stores by us today")
+    return grouping.locate(p.select(F.concat("p_name", own).alias("said")), p.select("row_id", F.col("p_name").alias("name")))
 
 
-@query("j15_reuse_of_verdicts", sql("candidates", "SELECT key, CASE WHEN key % 2 = 0 THEN 'known' ELSE 'to ask' END AS state FROM candidates"))
+@query("j15_reuse_of_verdicts", sql("candidates", "SELECT key, CASE WHEN funding THEN kind ELSE 'to ask' END AS state FROM candidates"))
 def j15(spark, d) -> DataFrame:
-    c = V.candidates(spark, d).select("key", "domain", "label")
-    prior = c.filter("key % 2 = 0").select("domain", "label", F.lit("known").alias("verdict"))
-    return c.join(prior, ["domain", "label"], "left").select("key", F.coalesce("verdict", F.lit("to ask")).alias("state"))
+    """Verdicts of an earlier run, read where it has stored them; only candidates it hasn't judged are asked about."""
+    c = V.candidates(spark, d)
+    folder = V.kept(spark, d, "verdicts")
+    c.filter("funding").select("domain", "label", F.col("kind").alias("verdict")).write.mode("overwrite").parquet(folder)
+    return c.select("key", "domain", "label").join(spark.read.parquet(folder), ["domain", "label"], "left").select("key", F.coalesce("verdict", F.lit("to ask")).alias("state"))
 
 
 @query("j16_listed_coverage", sql("candidates", f"WITH {_FEATS}, l AS (SELECT label FROM candidates WHERE funding) SELECT query_id, count(*) FILTER (WHERE label IN (FROM l)) AS in_pool, count(*) FILTER (WHERE label IN (FROM l) AND place <= 15) AS in_top FROM o GROUP BY query_id"))
@@ -120,28 +124,68 @@ def j16(spark, d) -> DataFrame:
     return s.groupBy("query_id").agg(F.count("listed").alias("in_pool"), F.count_if(F.col("listed") & (F.col("place") <= 15)).alias("in_top"))
 
 
-@query("a13_rubric_agreement", sql("candidates", "SELECT count(*) FILTER (WHERE grade < 3 AND players < 5 AND grade + players = before % 7) AS agreed, count(*) FILTER (WHERE grade < 3 AND players < 5 AND grade + players <> before % 7) AS disagreed, count(*) FILTER (WHERE NOT (grade < 3 AND players < 5)) AS outside FROM candidates"))
+@query("a13_rubric_agreement", sql("candidates", """WITH s AS (SELECT CASE grade WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 END AS said, CASE WHEN pilot THEN 4 WHEN commercial OR funding THEN 2 ELSE 1 END AS own FROM candidates)
+SELECT count(*) FILTER (WHERE said = own) AS agreed, count(*) FILTER (WHERE said <> own) AS disagreed, count(*) FILTER (WHERE said IS NULL) AS outside FROM s"""))
 def a13(spark, d) -> DataFrame:
-    on_scale = F.expr("grade < 3 and players < 5")
-    same = F.col("grade") + F.col("players") == F.col("before") % 7
-    return V.candidates(spark, d).agg(F.count_if(on_scale & same).alias("agreed"), F.count_if(on_scale & ~same).alias("disagreed"), F.count_if(~on_scale).alias("outside"))
+    """The stage that a methodologist's text names against the stage that the evidence shows."""
+    written = F.when(F.col("grade") == 0, "Концепция/Исследование").when(F.col("grade") == 1, "Прототип/PoC → первые поставки").when(F.col("grade") == 2, "Пилот → Раннее внедрение").otherwise("серия")
+    said, own = ranking.parse_stage(written), F.when(F.col("pilot"), 4).when(F.col("commercial") | F.col("funding"), 2).otherwise(1)
+    return V.candidates(spark, d).agg(F.count_if(said == own).alias("agreed"), F.count_if(said != own).alias("disagreed"), F.count_if(said.isNull()).alias("outside"))
 
 
-@query("a15_hub_diagnostics", sql("vectors", f"WITH k AS (SELECT query, id, s FROM (SELECT b.id AS query, a.id AS id, {_DOT} AS s, row_number() OVER (PARTITION BY b.id ORDER BY round({_DOT}, 9) DESC, a.id) AS rank FROM vectors a, vectors b WHERE b.id % 50 = 0) WHERE rank <= 20) SELECT count(*) AS found, count(DISTINCT id) AS distinct_ids, (SELECT max(n) FROM (SELECT count(*) AS n FROM k GROUP BY id)) AS busiest FROM k"))
-def a15(spark, d) -> DataFrame:
-    k = neighbours.top_k(V.vectors(spark, d), _queries(spark, d), 20).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return k.agg(F.sum("n").alias("found"), F.count(F.lit(1)).alias("distinct_ids"), F.max("n").alias("busiest"))
+_ARMS = f"""s AS (SELECT b.id AS query, a.id AS id, a.observed_at, {_DOT} AS s FROM vectors a, vectors b WHERE b.id % 50 = 0),
+k AS (SELECT * FROM (SELECT 'all' AS arm, query, id, s, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, id) AS rank FROM s
+  UNION ALL SELECT 'early', query, id, s, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, id) FROM s WHERE observed_at <= DATE '2020-12-31') WHERE rank <= 20)"""
 
 
-@query("a16_verdict_tally", sql("candidates", "SELECT domain, count(*) FILTER (WHERE kind = 'emerging') AS yes, count(*) FILTER (WHERE kind = 'mature') AS mature, count(*) FILTER (WHERE kind NOT IN ('emerging', 'mature')) AS no, round(count(*) FILTER (WHERE kind = 'emerging')::DOUBLE / count(*), 6) AS precision FROM candidates GROUP BY domain"))
+@query("a15_hub_diagnostics", sql("vectors", f"""WITH {_ARMS}, n AS (SELECT arm, id, count(*) AS n FROM k GROUP BY ALL), h AS (SELECT arm, sum(n)::BIGINT AS found, count(*) AS distinct_ids, max(n) AS busiest FROM n GROUP BY arm)
+SELECT h.*, round(m.mid, 6) AS median_first, round(m.low, 6) AS least_first, round(m.high, 6) AS most_first FROM h JOIN (SELECT arm, median(s) AS mid, min(s) AS low, max(s) AS high FROM k WHERE rank = 1 GROUP BY arm) m USING (arm)"""))
+def a15(spark, d) -> DataFrame:
+    """Two arms, all vectors and the early ones: how many are found at all, the one found most, and the first scores."""
+    v, out = V.vectors(spark, d), None
+    for arm, corpus in (("all", v), ("early", v.filter("observed_at <= date'2020-12-31'"))):
+        one = neighbours.top_k(corpus, _queries(spark, d), 20).withColumn("arm", F.lit(arm))
+        out = one if out is None else out.unionByName(one)
+    n = out.groupBy("arm", "id").agg(F.count(F.lit(1)).alias("n"))
+    hubs = n.groupBy("arm").agg(F.sum("n").alias("found"), F.count(F.lit(1)).alias("distinct_ids"), F.max("n").alias("busiest"))
+    first = out.filter("rank = 1").groupBy("arm").agg(*(r6(f("score"), name) for f, name in ((F.median, "median_first"), (F.min, "least_first"), (F.max, "most_first"))))
+    return hubs.join(first, "arm")
+
+
+_WILSON = "round(greatest(0, (yes::DOUBLE / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(yes::DOUBLE / n * (1 - yes::DOUBLE / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS low, round(least(1, (yes::DOUBLE / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(yes::DOUBLE / n * (1 - yes::DOUBLE / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS high"
+
+
+@query("a16_verdict_tally", sql("candidates", f"""WITH t AS (SELECT domain, count(*) FILTER (WHERE kind = 'emerging') AS yes, count(*) FILTER (WHERE kind = 'mature') AS mature, count(*) FILTER (WHERE kind NOT IN ('emerging', 'mature')) AS no, count(*) AS n FROM candidates GROUP BY domain),
+dd AS (SELECT domain, coalesce(lead(domain) OVER (ORDER BY domain), min(domain) OVER ()) AS foreign_domain FROM (SELECT DISTINCT domain FROM candidates)),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY works DESC, key) AS place, row_number() OVER (PARTITION BY domain, leaders ORDER BY works DESC, key) AS left_out FROM candidates),
+f AS (SELECT dd.domain, count(*) FILTER (WHERE kind = 'emerging') AS foreign_yes FROM dd JOIN r ON r.domain = foreign_domain AND place <= 3 GROUP BY dd.domain),
+x AS (SELECT domain, count(*) FILTER (WHERE kind = 'emerging') AS excluded_yes FROM r WHERE leaders AND left_out <= 3 GROUP BY domain)
+SELECT domain, yes, mature, no, round(yes::DOUBLE / n, 6) AS precision, {_WILSON}, foreign_yes, coalesce(excluded_yes, 0) AS excluded_yes FROM t JOIN f USING (domain) LEFT JOIN x USING (domain)"""))
 def a16(spark, d) -> DataFrame:
-    yes, mature = F.col("kind") == "emerging", F.col("kind") == "mature"
-    return V.candidates(spark, d).groupBy("domain").agg(F.count_if(yes).alias("yes"), F.count_if(mature).alias("mature"), F.count_if(~yes & ~mature).alias("no"), F.round(F.count_if(yes) / F.count(F.lit(1)), 6).alias("precision"))
-
-
-@query("a28_arm_table", sql("candidates", "SELECT key % 3 AS arm, query_id, count(*) AS n, count(*) FILTER (WHERE commercial) AS sellers, max(after) AS seconds FROM candidates GROUP BY ALL"))
+    """Verdicts by domain and the precision with its interval; two probes of leniency: how many of the first three of
+    another domain, and of the first three that were excluded, are said to fit."""
+    c, yes, mature = V.candidates(spark, d), F.col("kind") == "emerging", F.col("kind") == "mature"
+    tally = c.groupBy("domain").agg(F.count_if(yes).alias("yes"), F.count_if(mature).alias("mature"), F.count_if(~yes & ~mature).alias("no"), F.count(F.lit(1)).alias("n"))
+    domains = c.select("domain").distinct()  # the next domain by name, the first after the last
+    after = domains.alias("a").join(domains.alias("b"), F.col("b.domain") > F.col("a.domain"), "left").groupBy(F.col("a.domain").alias("own")).agg(F.min("b.domain").alias("next"))
+    least = domains.agg(F.min("domain").alias("least"))
+    foreign = after.join(F.broadcast(least), F.lit(True)).select("own", F.coalesce("next", "least").alias("domain"))
+    first = lambda rows: ranking.top_n(rows, 3, [F.desc("works"), F.asc("key")], "domain").groupBy("domain").agg(F.count_if(yes).alias("k"))
+    probe = foreign.join(first(c), "domain").select(F.col("own").alias("domain"), F.col("k").alias("foreign_yes"))
+    out = tally.join(probe, "domain").join(first(c.filter("leaders")).withColumnRenamed("k", "excluded_yes"), "domain", "left")
+    w = stats.wilson(F.col("yes"), F.col("n"))
+    return out.select("domain", "yes", "mature", "no", r6(F.col("yes") / F.col("n"), "precision"), r6(w["low"], "low"), r6(w["high"], "high"), "foreign_yes", F.coalesce("excluded_yes", F.lit(0)).alias("excluded_yes"))
+
+
+@query("a28_arm_table", sql("candidates", f"""WITH {_FEATS}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY works DESC, key) AS by_works FROM o),
+a AS (SELECT 'model' AS arm, * FROM b WHERE place <= 15 UNION ALL SELECT 'works', * FROM b WHERE by_works <= 15)
+SELECT arm, query_id, count(*) AS n, count(*) FILTER (WHERE leaders AND commercial) AS sellers, count(*) FILTER (WHERE funding) AS funded, max(after) AS seconds FROM a GROUP BY ALL"""))
 def a28(spark, d) -> DataFrame:
-    return V.candidates(spark, d).groupBy((F.col("key") % 3).alias("arm"), "query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("commercial").alias("sellers"), F.max("after").alias("seconds"))
+    """Two arms of one pool, ordered by the model and by works: what the TOP of each query holds."""
+    s = _scored(spark, d)
+    arms = s.filter("place <= 15").withColumn("arm", F.lit("model")).drop("place").unionByName(ranking.top_n(s.drop("place"), 15, [F.desc("works"), F.asc("key")], "query_id").withColumn("arm", F.lit("works")), allowMissingColumns=True)
+    sells = F.col("leaders") & F.col("commercial")
+    return arms.groupBy("arm", "query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(sells).alias("sellers"), F.count_if("funding").alias("funded"), F.max("after").alias("seconds"))
 
 
 @query("a31_fact_density", sql("headlines", "SELECT label, round(avg(len(regexp_extract_all(title, '[0-9]+'))), 6) AS numbers FROM headlines GROUP BY label"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondera.lineage import exists
+
 
 def work_id(source: Column, external_id: Column, metric: Column, observed_at: Column) -> Column:
     """The id of a work from its natural key: the later half of an md5, little-endian, without its lowest bit."""
@@ -78,10 +80,35 @@ def from_signals(signals: DataFrame, stored: DataFrame, url: str = "url") -> Dat
     return own.join(versions(stored, url).select("base").distinct(), "base", "left_anti").drop("base", "keep")
 
 
-def jdbc(spark, address: str, name: str, key: str, chunks: int = 32) -> DataFrame:
-    """A table of a database, read in ``chunks`` equal ranges of its content-addressed key, which fills [0, 2^63)."""
-    options = {"url": address, "dbtable": name, "partitionColumn": key, "lowerBound": "0", "upperBound": str(2**63 - 1), "numPartitions": str(chunks)}
-    return spark.read.format("jdbc").options(**options).load()
+def jdbc(spark, address: str, name: str, key: str, chunks: int = 32, low: int = 0, high: int = 2**63 - 1, **options: str) -> DataFrame:
+    """A table of a database, read in ``chunks`` equal ranges of its key between ``low`` and ``high``.
+
+    A content-addressed key fills [0, 2^63), so the ranges hold like numbers of rows.
+    """
+    ranges = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(chunks)}
+    return spark.read.format("jdbc").options(url=address, dbtable=name, **ranges, **options).load()
+
+
+def copy_ranges(spark, address: str, name: str, key: str, path: str, ranges: int = 4, chunks: int = 32, high: int = 2**63 - 1, **options: str) -> list[tuple[int, int]]:
+    """Copy a table of a database to Parquet at ``path`` by ranges of its key; gives (range, rows) of those now copied.
+
+    Each range is a folder of its own, counted when it is written; a range that has been written whole is not read
+    again, so a copy that broke off goes on with the range it was in. Fails where a range that is there no longer holds
+    as many rows as the database: then the target is no copy broken off.
+    """
+    step, done = -(-(high + 1) // ranges), []
+    for i in range(ranges):
+        low, top = i * step, min(high, (i + 1) * step - 1)
+        source = jdbc(spark, address, name, key, chunks, low, top, **options).filter(F.col(key).between(low, top))  # the database filters
+        folder = f"{path}/range={i}"
+        if exists(spark, f"{folder}/_SUCCESS"):
+            want, have = source.count(), spark.read.parquet(folder).count()
+            if want != have:
+                raise ValueError(f"range {i}: the source has {want} rows and the target {have}")
+            continue
+        source.write.mode("overwrite").parquet(folder)
+        done.append((i, spark.read.parquet(folder).count()))
+    return done
 
 
 def to_copy(source: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:

@@ -516,3 +516,42 @@ def test_directions_across_runs(spark):
     df = spark.createDataFrame(rows, "name string, query string, started timestamp, labels array<string>")
     got = {r["name"]: (r["runs"], r["stable"]) for r in history.stability(df).collect()}
     assert got == {"r2": (1, 1), "r3": (2, 2)}  # the first label is held by both runs, dust by one of two, new by none
+
+
+# --- ranks by ranges, copies over JDBC
+
+
+def test_ranks_by_ranges_equal_windows(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(rng.randint(0, 12), rng.randint(0, 9) + rng.random() // 1, rng.random() < 0.4) for _ in range(400)], "x int, y double, pos boolean").repartition(7)
+    want = {r["x"]: r["r"] for r in rows.withColumn("r", evaluation.average_rank("x")).collect()}
+    got = evaluation.value_ranks(rows, "x")
+    assert {r["x"]: r["rank"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" in plan and "SinglePartition" not in plan
+    whole = rows.withColumn("all", F.lit(1))
+    a, b = evaluation.auc(rows, "x", "pos").first(), evaluation.auc(whole, "x", "pos", "all").first()
+    assert abs(a["auc"] - b["auc"]) < 1e-12 and (a["pos"], a["neg"]) == (b["pos"], b["neg"])
+    a, b = evaluation.spearman(rows, "x", "y").first(), evaluation.spearman(whole, "x", "y", "all").first()
+    assert abs(a["rho"] - b["rho"]) < 1e-12 and a["n"] == b["n"] == 400
+    none = rows.filter("x > 99")
+    assert evaluation.auc(none, "x", "pos").first()["auc"] is None and evaluation.spearman(none, "x", "y").first()["n"] == 0
+
+
+def test_copy_over_jdbc_breaks_off_and_goes_on(spark, tmp_path):
+    import shutil
+
+    address = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    step = 2**63 // 40
+    rows = spark.createDataFrame([(i * step + step // 2, f"work {i}") for i in range(40)], "id long, title string")
+    rows.coalesce(1).write.format("jdbc").options(url=address, dbtable="works", createTableColumnTypes="title varchar(64)", **driver).save()
+    path = str(tmp_path / "copy")
+    assert works.copy_ranges(spark, address, "works", "id", path, 4, 3, **driver) == [(0, 10), (1, 10), (2, 10), (3, 10)]
+    assert works.jdbc(spark, address, "works", "id", 8, **driver).rdd.getNumPartitions() == 8
+    shutil.rmtree(f"{path}/range=2")  # as if it had broken off there
+    assert works.copy_ranges(spark, address, "works", "id", path, 4, 3, **driver) == [(2, 10)]
+    assert sorted((r["id"], r["title"]) for r in spark.read.parquet(path).collect()) == sorted(map(tuple, rows.collect()))
+    spark.createDataFrame([(7, "late")], "id long, title string").write.format("jdbc").mode("append").options(url=address, dbtable="works", **driver).save()
+    with pytest.raises(ValueError):
+        works.copy_ranges(spark, address, "works", "id", path, 4, 3, **driver)
