@@ -7,8 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: The store that state with timers and an end needs: a setting of the session, before the stream begins.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def works_feed(stream: DataFrame, late: str = "7 days") -> DataFrame:
     """New works of a feed that is read again with overlap: each id once, state kept for the overlap only."""
@@ -61,6 +65,79 @@ def stuck_runs(stream: DataFrame, idle_seconds: int) -> DataFrame:
     return stream.withWatermark("ts", "0 seconds").groupBy("job_id").applyInPandasWithState(watch, "job_id long, last_seq long", "last long, ts long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _Idle(StatefulProcessor):
+    """Keeps the last step of a run and a timer that each new step puts off."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq long, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = max((int(b["seq"].max()) for b in rows if len(b)), default=-1)
+        before = self.last.get() if self.last.exists() else (-1, None)
+        if seen > before[0]:
+            if before[1] is not None:
+                self.handle.deleteTimer(before[1])
+            due = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(due)
+            self.last.update((seen, due))
+        yield pd.DataFrame({"job_id": [], "last_seq": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({"job_id": [key[0]], "last_seq": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def idle_alarms(stream: DataFrame, idle_seconds: float) -> DataFrame:
+    """(job_id, last_seq): runs of ``stream`` (job_id, seq) that have made no progress for so long on the clock.
+
+    The alarm needs no later event of any run. A step that is no further than the last is no progress. A run's state
+    goes with its alarm. The session must have STATE_STORE set.
+    """
+    own = stream.select("job_id", "seq").groupBy("job_id")
+    return own.transformWithStateInPandas(_Idle(int(idle_seconds * 1000)), "job_id long, last_seq long", "append", "processingTime")
+
+
+class _Lowest(StatefulProcessor):
+    """Keeps the lowest version of a base for a time."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.version = handle.getValueState("version", "version int", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        low = min(int(b["version"].min()) for b in rows if len(b))
+        held = self.version.get()[0] if self.version.exists() else None
+        if held is None or low < held:
+            self.version.update((low,))
+            yield pd.DataFrame({"base": [key[0]], "version": [low]})
+        else:
+            yield pd.DataFrame({"base": pd.Series([], dtype="object"), "version": pd.Series([], dtype="int32")})
+
+    def close(self) -> None:
+        pass
+
+
+def replaced_versions(stream: DataFrame, keep_seconds: float) -> DataFrame:
+    """(base, version): the lowest version of each base of ``stream`` (url) so far; a lower one that comes later replaces it.
+
+    Rows are updates by base. What has had no update for ``keep_seconds`` is forgotten, so state has an end. The session
+    must have STATE_STORE set.
+    """
+    version = F.coalesce(F.nullif(F.regexp_extract("url", r"v(\d+)$", 1), F.lit("")).cast("int"), F.lit(1))
+    own = stream.select(F.regexp_replace("url", r"v\d+$", "").alias("base"), version.alias("version")).groupBy("base")
+    return own.transformWithStateInPandas(_Lowest(int(keep_seconds * 1000)), "base string, version int", "update", "processingTime")
+
+
 def feed_status(outcomes: DataFrame) -> DataFrame:
     """One code for feeds (feed, failed, partial) that ran apart: 1 if all failed, 23 if some did or came in part, else 0."""
     n, bad = F.count(F.lit(1)), F.count_if("failed")

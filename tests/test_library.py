@@ -555,3 +555,57 @@ def test_copy_over_jdbc_breaks_off_and_goes_on(spark, tmp_path):
     spark.createDataFrame([(7, "late")], "id long, title string").write.format("jdbc").mode("append").options(url=address, dbtable="works", **driver).save()
     with pytest.raises(ValueError):
         works.copy_ranges(spark, address, "works", "id", path, 4, 3, **driver)
+
+
+# --- streams with timers and an end
+
+
+def _waited(found, seconds=60):
+    import time
+
+    until = time.time() + seconds
+    while time.time() < until:
+        got = found()
+        if got:
+            return got
+        time.sleep(0.5)
+    return found()
+
+
+def test_idle_run_alarms_without_a_new_event(spark, tmp_path):
+    from sondera.streaming import feeds
+
+    spark.conf.set(*feeds.STATE_STORE)
+    try:
+        spark.createDataFrame([(1, 5), (2, 1), (1, 6)], "job_id long, seq long").coalesce(1).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("job_id long, seq long").parquet(str(tmp_path / "in"))
+        q = feeds.idle_alarms(stream, 2).writeStream.format("memory").queryName("alarms").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+        try:
+            got = _waited(lambda: sorted(map(tuple, spark.table("alarms").collect())) if spark.table("alarms").count() >= 2 else [])
+        finally:
+            q.stop()
+        assert got == [(1, 6), (2, 1)]
+    finally:
+        spark.conf.unset(feeds.STATE_STORE[0])
+
+
+def test_lower_version_that_comes_later_wins(spark, tmp_path):
+    from sondera.streaming import feeds
+
+    spark.conf.set(*feeds.STATE_STORE)
+    try:
+        put = lambda rows: spark.createDataFrame(rows, "url string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        put([("a/1v3",), ("a/2",), ("a/1v4",)])
+        stream = spark.readStream.schema("url string").parquet(str(tmp_path / "in"))
+        q = feeds.replaced_versions(stream, 3600).writeStream.format("memory").outputMode("update").queryName("versions").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+        try:
+            assert _waited(lambda: spark.table("versions").count() == 2)
+            put([("a/1v2",), ("a/2v5",)])
+            assert _waited(lambda: spark.table("versions").count() == 3)
+            got = [tuple(r) for r in spark.table("versions").collect()]
+            rows = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+        finally:
+            q.stop()
+        assert sorted(got) == [("a/1", 2), ("a/1", 3), ("a/2", 1)] and rows <= 2 * 2
+    finally:
+        spark.conf.unset(feeds.STATE_STORE[0])
