@@ -182,10 +182,14 @@ def clean_technique(raw: Column | str) -> Column:
     return F.struct(F.when((reason == "") & (value != ""), value).otherwise("").alias("value"), reason.alias("reason"))
 
 
+#: What stands in brackets is no part of a company's name; a word of one begins with a letter.
+_IN_BRACKETS, _COMPANY_WORD = r"\([^)]*\)", r"[A-Za-z][A-Za-z0-9&.\-]+"
+
+
 def names_company(text: Column | str) -> Column:
     """Distinct words that tell company names apart."""
-    bare = F.regexp_replace(_col(text), r"\([^)]*\)", " ")
-    words = F.transform(F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z0-9&.\-]+"), 0), lambda w: F.lower(F.btrim(w, F.lit("."))))
+    bare = F.regexp_replace(_col(text), _IN_BRACKETS, " ")
+    words = F.transform(F.regexp_extract_all(bare, F.lit(_COMPANY_WORD), 0), lambda w: F.lower(F.btrim(w, F.lit("."))))
     return F.array_distinct(F.filter(without(words, COMPANY_GENERIC), lambda w: F.length(w) > 2))
 
 
