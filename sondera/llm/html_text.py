@@ -2,10 +2,11 @@
 
 Markup is stripped to lines, one for each block of text. A line's weight is the number of its characters outside
 links, and none inside navigation, headers, footers, sidebars, notices, adverts, forms and comments. Weights are summed
-over a sliding window of lines: where the sum surges above a threshold the main text begins, and where it dives to
-nothing it ends. All lines with weight between a surge and its dive are kept, however short, and the spans of a page are
-joined: only lines of links lie between them. Where the page marks its article (article, main, role or itemprop), only
-lines inside it have weight, each enough for a surge, and link lines between them are kept.
+over a sliding window of lines. From one dive of the sum to nothing to the next, lines make a stretch; stretches whose sum
+surges to a threshold are main text, with all of their lines that have weight, however short, and are joined: only lines
+of links lie between them. Marks of an article (article, main, role or itemprop) change weights and nothing else: inside
+the mark links count as text, outside it characters count for a fraction. Of several marked blocks, those much smaller
+than the largest are teasers and count as outside.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from sondera.llm.common import table
 
 #: Lines summed at a time; a surge needs so many characters in a window; the window sum must fall to zero for a dive.
 WINDOW_LINES, SURGE_CHARS = 3, 80
+#: On pages with a mark, so many characters outside it weigh as one; a marked block under this share of the largest is a teaser.
+OUTSIDE_CHARS, TEASER_SHARE = 16, 0.3
 #: A line with more than this share of its characters in links is a menu line.
 LINK_SHARE = 0.5
 
@@ -59,14 +62,14 @@ def _kind(name: str, attributes: str, in_article: bool) -> str:
     return ""
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links and chrome, inside an article) of the lines of a page, in order."""
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, weight, marked block) of the lines of a page, in order; blocks count from 1, and 0 is outside of all."""
     page = _RAW.sub(" ", page)
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, str]] = []  # open elements that matter: (name, kind)
-    chrome = article = link = 0
+    chrome = article = link = blocks = 0
     at = 0
 
     def end_line() -> None:
@@ -75,7 +78,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 own = len(text) - linked
-                out.append((text, 0 if linked > LINK_SHARE * len(text) else max(1, own), article > 0))
+                out.append((text, 0 if linked > LINK_SHARE * len(text) else max(1, own), blocks if article else 0))
             parts, linked = [], 0
 
     def take(piece: str) -> None:
@@ -114,34 +117,50 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if kind or name in _OWN_END:
                 stack.append((name, kind))
                 chrome += kind == "chrome"
+                blocks += kind == "article" and not article
                 article += kind == "article"
     take(page[at:])
     end_line()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page; empty for null, for an empty page and where no line has weight."""
+def sides_of(lines: list[tuple[str, int, int]]) -> list[list[tuple[int, int]]]:
+    """(place, weight) of the lines inside the mark and of those outside; on a page without a mark, of all lines."""
+    size: dict[int, int] = {}
+    for text, weight, block in lines:
+        if block and weight:
+            size[block] = size.get(block, 0) + len(text)
+    if not size:
+        return [[(i, weight) for i, (_, weight, _) in enumerate(lines)]]
+    main = {block for block, n in size.items() if n >= TEASER_SHARE * max(size.values())}
+    inside = [(i, len(text)) for i, (text, _, block) in enumerate(lines) if block in main]
+    return [inside, [(i, weight // OUTSIDE_CHARS) for i, (_, weight, block) in enumerate(lines) if block not in main]]
+
+
+def stretches_of(side: list[tuple[int, int]], window: int) -> list[tuple[int, list[int]]]:
+    """(highest window sum, places of lines with weight) of each stretch between two dives."""
+    out, high, own = [], 0, []
+    for at in range(len(side) + 1):
+        total = sum(weight for _, weight in side[at : at + window])
+        if total:
+            high = max(high, total)
+            if side[at][1]:
+                own.append(side[at][0])
+        elif own:
+            out.append((high, own))
+            high, own = 0, []
+    return out
+
+
+def main_text(page: str | None, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -> str:
+    """The main text of a page; empty for null, for an empty page and where no line has weight.
+
+    A page without any surge is a short one: its text is all that has weight, inside the mark if there is one.
+    """
     lines = lines_of(page or "")
-    if not lines:
-        return ""
-    marked = any(inside for _, weight, inside in lines if weight)
-    weights = [weight if not marked else max(weight, SURGE_CHARS) if inside and weight else 0 for _, weight, inside in lines]
-    sums = [sum(weights[i : i + WINDOW_LINES]) for i in range(len(weights))]
-    spans: list[tuple[int, int]] = []
-    begin = None
-    for i in range(len(sums) + 1):
-        if begin is None and i < len(sums) and sums[i] >= SURGE_CHARS:
-            begin = i
-        elif begin is not None and (i == len(sums) or sums[i] == 0):
-            spans.append((begin, i))
-            begin = None
-    if not spans:  # no surge: a short page is all of its lines with weight
-        spans = [(0, len(weights))]
-    kept = [i for span in spans for i in range(*span) if weights[i]]
-    if marked:  # link lines of the article are part of it
-        kept = [i for i in range(kept[0], kept[-1] + 1) if lines[i][2]]
-    return " ".join(lines[i][0] for i in kept)
+    sides = [stretches_of(side, window) for side in sides_of(lines)]
+    kept = [own for side in sides for high, own in side if high >= surge] or [own for _, own in sides[0]]
+    return " ".join(lines[i][0] for i in sorted(i for own in kept for i in own))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

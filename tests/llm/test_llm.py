@@ -615,6 +615,33 @@ def test_main_text_is_whole_where_links_cut_it():
     assert html_text.main_text(bare.replace(f"<p>{first}", f"<article><p>{first}").replace(f"{second}</p>", f"{second}</p></article>")) == f"{first} {lines}{second}"
 
 
+def test_sums_decide_on_marked_pages():
+    title, body = "A title", "A paragraph of the article that is long enough for a surge of its own, and then some more."
+    beside = "Words beside the article in a plain block that no name gives away, such as a long claim of rights. " * 3
+    page = f"<div>{beside}</div><article><h1>{title}</h1><p><a href=/1>Part one</a></p><p>{body}</p><p><a href=/2>Part two</a></p></article><div>{beside}</div>"
+    whole = f"{title} Part one {body} Part two"
+    assert html_text.main_text(page) == whole  # links at both ends belong to it, words beside it do not surge
+    assert html_text.main_text(page, surge=10) == f"{beside}{whole} {beside}".strip()  # with a low threshold they do
+    assert html_text.main_text(page, surge=10_000) == whole
+    long = beside * 5
+    assert html_text.main_text(page.replace(beside, long)) == f"{long}{whole} {long}".strip()  # a long text beside the mark surges
+    teaser = "<article><h2>Another one</h2><p>Read it.</p></article>"
+    assert html_text.main_text(f"<body>{teaser}<article><p>{body}</p></article>{teaser}") == body
+    both = f"<article><p>{body}</p></article><p>cut</p><article><p>{body}</p><p>End.</p></article>"
+    assert html_text.main_text(both) == f"{body} {body} End."
+    assert html_text.main_text("<p>beside</p><main><p>Short.</p></main>") == "Short."
+
+
+def test_short_lines_before_the_surge_and_a_dive(spark):
+    body = "A paragraph that is long enough for a surge of its own, and then it goes on for some more words."
+    short, links = [f"<p>Line {i}</p>" for i in range(6)], "<p><a href=/>Menu of the site</a></p>" * 4
+    bare = f"{links}{''.join(short)}<p>{body}</p><p>End.</p>{links}<p>left over</p>{links}"
+    assert html_text.main_text(bare) == " ".join([f"Line {i}" for i in range(6)] + [body, "End."])
+    assert html_text.main_text(bare, surge=5).endswith("End. left over")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html", F.regexp_replace("html", "</?article>", "").alias("bare"))
+    assert html_text.extract(pages).join(html_text.extract(pages, "bare").select("page_id", F.col("text").alias("of_bare")), "page_id").filter("text <> of_bare").count() == 0
+
+
 # --- 10
 
 
