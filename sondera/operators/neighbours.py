@@ -20,6 +20,8 @@ from sondera.lineage import cut
 
 #: A block of queries, with the best found for each, holds so many numbers; a task multiplies so many queries at a time.
 MOST_QUERY_NUMBERS, TILE = 20_000_000, 1024
+#: Pairs: so many rows of a block meet so many of another in a task; so many pivots at most, which every task holds.
+BLOCK_ROWS, MOST_PIVOTS = 4096, 512
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, most_numbers: int = MOST_QUERY_NUMBERS) -> DataFrame:
@@ -64,32 +66,94 @@ def _top_k_of_block(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return part.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def pairs_above(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
-    """(a, b, score), a < b: all pairs of ``vectors`` (id, v) with cosine of at least ``threshold``.
+def pairs_above(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, score), a < b: all pairs of ``vectors`` (id, v; of length one, or zero) with cosine of at least ``threshold``.
 
-    Vectors are cut into blocks; each pair of blocks meets in one task, as one matrix product.
+    Equal vectors are compared once, and written out as pairs at the end; ``classes_above`` leaves them as classes.
     """
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = vectors.select("id", "v", block.alias("own")).withColumn("other", F.explode(F.sequence("own", F.lit(blocks - 1))))
-    right = vectors.select(F.col("id").alias("id2"), F.col("v").alias("v2"), block.alias("other2"))
-    right = right.withColumn("own2", F.explode(F.sequence(F.lit(0), "other2")))
+    pairs, members = classes_above(vectors, threshold, block_rows)
+    x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    apart = pairs.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    own = members.select("rep", F.col("id").alias("a"), "norm").filter(F.col("norm") >= threshold)
+    alike = own.join(members.select("rep", F.col("id").alias("b")), "rep").filter("a < b").select("a", "b", F.col("norm").alias("score"))
+    return apart.unionByName(alike)
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+
+def classes_above(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, score), a < b, between the first ids of classes of equal vectors, and members (id, rep, norm).
+
+    Vectors lie with the nearest of some pivots. A vector meets the block of a pivot only if their angle allows it: it is
+    at most the block's radius and the angle of the threshold together. Blocks are dealt out to parts of ``block_rows``,
+    so that what meets in a task does not grow with the table.
+    """
+    spark = vectors.sparkSession
+    classes = cut(vectors.filter("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    norm = dot(F.col("v"), F.col("v"))
+    several = vectors.join(classes.filter("n > 1"), "v").select("id", "rep", norm.alias("norm"))
+    members = classes.filter("n = 1").select(F.col("rep").alias("id"), "rep", norm.alias("norm")).unionByName(several)
+    sides = meetings(classes.select(F.col("rep").alias("id"), "v"), threshold, block_rows)
+    if sides is None:
+        return spark.createDataFrame([], "a long, b long, score double"), members
+
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
-        va, vb = np.array(a["v"].tolist(), np.float64), np.array(b["v2"].tolist(), np.float64)
-        ia, ib = a["id"].to_numpy(np.int64), b["id2"].to_numpy(np.int64)
+        va, vb = np.array(a["v"].tolist(), np.float64), np.array(b["v_b"].tolist(), np.float64)
+        ia, ib = a["id"].to_numpy(np.int64), b["id_b"].to_numpy(np.int64)
         got = []
-        for at in range(0, len(va), 1024):
-            s = va[at : at + 1024] @ vb.T
+        for at in range(0, len(va), TILE):
+            s = va[at : at + TILE] @ vb.T
             i, j = np.nonzero(s >= threshold)
             got.append((ia[i + at], ib[j], s[i, j]))
         x, y, s = (np.concatenate(c) for c in zip(*got))
-        same = a["own"].iat[0] == a["other"].iat[0]
-        keep = (x < y) if same else (x != y)
+        keep = x < y if key[0] == key[1] and key[2] == key[3] else x != y
         return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "score": s[keep]})
 
-    return left.groupBy("own", "other").cogroup(right.groupBy("own2", "other2")).applyInPandas(meet, "a long, b long, score double")
+    keys = ("block_a", "block_b", "part_a", "part_b")
+    left, right = (side.groupBy(*keys) for side in sides)
+    return left.cogroup(right).applyInPandas(meet, "a long, b long, score double"), members
+
+
+def meetings(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame] | None:
+    """The two sides (block_a, block_b, part_a, part_b, id, v; id_b, v_b) of a self-join of different vectors; nothing for no vector."""
+    n = vectors.count()
+    if not n:
+        return None
+    count = min(MOST_PIVOTS, max(8, -(-2 * n // block_rows)))
+    first = vectors.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(count).toPandas()
+    pivots = np.array(first["v"].tolist(), np.float64)
+
+    def angles(batch: pd.DataFrame) -> np.ndarray:
+        return np.arccos(np.clip(np.array(batch["v"].tolist(), np.float64) @ pivots.T, -1, 1))
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                to = angles(batch)
+                yield batch.assign(own=to.argmin(1).astype(np.int32), angle=to.min(1))
+
+    own = cut(vectors.mapInPandas(dealt, "id long, v array<double>, own int, angle double"))
+    radius, parts = np.full(len(pivots), -np.inf), np.ones(len(pivots), np.int32)
+    for block, rows, most in own.groupBy("own").agg(F.count(F.lit(1)), F.max("angle")).collect():  # one row a pivot
+        radius[block], parts[block] = most, -(-rows // block_rows)
+    reach = np.arccos(np.clip(threshold, -1, 1)) + radius + 1e-6  # room for rounding
+
+    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                near = [np.flatnonzero(row) for row in angles(batch) <= reach]
+                yield batch[["id", "v", "own"]].assign(own_parts=parts[batch["own"]], other=near, other_parts=[parts[i] for i in near])
+
+    rows = own.select("id", "v", "own").mapInPandas(partners, "id long, v array<double>, own int, own_parts int, other array<int>, other_parts array<int>")
+    rows = rows.withColumn("o", F.explode(F.arrays_zip("other", "other_parts"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("own_parts")).cast("int"))
+    other, last, same = F.col("o.other"), F.col("o.other_parts") - 1, F.col("own") == F.col("o.other")
+    left = rows.filter(F.col("own") <= other).select(
+        F.col("own").alias("block_a"), other.alias("block_b"), F.col("part").alias("part_a"), F.explode(F.sequence(F.when(same, F.col("part")).otherwise(0), last)).alias("part_b"), "id", "v"
+    )
+    right = rows.filter(F.col("own") >= other).select(
+        other.alias("block_a"), F.col("own").alias("block_b"), F.explode(F.sequence(F.lit(0), F.when(same, F.col("part")).otherwise(last))).alias("part_a"), F.col("part").alias("part_b"), F.col("id").alias("id_b"), F.col("v").alias("v_b")
+    )
+    return left, right
 
 
 def neighbourhoods(corpus: DataFrame, queries: DataFrame, today: str, years: int = 2, tau: float = 0.60, k: int = 2000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def test_top_k_agrees_with_a_cross_join(spark):
     for q in range(4):
         assert [got[q, k] for k in (1, 2, 3)] == list(np.argsort(-(v @ v[q]), kind="stable")[:3])
     assert neighbours.top_k(corpus.filter("id < 0"), queries, 3).count() == 0
-    pairs = {(r["a"], r["b"]) for r in neighbours.pairs_above(corpus, 0.5, blocks=3).collect()}
+    pairs = {(r["a"], r["b"]) for r in neighbours.pairs_above(corpus, 0.5, block_rows=3).collect()}
     assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if v[i] @ v[j] >= 0.5}
 
 
@@ -609,3 +610,36 @@ def test_lower_version_that_comes_later_wins(spark, tmp_path):
         assert sorted(got) == [("a/1", 2), ("a/1", 3), ("a/2", 1)] and rows <= 2 * 2
     finally:
         spark.conf.unset(feeds.STATE_STORE[0])
+
+
+def test_pairs_of_equal_and_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    v = centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 8)) * 0.15
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[250:290], v[290:] = v[3], 0.0  # a class of copies, and vectors of no length
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(7)
+    for threshold in (0.9, 0.2):
+        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if v[i] @ v[j] >= threshold}
+        for block_rows in (16, 4096):
+            got = [(r["a"], r["b"]) for r in neighbours.pairs_above(rows, threshold, block_rows).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    pairs, members = neighbours.classes_above(rows, 0.9, 16)
+    assert members.count() == 300 and members.filter("rep = 3").count() == 41
+    assert pairs.filter("a = 3 or b = 3").count() == sum(1 for i in range(250) if i != 3 and v[i] @ v[3] >= 0.9)
+    assert neighbours.pairs_above(rows.filter("id < 0"), 0.5).count() == 0
+
+
+def test_rows_that_meet_in_a_task_do_not_grow(spark):
+    rng = np.random.default_rng(6)
+    most, met = [], []
+    for n in (400, 4000):
+        v = np.concatenate([rng.normal(size=(1, 8)).repeat(n // 2, 0) + rng.normal(size=(n // 2, 8)) * 0.05, rng.normal(size=(n // 2, 8))])
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+        left, right = neighbours.meetings(rows, 0.9, 100)
+        keys = ["block_a", "block_b", "part_a", "part_b"]
+        groups = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("l")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("r")), keys)
+        most.append(groups.agg(F.max(F.greatest("l", "r"))).first()[0])
+        met.append(groups.agg(F.sum(F.col("l") * F.col("r"))).first()[0] / (n * n / 2))
+    assert max(most) < 180 and met[1] < 0.6  # 100 by the mean, hashes deal unevenly; far blocks do not meet
