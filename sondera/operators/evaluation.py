@@ -69,20 +69,68 @@ def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def permutation_floor(rows: DataFrame, score: str, positive: str, key: str, shuffles: int = 200, share: float = 0.95, seed: int = 7) -> DataFrame:
-    """(floor): the AUC at place ``int(share * shuffles)`` of as many AUCs of outcomes shuffled by a seeded hash.
+def permutation_floor(rows: DataFrame, score: str, positive: str, key: str, *by: str, shuffles: int = 200, share: float = 0.95, seed: int = 7) -> DataFrame:
+    """(by, floor): the AUC at place ``int(share * shuffles)`` of as many AUCs of outcomes shuffled by a seeded digest.
 
-    The ranks of the scores stay; a shuffle deals the outcomes to other rows, in the order of the hash of its number and
-    the row's key.
+    The ranks of the scores stay; a shuffle deals the outcomes to other rows, in the order of the digest of seed, its number
+    and the row's key. Null where one side is empty.
     """
     own = rows.filter(F.col(score).isNotNull() & F.col(positive).isNotNull())
-    ranked = own.withColumn("_r", average_rank(score)).withColumn("_i", F.row_number().over(W.orderBy(key)))
-    labels = ranked.select("_i", F.col(positive).alias("_y"))
-    tries = ranked.select("_r", key).withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(shuffles))))
-    dealt = tries.withColumn("_i", F.row_number().over(W.partitionBy("_t").orderBy(F.xxhash64("_t", key, F.lit(seed)), key))).join(labels, "_i")
+    ranked = own.withColumn("_r", average_rank(score, *by)).withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(key)))
+    labels = ranked.select(*by, "_i", F.col(positive).alias("_y"))
+    tries = ranked.select(*by, "_r", key).withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(shuffles))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_t").cast("string"), F.col(key).cast("string")))
+    dealt = tries.withColumn("_i", F.row_number().over(W.partitionBy(*by, "_t").orderBy(digest, key))).join(labels, [*by, "_i"])
     pos, neg = F.count_if("_y"), F.count_if(~F.col("_y"))
-    each = dealt.groupBy("_t").agg(((F.sum(F.when(F.col("_y"), F.col("_r"))) - pos * (pos + 1) / F.lit(2.0)) / (pos * neg)).alias("auc"))
-    return each.orderBy("auc", "_t").offset(int(share * shuffles)).limit(1).select(F.col("auc").alias("floor"))
+    u = F.sum(F.when(F.col("_y"), F.col("_r"))) - pos * (pos + 1) / F.lit(2.0)
+    each = dealt.groupBy(*by, "_t").agg(F.when((pos > 0) & (neg > 0), u / (pos * neg)).alias("auc"))
+    place = F.element_at(F.array_sort(F.collect_list("auc")), int(share * shuffles) + 1)
+    return each.groupBy(*by).agg(F.when(F.count("auc") == shuffles, place).alias("floor"))
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str, least: float = 0.9) -> DataFrame:
+    """How far two measures (key, works, first_year, last_year_works) of the same names agree, in one row.
+
+    Rank correlations of works and of last year's works, where a name that one of them hasn't got has none; among names
+    that both have the share of equal first years and the median of b's works to a's; names that only one has. Passed
+    where correlation and share reach ``least``.
+    """
+    named = lambda rows, p: rows.select(key, *(F.col(c).alias(f"{p}_{c}") for c in ("works", "first_year", "last_year_works")))
+    none = dict.fromkeys(("a_works", "b_works", "a_last_year_works", "b_last_year_works"), 0)
+    pairs = cut(named(a, "a").join(named(b, "b"), key, "full").fillna(none))
+    has_a, has_b = F.col("a_works") > 0, F.col("b_works") > 0
+    both = has_a & has_b
+    same = F.count_if(both & F.col("a_first_year").eqNullSafe(F.col("b_first_year"))) / F.count_if(both)
+    sums = pairs.agg(
+        same.alias("same_year"), F.median(F.when(both, F.col("b_works") / F.col("a_works"))).alias("median_ratio"), F.count_if(both).alias("both"),
+        F.count_if(has_a & ~has_b).alias("only_a"), F.count_if(has_b & ~has_a).alias("only_b"),
+    )
+    rho = spearman(pairs, "a_works", "b_works")
+    last = spearman(pairs, "a_last_year_works", "b_last_year_works").select(F.col("rho").alias("rho_last_year"))
+    out = rho.join(last, F.lit(True)).join(sums, F.lit(True))  # one row each
+    return out.withColumn("passed", (F.col("rho") >= least) & (F.col("same_year") >= least))
+
+
+def ladder(rows: DataFrame, scorers: dict[str, Column], longest: str, name: str = "name") -> DataFrame:
+    """(horizon, scorer, n, pos, growing, rho, auc, floor, reached) of ``rows`` (name, horizon, v, excess, top)."""
+    rows = cut(rows)
+    far = rows.filter(F.col("horizon") == longest).select(name, F.col("excess").alias("_far"))
+    rho = spearman(rows.join(far, name), "excess", "_far", "horizon").select("horizon", "rho")
+    growing = rows.groupBy("horizon").agg((F.count_if(F.col("v") > 0) / F.count(F.lit(1))).alias("growing"))
+    scored = rows.select("horizon", name, "top", *(c.cast("double").alias(k) for k, c in scorers.items())).unpivot(["horizon", name, "top"], list(scorers), "scorer", "score")
+    area = auc(scored, "score", "top", "horizon", "scorer").withColumn("n", F.col("pos") + F.col("neg"))
+    out = area.join(permutation_floor(scored, "score", "top", name, "horizon", "scorer"), ["horizon", "scorer"]).join(rho, "horizon").join(growing, "horizon")
+    return out.withColumn("reached", F.round("auc", 9) >= F.round("floor", 9))
+
+
+def skew(sides: dict[str, DataFrame], features: list[str]) -> DataFrame:
+    """(side, feature, n, missing, q1, q2, q3): the same features of several sets of rows, as of training and serving."""
+    out = None
+    for side, rows in sides.items():
+        each = rows.select(*(F.col(f).cast("double").alias(f) for f in features)).unpivot([], features, "feature", "v")
+        found = each.groupBy(F.lit(side).alias("side"), "feature").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.percentile("v", [0.25, 0.5, 0.75]).alias("q"))
+        out = found if out is None else out.unionByName(found)
+    return out.select("side", "feature", "n", "missing", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)))
 
 
 def growth_ratio(before: Column, after: Column) -> Column:

@@ -127,6 +127,20 @@ def at_dates(works: DataFrame | Postings, names: DataFrame, dates: dict[str, str
     return core_postings(works.filter(~F.col("junk")), names).groupBy("name").agg(*cols)
 
 
+def dated_facets(facets: DataFrame, prints: DataFrame, bursts: DataFrame, n: int = 6, least: int = 3) -> DataFrame:
+    """(query, facet, place) of ``facets`` (query, facet, place) that had ``least`` works at the cut, in their order.
+
+    ``prints`` (facet, works) is a footprint at the cut. A facet below that was named with knowledge of what came later.
+    Where fewer than ``n`` are left, ``bursts`` (query, facet, place) that are not among them fill up, in their order.
+    """
+    order = W.partitionBy("query").orderBy("place", "facet")
+    kept = facets.join(prints.filter(F.col("works") >= least).select("facet"), "facet").select("query", "facet", F.row_number().over(order).alias("place"))
+    more = bursts.join(kept.select("query", "facet"), ["query", "facet"], "left_anti").withColumn("place", F.row_number().over(order))
+    more = more.filter(F.col("place") <= n).join(kept.groupBy("query").agg(F.count(F.lit(1)).alias("_n")), "query", "left")
+    more = more.withColumn("place", F.col("place") + F.coalesce("_n", F.lit(0))).filter(F.col("place") <= n)
+    return kept.unionByName(more.select("query", "facet", "place"))
+
+
 def patent_activity(patents: DataFrame | Postings, phrases: DataFrame, as_of: str, days: int = 730, newest: int = 3) -> DataFrame:
     """(name, recent, before, newest ids): documents of the last ``days`` and of as many before; asked but not found is 0."""
     day, at = F.col("observed_at"), F.lit(as_of).cast("date")

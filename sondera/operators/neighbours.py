@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sondera.functions.vectors import dot
 from sondera.lineage import cut
+from sondera.operators.evaluation import value_ranks
 
 #: A block of queries, with the best found for each, holds so many numbers; a task multiplies so many queries at a time.
 MOST_QUERY_NUMBERS, TILE = 20_000_000, 1024
@@ -186,6 +187,17 @@ def coherence(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     return pairs.groupBy(F.col("a.query").alias("query")).agg(F.avg(dot(F.col("a.v"), F.col("b.v"))).alias("coherence"))
 
 
+def topic_batches(docs: DataFrame, queries: DataFrame, size: int = 15) -> DataFrame:
+    """(id, query, batch) of ``docs`` (id, title, v): in the order of nearest query, closeness and title, ``size`` a batch.
+
+    Documents ask, queries answer. Places in the order come from ranges and their sums, so no task holds one query's all.
+    """
+    near = top_k(queries.select(F.col("query").alias("id"), "v"), docs.select(F.col("id").alias("query"), "v"), 1)
+    near = near.select(F.col("id").alias("topic"), F.col("query").alias("id"), (-F.round("score", 9)).alias("far")).join(docs.select("id", "title"), "id")
+    placed = value_ranks(near.select(F.struct("topic", "far", F.coalesce("title", F.lit("")).alias("title"), "id").alias("at")), "at")
+    return placed.select(F.col("at.id").alias("id"), F.col("at.topic").alias("query"), F.floor(F.col("before") / size).alias("batch"))
+
+
 def window_coverage(works: DataFrame, vectors: DataFrame, today: str, years: int = 2) -> DataFrame:
     """(win, works, with_vector, share): how much of each window has a vector."""
     at = F.lit(today).cast("date")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondera.lineage import cut
+
 
 def _prepared(features: list[str]) -> list:
     filled = [f"{f}_f" for f in features]
@@ -52,14 +54,29 @@ def leave_one_out(rows: DataFrame, features: list[str], label: str, group: str)
     return out
 
 
+def stratified(rows: DataFrame, label: str, key: str, folds: int, seed: int = 7, bucket_rows: int = 10_000) -> DataFrame:
+    """``rows`` with _fold: dealt out in turn within each outcome, in the order of a seeded hash of their key.
+
+    Of each outcome, folds get the same number of rows within one. The order goes by hash ranges of about ``bucket_rows``
+    rows; the counts of those before, one number a range, make the turn go on from one to the next.
+    """
+    buckets = max(1, rows.count() // bucket_rows)
+    h = F.xxhash64(F.lit(seed), key)
+    own = rows.withColumns({"_h": h, "_b": F.pmod(h, F.lit(buckets))})
+    w = W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = own.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n")).select(label, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    turn = F.col("_before") + F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key)) - 1
+    return own.join(before, [label, "_b"]).withColumn("_fold", F.pmod(turn, F.lit(folds)).cast("int")).drop("_h", "_b", "_before")
+
+
 def repeated_folds(rows: DataFrame, features: list[str], label: str, key: str, repeats: int = 3, folds: int = 5, seed: int = 7) -> DataFrame:
-    """(repeat, fold, n_train, n_test, auc): each repeat deals the rows anew, by a seeded hash of their key, to folds.
+    """(repeat, fold, n_train, n_test, auc): each repeat deals the rows anew to folds, in turn within each outcome.
 
     Every row is scored in each repeat by a model that has not seen it. One fit for each fold of a repeat.
     """
     auc, out = BinaryClassificationEvaluator(labelCol=label), []
     for r in range(1, repeats + 1):
-        dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.lit(r), key), F.lit(folds)))
+        dealt = cut(stratified(rows, label, key, folds, seed * 1000 + r))
         sizes = {f: n for f, n in dealt.groupBy("_fold").count().collect()}
         for f in sorted(sizes):
             got = logistic(features, label).fit(dealt.filter(F.col("_fold") != f)).transform(dealt.filter(F.col("_fold") == f))

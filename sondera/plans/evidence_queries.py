@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from sondera.functions import money, stats, text
 from sondera.lineage import checkpoint_dir
-from sondera.operators import evaluation, ranking, training, verify
+from sondera.operators import evaluation, neighbours, ranking, training, verify
 from sondera.plans import views as V
 from sondera.plans.corpus_queries import _FUND, first_headlines
-from sondera.plans.ranking_queries import _FEATS, _scored
+from sondera.plans.ranking_queries import _FEATS, _scored, floor_sql
 from sondera.plans.registry import query, r6
 from sondera.plans.views import sql
 from sondera.sources import readers
@@ -115,10 +115,13 @@ def w16(spark, d) -> DataFrame:
     return V.headlines(spark, d).groupBy("publisher").agg(F.min("published").alias("first_day"), F.min_by("title", F.struct("published", "n")).alias("title"))
 
 
-@query("w15_dense_batches", sql("headlines", "SELECT n, (row_number() OVER (PARTITION BY label ORDER BY title, n) - 1) // 15 AS batch FROM headlines"))
+@query("w15_dense_batches", sql("vectors", """WITH s AS (SELECT a.id, b.id AS query, round(list_dot_product(a.v, b.v), 9) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.id) AS rn FROM vectors a, vectors b WHERE b.id % 50 = 0)
+SELECT s.id, query, (row_number() OVER (ORDER BY query, s DESC, coalesce(text, ''), s.id) - 1) // 15 AS batch FROM s JOIN documents ON doc_id = s.id WHERE rn = 1"""))
 def w15(spark, d) -> DataFrame:
-    h = V.headlines(spark, d)
-    return h.select("n", F.floor((F.row_number().over(W.partitionBy("label").orderBy("title", "n")) - 1) / 15).alias("batch"))
+    """Works in batches of fifteen by the query that they are nearest to."""
+    titles = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+    docs = V.vectors(spark, d).select("id", "v").join(titles, "id")
+    return neighbours.topic_batches(docs, V.vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query"), "v"))
 
 
 @query("w12_top_third", sql("candidates", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY after DESC, key) AS rn, count(*) OVER (PARTITION BY domain) AS n FROM candidates) SELECT domain, max(after) FILTER (WHERE rn = greatest(n // 3, 1)) AS cutoff FROM r GROUP BY domain"))
@@ -242,10 +245,15 @@ def v6(spark, d) -> DataFrame:
     return verify.grounded_terms(terms, b, ["startup"])
 
 
-@query("v7_relevance_filter", sql("headlines", "SELECT n FROM headlines WHERE NOT (n % 6 = 0)"))
+@query("v7_relevance_filter", sql("headlines", f"SELECT n FROM headlines WHERE {_FUND} OR label >= 'n'"))
 def v7(spark, d) -> DataFrame:
-    h = V.headlines(spark, d).select("n")
-    return verify.relevant(h, h.filter("n % 3 = 0").withColumn("verdict", F.col("n") % 2 != 0), ["n"])
+    """Verdicts from answers: for labels that were asked about, a list of the headlines on the point; others are unjudged."""
+    h = V.headlines(spark, d).select("n", "label", "title")
+    asked = h.filter("label < 'n'").groupBy(F.floor(F.col("n") / 10).alias("batch"))
+    answers = asked.agg(F.to_json(F.struct(F.collect_list("n").alias("asked"), F.collect_list(F.when(money.is_funding("title"), F.col("n"))).alias("onpoint"))).alias("body"))
+    said = answers.select(F.from_json("body", "asked array<long>, onpoint array<long>").alias("a"))
+    verdicts = said.select(F.explode("a.asked").alias("n"), F.col("a.onpoint").alias("on")).select("n", F.array_contains("on", F.col("n")).alias("verdict"))
+    return verify.relevant(h.select("n"), verdicts, ["n"])
 
 
 @query("v8_assessment_contract", sql("candidates", """SELECT key AS id, kind <> 'noise' AS valid, CASE WHEN kind <> 'noise' THEN kind END AS kind, CASE WHEN key % 3 = 1 THEN 'said in [' || (key % 3) || ']' ELSE '' END AS reason, least(20, players * 5) AS players, grade FROM candidates"""))
@@ -459,16 +467,16 @@ def m16(spark, d) -> DataFrame:
     return out.unionByName(each.agg(F.lit("random").alias("rule"), r6(F.avg("c"), "caught"))).unionByName(expected)
 
 
-@query("m31_money_from_zero", sql("candidates", """WITH z AS (SELECT * FROM candidates WHERE before = 0), r AS (SELECT after > 30 AS pos, rank() OVER (ORDER BY share) + (count(*) OVER (PARTITION BY share) - 1) / 2.0::DOUBLE AS r FROM z WHERE share IS NOT NULL),
+@query("m31_money_from_zero", sql("candidates", f"""WITH z AS (SELECT * FROM candidates WHERE before = 0), s AS (SELECT 0 AS g, key, after > 30 AS y, share AS score FROM z), {floor_sql('s', 'g')},
 a AS (SELECT key FROM z WHERE share IS NOT NULL ORDER BY share DESC, key LIMIT 50), b AS (SELECT key FROM z ORDER BY works DESC, key LIMIT 50)
-SELECT round((sum(r) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos)), 6) AS auc, count(*) FILTER (WHERE pos) AS pos, count(*) FILTER (WHERE NOT pos) AS neg,
-  (SELECT count(*) FROM a JOIN b USING (key)) AS both_tops FROM r"""))
+SELECT round(auc, 6) AS auc, round(floor, 6) AS floor, pos, n - pos AS neg, (SELECT count(*) FROM a JOIN b USING (key)) AS both_tops FROM areas JOIN floors USING (g)"""))
 def m31(spark, d) -> DataFrame:
-    """Candidates without money before: how well the share tells who gets some, and how far its top and that of works agree."""
+    """Candidates without money before: how well the share tells who gets some, the floor of chance, and how far its top and that of works agree."""
     c = V.candidates(spark, d).filter("before = 0").withColumns({"y": F.col("after") > 30})
     first = c.filter("share is not null").orderBy(F.desc("share"), "key").limit(50).select("key")
     both = first.join(c.orderBy(F.desc("works"), "key").limit(50).select("key"), "key").agg(F.count(F.lit(1)).alias("both_tops"))
-    return evaluation.auc(c, "share", "y").withColumn("auc", F.round("auc", 6)).join(F.broadcast(both), F.lit(True))  # one row with one row
+    floor = evaluation.permutation_floor(c, "share", "y", "key").select(r6("floor"))
+    return evaluation.auc(c, "share", "y").withColumn("auc", F.round("auc", 6)).join(floor, F.lit(True)).join(F.broadcast(both), F.lit(True))  # one row each
 
 
 @query("m26_hard_controls", sql("candidates", "SELECT DISTINCT label FROM (SELECT label FROM candidates WHERE works >= 40 AND before >= 10 UNION ALL SELECT label FROM candidates WHERE kind = 'noise' UNION ALL SELECT label FROM candidates WHERE key % 101 = 0)"))

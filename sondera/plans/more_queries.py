@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondera.functions import stats, text, vectors
-from sondera.operators import evaluation, footprint, grouping, neighbours, ranking
+from sondera.operators import burst, evaluation, footprint, grouping, neighbours, ranking
 from sondera.plans import views as V
-from sondera.plans.ranking_queries import _DOT, _FEATS, _queries, _scored
-from sondera.plans.registry import query, r6
+from sondera.plans.corpus_queries import _pairs
+from sondera.plans.ranking_queries import _DOT, _FEATS, _queries, _scored, floor_sql
+from sondera.plans.registry import SQL, query, r6
 from sondera.plans.views import AS_OF, sql
 
 
@@ -222,14 +223,25 @@ def g4(spark, d) -> DataFrame:
     return V.candidates(spark, d).groupBy("query_id").agg(F.when(F.max(F.when(own, F.col("works"))) > 0, best_own).otherwise(F.max_by("label", order)).alias("core"))
 
 
-@query("m15_horizon_ladder", sql("works names", """WITH g AS (SELECT name, df, """ + ", ".join(f"count(*) FILTER (WHERE NOT (month(observed_at) = 1 AND day(observed_at) = 1) AND observed_at > DATE '2020-06-30' AND observed_at <= DATE '2020-06-30' + {h}) AS h{h}" for h in (90, 180, 365, 730)) + """ FROM names JOIN works ON contains(tok, ' ' || name) AND NOT junk GROUP BY name, df),
-l AS (SELECT df, unnest(['h90', 'h180', 'h365']) AS horizon, unnest([h90, h180, h365]) AS n, h730 FROM g), r AS (SELECT horizon, rank() OVER (PARTITION BY horizon ORDER BY n) + (count(*) OVER (PARTITION BY horizon, n) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY horizon ORDER BY h730) + (count(*) OVER (PARTITION BY horizon, h730) - 1) / 2.0::DOUBLE AS y FROM l)
-SELECT horizon, round(corr(x, y), 6) AS rho, count(*) AS n FROM r GROUP BY horizon"""))
+_LADDER = ("h90", "h180", "h365", "h730")
+
+
+@query("m15_horizon_ladder", sql("works names", f"""WITH g AS (SELECT name, df, {", ".join(f"count(*) FILTER (WHERE NOT (month(observed_at) = 1 AND day(observed_at) = 1) AND observed_at > DATE '2020-06-30' AND observed_at <= DATE '2020-06-30' + {h[1:]}) AS {h}" for h in _LADDER)} FROM names JOIN works ON contains(tok, ' ' || name) AND NOT junk GROUP BY name, df),
+l AS (SELECT name, df, substr(name, 1, 1) AS domain, unnest({list(_LADDER)}) AS horizon, unnest([{", ".join(_LADDER)}]) AS v FROM g),
+p AS (SELECT *, v - median(v) OVER (PARTITION BY horizon, domain) AS excess, row_number() OVER (PARTITION BY horizon, domain ORDER BY v DESC) AS place, count(*) OVER (PARTITION BY horizon, domain) AS n FROM l),
+t AS (SELECT *, v >= max(CASE WHEN place = greatest(n // 3, 1) THEN v END) OVER (PARTITION BY horizon, domain) AND v > 0 AS y FROM p),
+r AS (SELECT a.horizon, rank() OVER (PARTITION BY a.horizon ORDER BY a.excess) + (count(*) OVER (PARTITION BY a.horizon, a.excess) - 1) / 2.0::DOUBLE AS x1, rank() OVER (PARTITION BY a.horizon ORDER BY b.excess) + (count(*) OVER (PARTITION BY a.horizon, b.excess) - 1) / 2.0::DOUBLE AS x2 FROM t a JOIN t b ON a.name = b.name AND b.horizon = 'h730'),
+rho AS (SELECT horizon, corr(x1, x2) AS rho FROM r GROUP BY horizon), grows AS (SELECT horizon, count(*) FILTER (WHERE v > 0)::DOUBLE / count(*) AS growing FROM t GROUP BY horizon),
+s AS (SELECT horizon, name AS key, y, unnest(['df', 'short']) AS scorer, unnest([df, -length(name)]) AS score FROM t), {floor_sql('s', 'horizon, scorer')}
+SELECT horizon, scorer, n, pos, round(growing, 6) AS growing, round(rho, 6) AS rho, round(auc, 6) AS auc, round(floor, 6) AS floor, round(auc, 9) >= round(floor, 9) AS reached FROM areas JOIN floors USING (horizon, scorer) JOIN rho USING (horizon) JOIN grows USING (horizon)"""))
 def m15(spark, d) -> DataFrame:
-    """Rank correlation of growth at each horizon with growth over two years."""
-    g = footprint.grown(V.postings(spark, d), V.names(spark, d), "2020-06-30")
-    each = g.unpivot(["name", "h730"], ["h90", "h180", "h365"], "horizon", "v")
-    return evaluation.spearman(each, "v", "h730", "horizon").withColumn("rho", F.round("rho", 6))
+    """At each horizon: the share of names that grow at all, the rank correlation of their excess over the domain's median
+    with that of two years, and for each scorer the area for the upper third against the floor of chance."""
+    g = footprint.grown(V.postings(spark, d), V.names(spark, d), "2020-06-30").join(V.names(spark, d).select("name", "df"), "name")
+    each = g.unpivot(["name", "df"], list(_LADDER), "horizon", "v").withColumn("cell", F.concat_ws(":", "horizon", F.substring("name", 1, 1)))
+    return evaluation.ladder(evaluation.excess(each, "v", above_zero=True, by="cell"), {"df": F.col("df"), "short": -F.length("name")}, "h730").select(
+        "horizon", "scorer", "n", "pos", r6("growing"), r6("rho"), r6("auc"), r6("floor"), "reached"
+    )
 
 
 @query("m24_null_control")
@@ -258,17 +270,36 @@ def m30(spark, d) -> DataFrame:
     return got.select("line", r6("auc"))
 
 
-@query("m32_two_measures", sql("works names", """WITH a AS (SELECT name, count(*) AS n, (SELECT df FROM names m WHERE m.name = names.name) AS df FROM names JOIN works ON contains(tok, ' ' || name) AND NOT junk GROUP BY name),
-r AS (SELECT *, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY df) + (count(*) OVER (PARTITION BY df) - 1) / 2.0::DOUBLE AS y FROM a) SELECT round(corr(x, y), 6) AS rho, round(median(n::DOUBLE / df), 6) AS median_ratio, count(*) AS n FROM r"""))
-def m32(spark, d) -> DataFrame:
-    """Works that a name's prefix finds against documents that hold it as a word."""
-    both = footprint.at_dates(V.postings(spark, d), V.names(spark, d), {"n": "9999-01-01"}).join(V.names(spark, d), "name")
-    ranked = both.withColumns({"x": evaluation.average_rank("n"), "y": evaluation.average_rank("df")})
-    return ranked.agg(F.round(F.corr("x", "y"), 6).alias("rho"), F.round(F.median(F.col("n") / F.col("df")), 6).alias("median_ratio"), F.count(F.lit(1)).alias("n"))
+_EARLY, _LATER = "2018-03-31", "2019-03-31"
 
 
-@query("p19_facets_with_works", sql("works names", "SELECT name, n FROM (SELECT name, count(*) FILTER (WHERE observed_at <= DATE '2019-06-30') AS n FROM names JOIN works ON contains(tok, ' ' || name) AND NOT junk GROUP BY name) WHERE n >= 3 ORDER BY n DESC, name LIMIT 6"))
+@query("m32_two_measures", f"""WITH j AS (SELECT coalesce(a.works, 0) AS aw, coalesce(b.works, 0) AS bw, a.first_year AS ay, b.first_year AS by_, coalesce(a.last_year_works, 0) AS al, coalesce(b.last_year_works, 0) AS bl
+  FROM ({SQL['a1_footprint_phrases'].replace(AS_OF, _LATER)}) a FULL JOIN ({SQL['p4_label_footprint'].replace(AS_OF, _LATER)}) b USING (name)),
+r AS (SELECT *, {", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS r_{c}" for c in ("aw", "bw", "al", "bl"))} FROM j)
+SELECT round(corr(r_aw, r_bw), 6) AS rho, round(corr(r_al, r_bl), 6) AS rho_last_year, count(*) AS n, count(*) FILTER (WHERE aw > 0 AND bw > 0) AS both,
+  round(count(*) FILTER (WHERE aw > 0 AND bw > 0 AND ay IS NOT DISTINCT FROM by_)::DOUBLE / count(*) FILTER (WHERE aw > 0 AND bw > 0), 6) AS same_year, round(median(bw::DOUBLE / aw) FILTER (WHERE aw > 0 AND bw > 0), 6) AS median_ratio,
+  count(*) FILTER (WHERE aw > 0 AND bw = 0) AS only_a, count(*) FILTER (WHERE bw > 0 AND aw = 0) AS only_b,
+  corr(r_aw, r_bw) >= 0.9 AND count(*) FILTER (WHERE aw > 0 AND bw > 0 AND ay IS NOT DISTINCT FROM by_) >= 0.9 * count(*) FILTER (WHERE aw > 0 AND bw > 0) AS passed FROM r""")
+def m32(spark, d) -> DataFrame:
+    """Pairs of words by the works that hold them side by side, and by those that hold both anywhere, at an early date."""
+    index, pairs = V.postings(spark, d), _pairs(spark, d)
+    got = evaluation.agreement(footprint.footprint(index, pairs, _LATER), footprint.label_footprint(index, pairs, _LATER), "name")
+    return got.select(r6("rho"), r6("rho_last_year"), "n", "both", r6("same_year"), r6("median_ratio"), "only_a", "only_b", "passed")
+
+
+@query("p19_facets_with_works", sql("works names", f"""WITH z AS (SELECT phrase, z FROM ({SQL['a4_burst_score']})),
+b AS (SELECT substr(phrase, 1, 1) AS q, phrase, row_number() OVER (PARTITION BY substr(phrase, 1, 1) ORDER BY z DESC, phrase) AS place FROM z),
+f AS (SELECT * FROM (SELECT substr(name, 1, 1) AS q, name, row_number() OVER (PARTITION BY substr(name, 1, 1) ORDER BY df DESC, name) AS place FROM names) WHERE place <= 5),
+p AS (SELECT name FROM f JOIN works ON contains(tok, ' ' || name) AND NOT junk AND observed_at <= DATE '{_EARLY}' GROUP BY name HAVING count(*) >= 3),
+k AS (SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY place) AS place FROM f JOIN p USING (name)), c AS (SELECT q, count(*) AS n FROM k GROUP BY q),
+m AS (SELECT q, phrase, row_number() OVER (PARTITION BY q ORDER BY place) + coalesce(c.n, 0) AS place FROM b LEFT JOIN c USING (q) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.q = b.q AND k.name = b.phrase))
+SELECT q AS query, name AS facet, place FROM k UNION ALL SELECT q, phrase, place FROM m WHERE place <= 6"""))
 def p19(spark, d) -> DataFrame:
-    """Facets with three works or more at the cut, six of them."""
-    got = footprint.at_dates(V.postings(spark, d), V.names(spark, d), {"n": "2019-06-30"})
-    return ranking.top_n(got.filter("n >= 3").withColumn("q", F.lit(1)), 6, [F.desc("n"), F.asc("name")], "q").select("name", "n")
+    """Five facets a letter: those with three works or more at an early cut stay, and bursts of the letter fill up to six."""
+    names, letter = V.names(spark, d).select(F.col("name").alias("facet"), "df"), lambda c: F.substring(c, 1, 1).alias("query")
+    facets = names.withColumn("query", letter("facet")).withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("df"), "facet"))).filter("place <= 5")
+    prints = footprint.at_dates(V.postings(spark, d), facets.select(F.col("facet").alias("name")), {"works": _EARLY}).withColumnRenamed("name", "facet")
+    w = V.works(spark, d)
+    risen = burst.score(burst.counts(w, AS_OF), burst.totals(w, AS_OF), min_recent=2).select(letter("phrase"), F.col("phrase").alias("facet"), F.round("z", 6).alias("z"))
+    bursts = risen.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("z"), "facet")))
+    return footprint.dated_facets(facets, prints, bursts).withColumn("place", F.col("place").cast("long"))

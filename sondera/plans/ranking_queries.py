@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,10 +126,15 @@ def m1(spark, d) -> DataFrame:
     return _scored(spark, d).select("key", r6("confidence"), r6(F.col("predictors")[0]["part"], "part"))
 
 
-@query("m29_gate")
+@query("m29_gate", sql("candidates", f"WITH {_FEATS} SELECT 'open' AS gate, key, round(confidence, 6) AS confidence FROM h UNION ALL SELECT 'closed', key, NULL FROM h"))
 def m29(spark, d) -> DataFrame:
-    p = scoring.score(scoring.query_features(V.candidates(spark, d)), scoring.GROWTH_MODEL | {"gate": {"passed": False}})
-    return p.select("key", "confidence")
+    """A model whose parameters, read from JSON, have passed their gate, and the same one where they have not."""
+    pool, out = scoring.query_features(V.candidates(spark, d).filter("kind = 'emerging'")), None
+    for gate, passed in (("open", True), ("closed", False)):
+        params = json.loads(json.dumps(scoring.GROWTH_MODEL | {"gate": {"passed": passed}}))
+        one = scoring.score(pool, params).select(F.lit(gate).alias("gate"), "key", r6("confidence"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("o1_top_order", sql("candidates", f"WITH {_FEATS} SELECT query_id, label, place FROM o WHERE place <= 15"))
@@ -250,9 +257,19 @@ def m7(spark, d) -> DataFrame:
     return evaluation.auc(V.candidates(spark, d).withColumn("y", F.col("after") > 30), "share", "y", "domain").withColumn("auc", F.round("auc", 6))
 
 
-@query("m8_permutation_floor")
+def floor_sql(rows: str, by: str, seed: int = 7) -> str:
+    """Common tables ``areas`` (by, n, pos, auc) and ``floors`` (by, floor) of a table of by, key, y and score."""
+    u = "(sum({r}) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y), 0)"
+    return f"""fk AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY score) + (count(*) OVER (PARTITION BY {by}, score) - 1) / 2.0::DOUBLE AS r, row_number() OVER (PARTITION BY {by} ORDER BY key) AS i FROM {rows} WHERE score IS NOT NULL),
+areas AS (SELECT {by}, count(*) AS n, count(*) FILTER (WHERE y) AS pos, {u.format(r='r')} AS auc FROM fk GROUP BY {by}),
+fd AS (SELECT {by}, t, r AS own, row_number() OVER (PARTITION BY {by}, t ORDER BY md5('{seed}:' || t || ':' || key), key) AS i FROM fk, (SELECT unnest(range(1, 201)) AS t)),
+fe AS (SELECT {by}, t, {u.format(r='own')} AS a FROM fd JOIN fk USING ({by}, i) GROUP BY {by}, t),
+floors AS (SELECT {by}, a AS floor FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY a, t) AS place FROM fe) WHERE place = 191)"""
+
+
+@query("m8_permutation_floor", sql("candidates", f"WITH s AS (SELECT 0 AS g, key, after > 30 AS y, share AS score FROM candidates), {floor_sql('s', 'g')} SELECT round(floor, 6) AS floor FROM floors"))
 def m8(spark, d) -> DataFrame:
-    return evaluation.permutation_floor(V.candidates(spark, d).withColumn("y", F.col("after") > 30), "share", "y", "key")
+    return evaluation.permutation_floor(V.candidates(spark, d).withColumn("y", F.col("after") > 30), "share", "y", "key").select(r6("floor"))
 
 
 @query("m9_spearman", sql("candidates", """WITH r AS (SELECT domain, rank() OVER (PARTITION BY domain ORDER BY works) + (count(*) OVER (PARTITION BY domain, works) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY domain ORDER BY after) + (count(*) OVER (PARTITION BY domain, after) - 1) / 2.0::DOUBLE AS y FROM candidates)
@@ -567,11 +584,14 @@ def a36(spark, d) -> DataFrame:
     return b.agg(F.count(F.lit(1)).alias("works"), F.count("vid").alias("done"), F.min(has).alias("oldest"), F.max(has).alias("newest"))
 
 
-@query("a26_quartiles", sql("candidates", "SELECT domain, round(quantile_cont(share, 0.25), 6) AS q1, round(quantile_cont(share, 0.5), 6) AS q2, round(quantile_cont(share, 0.75), 6) AS q3, count(*) FILTER (WHERE share IS NULL) AS missing FROM candidates GROUP BY domain"))
+@query("a26_quartiles", sql("candidates", """WITH s AS (SELECT 'training' AS side, share, works::DOUBLE AS works FROM candidates WHERE kind = 'emerging' AND before >= 3 UNION ALL SELECT 'serving', share, works::DOUBLE FROM candidates),
+u AS (SELECT side, unnest(['share', 'works']) AS feature, unnest([share, works]) AS v FROM s)
+SELECT side, feature, count(v) AS n, count(*) - count(v) AS missing, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS q2, round(quantile_cont(v, 0.75), 6) AS q3 FROM u GROUP BY side, feature"""))
 def a26(spark, d) -> DataFrame:
-    q = F.percentile("share", [0.25, 0.5, 0.75])
-    c = V.candidates(spark, d).groupBy("domain").agg(q.alias("q"), F.count_if(F.col("share").isNull()).alias("missing"))
-    return c.select("domain", *(r6(F.col("q")[i], f"q{i + 1}") for i in range(3)), "missing")
+    """Quartiles and missing values of what the model is trained on against what it serves."""
+    c = V.candidates(spark, d)
+    got = evaluation.skew({"training": c.filter("kind = 'emerging' and before >= 3"), "serving": c}, ["share", "works"])
+    return got.select("side", "feature", "n", "missing", *(r6(f"q{i}") for i in (1, 2, 3)))
 
 
 @query("a25_place_floor", sql("candidates", f"WITH {_FEATS} SELECT query_id, count(*) AS pool, round(least(15.0::DOUBLE / count(*), 1), 6) AS floor, min(place) FILTER (WHERE key % 7 = 0) AS best_place FROM o GROUP BY query_id"))

@@ -643,3 +643,60 @@ def test_rows_that_meet_in_a_task_do_not_grow(spark):
         most.append(groups.agg(F.max(F.greatest("l", "r"))).first()[0])
         met.append(groups.agg(F.sum(F.col("l") * F.col("r"))).first()[0] / (n * n / 2))
     assert max(most) < 180 and met[1] < 0.6  # 100 by the mean, hashes deal unevenly; far blocks do not meet
+
+
+def test_facets_at_a_date_are_filled_from_bursts(spark):
+    facets = spark.createDataFrame([("q", f"f{i}", i) for i in range(1, 8)] + [("r", "f1", 1), ("s", "f9", 1)], "query string, facet string, place int")
+    prints = spark.createDataFrame([("f1", 3), ("f2", 2), ("f3", 9), ("f4", 4), ("f9", 0)], "facet string, works long")
+    bursts = spark.createDataFrame([(q, b, i) for q in "qt" for i, b in enumerate(["b1", "f3", "b2", "b3", "b4", "b5", "b6", "b7"])], "query string, facet string, place int")
+    got = {q: [] for q in "qrst"}
+    for r in footprint.dated_facets(facets, prints, bursts).orderBy("query", "place").collect():
+        got[r["query"]].append(r["facet"])
+    assert got == {"q": ["f1", "f3", "f4", "b1", "b2", "b3"], "r": ["f1"], "s": [], "t": ["b1", "f3", "b2", "b3", "b4", "b5"]}
+    many = spark.createDataFrame([(f"f{i}", 5) for i in range(1, 8)], "facet string, works long")
+    assert footprint.dated_facets(facets, many, bursts).filter("query = 'q'").count() == 7  # none is cut, none filled up
+
+
+def test_batches_by_topic(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(50, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[20:24] = v[7]
+    docs = [(i, f"t{i % 9}", x.tolist()) for i, x in enumerate(v)]
+    queries = [(100 + i, v[i * 11].tolist()) for i in range(4)]
+    nearest = {i: min((-round(float(np.dot(x, q)), 9), k) for k, q in queries) for i, _, x in docs}
+    order = sorted((nearest[i][1], nearest[i][0], t, i) for i, t, _ in docs)
+    got = {r["id"]: (r["query"], r["batch"]) for r in neighbours.topic_batches(spark.createDataFrame(docs, "id long, title string, v array<double>").repartition(6), spark.createDataFrame(queries, "query long, v array<double>"), 7).collect()}
+    assert got == {i: (q, place // 7) for place, (q, _, _, i) in enumerate(order)}
+
+
+def test_folds_hold_outcomes_within_one_row(spark):
+    rows = spark.range(1007).withColumn("y", (F.col("id") % 7 == 0).cast("int"))
+    for bucket_rows in (10_000, 60):
+        dealt = training.stratified(rows, "y", "id", 5, bucket_rows=bucket_rows)
+        counts = {}
+        for y, fold, n in dealt.groupBy("y", "_fold").count().collect():
+            counts.setdefault(y, {})[fold] = n
+        assert dealt.count() == 1007 and all(len(c) == 5 and max(c.values()) - min(c.values()) <= 1 for c in counts.values())
+    one, two = (training.stratified(rows, "y", "id", 5, seed).select("id", "_fold") for seed in (1, 2))
+    assert one.join(two.withColumnRenamed("_fold", "other"), "id").filter("_fold <> other").count() > 500
+
+
+def test_two_measures_and_two_sides(spark):
+    form = "name string, works long, first_year int, last_year_works long"
+    a = spark.createDataFrame([("a", 10, 2001, 1), ("b", 20, 2002, 2), ("c", 30, 2003, 3), ("d", 0, None, 0)], form)
+    b = spark.createDataFrame([("a", 10, 2001, 1), ("b", 40, 2002, 2), ("c", 60, 2004, 3), ("e", 1, 2005, 1)], form)
+    r = evaluation.agreement(a, b, "name").first()
+    assert (r["n"], r["both"], r["only_a"], r["only_b"], r["median_ratio"], r["passed"]) == (5, 3, 0, 1, 2.0, False)
+    assert r["same_year"] == pytest.approx(2 / 3) and 0.9 < r["rho"] <= 1
+    assert evaluation.agreement(a, a, "name").first()["passed"] is True
+    rows = spark.createDataFrame([(1.0, None), (3.0, None)], "x double, z double")
+    got = {(s["side"], s["feature"]): (s["n"], s["missing"], s["q2"]) for s in evaluation.skew({"one": rows, "none": rows.filter("x < 0")}, ["x", "z"]).collect()}
+    assert got[("one", "x")] == (2, 0, 2.0) and got[("one", "z")] == (0, 2, None) and ("none", "x") not in got
+
+
+def test_floor_of_each_group(spark):
+    rows = spark.createDataFrame([(g, i, float((i * 7) % 40), i % 3 == 0 and g != "no") for g in ("a", "b", "no") for i in range(40)], "g string, key long, score double, y boolean")
+    got = {r["g"]: r["floor"] for r in evaluation.permutation_floor(rows, "score", "y", "key", "g").collect()}
+    assert got["a"] == got["b"] and 0.5 < got["a"] < 0.8 and got["no"] is None  # equal keys are dealt alike; one outcome has no area
+    assert evaluation.permutation_floor(rows.filter("g = 'a'"), "score", "y", "key").first()["floor"] == got["a"]
