@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sondera.functions import money, stats, text
 from sondera.lineage import checkpoint_dir
-from sondera.operators import evaluation, neighbours, ranking, training, verify
+from sondera.operators import evaluation, evidence, footprint, neighbours, ranking, training, verify
 from sondera.plans import views as V
 from sondera.plans.corpus_queries import _FUND, first_headlines
 from sondera.plans.ranking_queries import _FEATS, _scored, floor_sql
@@ -76,14 +76,41 @@ def p8(spark, d) -> DataFrame:
     return V.headlines(spark, d).select("n", F.forall(words, lambda w: F.contains(F.lower("title"), F.left(w, F.lit(5)))).alias("about"))
 
 
-@query("a19_evidence_features", sql("headlines", f"""SELECT label, count(*) AS news, count(DISTINCT publisher) AS publishers, round(count(*) FILTER (WHERE published >= DATE '2000-08-01')::DOUBLE / count(*), 6) AS recent_share,
-  round(count(*) FILTER (WHERE {_FUND})::DOUBLE / count(*), 6) AS funding_share, min(published) AS first_day, max(published) - min(published) AS span_days FROM headlines GROUP BY label"""))
+_TODAY = "2020-12-31"
+_PRINT = f"""count(*) AS works, min(CASE WHEN NOT (month(observed_at) = 1 AND day(observed_at) = 1) THEN year(observed_at) END) AS first_year, count(*) FILTER (WHERE observed_at >= DATE '{_TODAY}' - 365) AS last_year_works"""
+
+
+@query("a19_evidence_features", sql("headlines vectors works names", f"""WITH lab AS (SELECT p_name AS label, min(p_partkey) AS k FROM part GROUP BY p_name), cores AS (SELECT name, row_number() OVER (ORDER BY df DESC, name) AS k FROM names),
+hits AS (SELECT label, s, day FROM (SELECT b.id AS k, a.observed_at AS day, list_dot_product(a.v, b.v) AS s, row_number() OVER (PARTITION BY b.id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, a.id) AS rank FROM vectors a, vectors b WHERE b.id % 50 = 0 AND a.observed_at <= DATE '{_TODAY}') JOIN lab USING (k) WHERE rank <= 12),
+pp AS (SELECT label, count(*) AS papers_found, max(s) AS cos_max, avg(s) AS cos_mean, max(DATE '{_TODAY}' - day) AS p_first, count(*) FILTER (WHERE DATE '{_TODAY}' - day <= 365) AS p_recent FROM hits GROUP BY label),
+nn AS (SELECT label, count(*) AS news_found, count(DISTINCT publisher) AS publishers, list(DISTINCT CASE WHEN url LIKE '%agency.gov%' THEN 'gov' WHEN url LIKE '%medium.com%' THEN 'blog' ELSE 'media' END) AS kinds, count(*) FILTER (WHERE url LIKE '%agency.gov%') AS high,
+  count(*) FILTER (WHERE {_FUND})::DOUBLE / count(*) AS funding, max(DATE '{_TODAY}' - day) AS n_first, max(DATE '{_TODAY}' - day) - min(DATE '{_TODAY}' - day) AS n_span, count(*) FILTER (WHERE DATE '{_TODAY}' - day <= 365) AS n_recent
+  FROM (SELECT *, CAST(published + INTERVAL 20 YEAR AS DATE) AS day FROM headlines) WHERE day <= DATE '{_TODAY}' GROUP BY label),
+cc AS (SELECT k, name FROM cores), vis AS (SELECT * FROM works WHERE NOT junk AND observed_at <= DATE '{_TODAY}'),
+c1 AS (SELECT name, {_PRINT} FROM cc JOIN vis ON contains(tok, ' ' || name) GROUP BY name), c2 AS (SELECT name, {_PRINT} FROM cc JOIN vis ON contains(tok, ' ' || name) AND source = 'arxiv' GROUP BY name)
+SELECT lab.label, coalesce(papers_found, 0) AS papers_found, round(cos_max, 6) AS cos_max, round(cos_mean, 6) AS cos_mean, coalesce(news_found, 0) AS news_found, coalesce(publishers, 0) AS publishers_distinct,
+  coalesce(len(kinds), 0) + CASE WHEN papers_found > 0 THEN 1 ELSE 0 END AS source_kinds_distinct, coalesce(high, 0) AS trust_high_count,
+  round(CASE WHEN coalesce(papers_found, 0) + coalesce(news_found, 0) > 0 THEN (coalesce(p_recent, 0) + coalesce(n_recent, 0))::DOUBLE / (coalesce(papers_found, 0) + coalesce(news_found, 0)) ELSE 0 END, 6) AS recent_share,
+  CASE WHEN cc.name IS NOT NULL THEN coalesce(c1.works, 0) END AS core_works, 2020 - c1.first_year AS core_age_years, CASE WHEN cc.name IS NOT NULL THEN CAST(coalesce(c1.works, 0) = 0 AS BIGINT) END AS core_unseen,
+  round(c1.last_year_works::DOUBLE / c1.works, 6) AS core_last_year_share, CASE WHEN cc.name IS NOT NULL THEN coalesce(c2.works, 0) END AS label_works, round(c2.last_year_works::DOUBLE / c2.works, 6) AS label_last_year_share,
+  round(CASE WHEN c1.works > 0 THEN coalesce(c2.works, 0)::DOUBLE / c1.works END, 6) AS label_to_core_ratio, n_first AS news_first_age_days, n_span AS news_span_days, round(funding, 6) AS funding_share, p_first AS paper_first_age_days, round(p_recent::DOUBLE / papers_found, 6) AS paper_recent_share
+FROM lab LEFT JOIN pp USING (label) LEFT JOIN nn USING (label) LEFT JOIN cc USING (k) LEFT JOIN c1 USING (name) LEFT JOIN c2 USING (name)"""))
 def a19(spark, d) -> DataFrame:
-    share = lambda c: F.round(F.count_if(c) / F.count(F.lit(1)), 6)
-    return V.headlines(spark, d).groupBy("label").agg(
-        F.count(F.lit(1)).alias("news"), F.countDistinct("publisher").alias("publishers"), share(F.col("published") >= F.lit("2000-08-01").cast("date")).alias("recent_share"),
-        share(money.is_funding("title")).alias("funding_share"), F.min("published").alias("first_day"), F.datediff(F.max("published"), F.min("published")).cast("long").alias("span_days"),
-    )
+    """The twenty features of each label: the vectors nearest to its own as papers, its headlines moved to their years as
+    news, the footprint of a name as its core's and that in one source as its whole's."""
+    lab = V.table(spark, d, "part").groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("k"))
+    v = V.vectors(spark, d).filter(F.col("observed_at") <= F.lit(_TODAY).cast("date"))
+    ask = V.vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query"), "v")
+    near = neighbours.top_k(v, ask, 12).join(v.select("id", F.col("observed_at").alias("day")), "id")
+    papers = near.join(lab, F.col("query") == F.col("k")).select("label", "score", "day")
+    news = V.headlines(spark, d).withColumn("published", F.add_months("published", 240)).filter(F.col("published") <= F.lit(_TODAY).cast("date"))
+    names, index = V.names(spark, d), V.postings(spark, d)
+    placed = evaluation.value_ranks(names.select(F.struct((-F.col("df")).alias("df"), "name").alias("at")), "at")
+    cores = placed.select(F.col("at.name").alias("name"), (F.col("before") + 1).alias("k")).join(lab, "k").select("label", "name")
+    prints = [cores.join(footprint.footprint(x, names, _TODAY), "name", "left").fillna({"works": 0, "last_year_works": 0}) for x in (index, index.filter("source = 'arxiv'"))]
+    got = evidence.candidate_features(lab, papers, news, *prints, _TODAY)
+    shares = {c: F.round(c, 6) for c in ("cos_max", "cos_mean", "recent_share", "core_last_year_share", "label_last_year_share", "label_to_core_ratio", "funding_share", "paper_recent_share")}
+    return got.withColumns(shares).withColumns({c: F.col(c).cast("long") for c in ("core_age_years", "news_first_age_days", "news_span_days", "paper_first_age_days")})
 
 
 @query("a21_vote_features", sql("candidates", "SELECT key % 500 AS item, max(CASE WHEN key % 3 = 0 THEN CAST(funding AS INT) END) AS a, max(CASE WHEN key % 3 = 1 THEN CAST(funding AS INT) END) AS b, max(CASE WHEN key % 3 = 2 THEN CAST(funding AS INT) END) AS c FROM candidates GROUP BY 1"))

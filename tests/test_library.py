@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sondera.functions import dates, money, stats, text, trust
-from sondera.operators import burst, evaluation, footprint, grouping, history, neighbours, ranking, scoring, training, verify
+from sondera.operators import burst, evaluation, evidence, footprint, grouping, history, neighbours, ranking, scoring, training, verify
 from sondera.sources import readers, works
 
 
@@ -700,3 +700,25 @@ def test_floor_of_each_group(spark):
     got = {r["g"]: r["floor"] for r in evaluation.permutation_floor(rows, "score", "y", "key", "g").collect()}
     assert got["a"] == got["b"] and 0.5 < got["a"] < 0.8 and got["no"] is None  # equal keys are dealt alike; one outcome has no area
     assert evaluation.permutation_floor(rows.filter("g = 'a'"), "score", "y", "key").first()["floor"] == got["a"]
+
+
+def test_candidate_features_and_their_missing_states(spark):
+    d = dt.date
+    labels = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
+    papers = spark.createDataFrame([("a", 0.5, d(2020, 12, 1)), ("a", 0.7, d(2018, 12, 31)), ("b", 0.4, None)], "label string, score double, day date")
+    news = spark.createDataFrame(
+        [("a", "Firm raises $3M seed", "https://www.nist.gov/x", "", d(2020, 12, 31)), ("a", "Other news", "https://reuters.com/y", "Reuters", d(2020, 1, 1)), ("a", "Other news", "https://reuters.com/z", "Reuters", None)],
+        "label string, title string, url string, publisher string, published date",
+    )
+    form = "label string, works long, first_year int, last_year_works long"
+    core, whole = spark.createDataFrame([("a", 8, 2015, 2), ("b", 0, None, 0)], form), spark.createDataFrame([("a", 2, 2016, 1), ("b", 0, None, 0)], form)
+    got = {r["label"]: r.asDict() for r in evidence.candidate_features(labels, papers, news, core, whole, "2020-12-31").collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert set(a) == {"label", *evidence.FEATURES} and len(evidence.FEATURES) == 20
+    assert (a["papers_found"], a["cos_max"], a["cos_mean"], a["paper_first_age_days"], a["paper_recent_share"]) == (2, 0.7, pytest.approx(0.6), 731, 0.5)
+    assert (a["news_found"], a["publishers_distinct"], a["source_kinds_distinct"], a["trust_high_count"], a["news_first_age_days"], a["news_span_days"]) == (3, 2, 3, 1, 365, 365)
+    assert (a["recent_share"], a["funding_share"]) == (0.75, pytest.approx(1 / 3))
+    assert (a["core_works"], a["core_age_years"], a["core_unseen"], a["core_last_year_share"], a["label_last_year_share"], a["label_to_core_ratio"]) == (8, 5, 0, 0.25, 0.5, 0.25)
+    assert (b["core_unseen"], b["core_age_years"], b["label_to_core_ratio"], b["paper_recent_share"], b["recent_share"], b["news_found"], b["funding_share"]) == (1, None, None, None, 0.0, 0, None)
+    assert (c["core_unseen"], c["core_works"], c["papers_found"], c["cos_max"], c["source_kinds_distinct"]) == (None, None, 0, None, 0)
+    assert evidence.candidate_features(labels.filter("label = 'z'"), papers, news, core, whole, "2020-12-31").count() == 0
