@@ -733,3 +733,15 @@ def test_similar_names_meet_by_combinations_of_words(spark):
     for least in (0.4, 0.5, 0.8):
         want = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least}
         assert {(r["a"], r["b"]) for r in grouping.similar_names(df, least).collect()} == want
+
+
+def test_names_of_frequent_words_do_not_all_meet(spark):
+    """Every word is in a tenth of the names: by one rare word of each some 80,000 pairs would meet, and none is alike."""
+    names = [(i, f"aaa{i // 100} bbb{i // 10 % 10} ccc{i % 10} ddd{(i // 100 + i // 10 + i) % 10}") for i in range(1000)]
+    nodes = spark.createDataFrame(names, "id long, name string").select("id", grouping._words("name").alias("words"))
+    df = nodes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    keyed = grouping._meeting_keys(nodes, ["id"], df, 0.8).collect()
+    by_key = {}
+    for r in keyed:
+        by_key.setdefault(r["key"], set()).add(r["id"])
+    assert sum(len(g) * (len(g) - 1) // 2 for g in by_key.values()) < 1000
