@@ -745,3 +745,22 @@ def test_names_of_frequent_words_do_not_all_meet(spark):
     for r in keyed:
         by_key.setdefault(r["key"], set()).add(r["id"])
     assert sum(len(g) * (len(g) - 1) // 2 for g in by_key.values()) < 1000
+
+
+def test_floor_by_slices_and_pages_equals_brute_force(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(evaluation, "PAGE", 8)  # 150 rows: sixteen slices to the two digits, nineteen pages
+    rng = random.Random(5)
+    data = [(k, None if k % 10 == 3 else rng.randrange(20) / 20, rng.random() < 0.3) for k in range(150)]
+    own = sorted((k, s, y) for k, s, y in data if s is not None)
+    scores = sorted(s for _, s, _ in own)
+    rank = {s: scores.index(s) + (scores.count(s) + 1) / 2 for s in scores}
+    pos = sum(y for _, _, y in own)
+    areas = []
+    for t in range(1, 201):
+        dealt = sorted(own, key=lambda r: (hashlib.md5(f"7:{t}:{r[0]}".encode()).hexdigest(), r[0]))
+        areas.append((sum(rank[r[1]] for r, o in zip(dealt, own) if o[2]) - pos * (pos + 1) / 2) / (pos * (len(own) - pos)))
+    rows = spark.createDataFrame(data, "key long, score double, y boolean")
+    assert evaluation.permutation_floor(rows, "score", "y", "key").first()["floor"] == pytest.approx(sorted(areas)[190], abs=1e-12)
+    assert evaluation.permutation_floor(rows.filter("key < 0"), "score", "y", "key").first()["floor"] is None
