@@ -764,3 +764,11 @@ def test_floor_by_slices_and_pages_equals_brute_force(spark, monkeypatch):
     rows = spark.createDataFrame(data, "key long, score double, y boolean")
     assert evaluation.permutation_floor(rows, "score", "y", "key").first()["floor"] == pytest.approx(sorted(areas)[190], abs=1e-12)
     assert evaluation.permutation_floor(rows.filter("key < 0"), "score", "y", "key").first()["floor"] is None
+
+
+def test_neighbourhoods_count_all_that_are_close(spark):
+    day = dt.date(2021, 1, 1)
+    corpus = spark.createDataFrame([(i, [1.0, 0.0], day) for i in range(2500)] + [(9000, [0.0, 1.0], dt.date(2019, 1, 1))], "id long, v array<double>, observed_at date").repartition(3)
+    got = neighbours.neighbourhoods(corpus, spark.createDataFrame([(1, [1.0, 0.0])], "query long, v array<double>"), "2022-06-30").first()
+    assert (got["nn_now"], got["nn_asof"], got["dense_last"], got["dense_prev"]) == (1.0, 0.0, 2500, 0)
+    assert neighbours.neighbourhoods(corpus.filter("id < 0"), spark.createDataFrame([(1, [1.0, 0.0])], "query long, v array<double>"), "2022-06-30").count() == 0
