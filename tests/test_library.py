@@ -772,3 +772,20 @@ def test_neighbourhoods_count_all_that_are_close(spark):
     got = neighbours.neighbourhoods(corpus, spark.createDataFrame([(1, [1.0, 0.0])], "query long, v array<double>"), "2022-06-30").first()
     assert (got["nn_now"], got["nn_asof"], got["dense_last"], got["dense_prev"]) == (1.0, 0.0, 2500, 0)
     assert neighbours.neighbourhoods(corpus.filter("id < 0"), spark.createDataFrame([(1, [1.0, 0.0])], "query long, v array<double>"), "2022-06-30").count() == 0
+
+
+def test_top_k_memory_does_not_grow_with_a_batch():
+    """A batch of 10,000 vectors and 1,024 queries: sorted at once, the scores alone are 80 MB, all that is held 5 times as much."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    m, v = rng.normal(size=(1024, 4)), rng.normal(size=(10_000, 4))
+    batch = pd.DataFrame({"id": np.arange(len(v)), "v": list(v)})
+    tracemalloc.start()
+    got = next(iter(neighbours._best_of(np.arange(len(m)), m, 3, iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6, peak
+    assert got["id"].to_numpy().reshape(-1, 3).tolist() == np.argsort(-(m @ v.T), axis=1, kind="stable")[:, :3].tolist()
