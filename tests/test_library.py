@@ -800,3 +800,18 @@ def test_a_chain_of_twins_needs_no_round_for_each(spark, monkeypatch):
     got = grouping.assign_twins(cands, pairs, pairs.select("a", "b"), tail=20)
     assert {r["id"]: r["head"] for r in got.collect()} == {i: i - i % 2 for i in range(60)}
     assert len(calls) < 10
+
+
+def test_dense_variants_need_no_round_for_each_group(spark, monkeypatch):
+    """150 items all linked: only one seed at a time comes before every other within two links, so rounds would be as many as groups."""
+    rng = random.Random(6)
+    near = {i: {} for i in range(150)}
+    for a in range(150):
+        for b in range(a + 1, 150):
+            near[a][b] = near[b][a] = round(rng.uniform(0.3, 0.7), 3)
+    calls, cut = [], grouping.cut
+    monkeypatch.setattr(grouping, "cut", lambda df: calls.append(1) or cut(df))
+    links = spark.createDataFrame([(a, b, s) for a in near for b, s in near[a].items() if a < b], "a long, b long, score double")
+    got = grouping.variant_groups(spark.range(150), links, 0.55)
+    assert sorted(map(tuple, got.collect())) == greedy_variants(near, 0.55)
+    assert len(calls) < 30
