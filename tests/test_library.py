@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -815,3 +816,54 @@ def test_dense_variants_need_no_round_for_each_group(spark, monkeypatch):
     got = grouping.variant_groups(spark.range(150), links, 0.55)
     assert sorted(map(tuple, got.collect())) == greedy_variants(near, 0.55)
     assert len(calls) < 30
+
+
+def corpus_folder(spark, tmp_path):
+    docs = [(i, f"alpha{i % 3} network{'s' * (i % 2)} beta gamma{i % 40} number{i}", "en", "src1" if i % 2 else "src2", 40) for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_names_and_footprints_need_no_index_of_all_occurrences(spark, tmp_path):
+    """Names, pairs and footprints are counted before anything is shuffled, and no index is written."""
+    from sondera.lineage import checkpoint_dir
+    from sondera.plans import QUERIES
+    from sondera.plans import views as V
+
+    d, at = corpus_folder(spark, tmp_path), Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = {p.name for p in at.glob("postings*")}
+    got = sorted(QUERIES["a1_footprint"](spark, d).collect())
+    assert got == sorted(footprint.scan(V.works(spark, d), V.names(spark, d), V.AS_OF).collect()) and len(got) == 30
+    assert QUERIES["f17_patent_growth"](spark, d).count() == V.names(spark, d).count()
+    assert {p.name for p in at.glob("postings*")} == before
+
+
+def test_pairs_are_counted_of_frequent_words_only(spark, tmp_path, monkeypatch):
+    from sondera.plans import corpus_queries
+
+    d = corpus_folder(spark, tmp_path)
+    n, want = 120, {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        t = r["text"].split()
+        for pair in {f"{a} {b}" for a, b in zip(t, t[1:])}:
+            want[pair] = want.get(pair, 0) + 1
+    want = {p: k for p, k in want.items() if k * 40 >= n and k * 20 <= n}
+    assert {r["name"]: r["df"] for r in corpus_queries._count_pairs(spark, d).collect()} == want
+    plan = corpus_queries._count_pairs(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan.upper() or " IN " in plan.upper()
+    monkeypatch.setattr(corpus_queries, "_MOST_WORDS", 1)
+    assert {r["name"]: r["df"] for r in corpus_queries._count_pairs(spark, d).collect()} == want
+
+
+def test_phrases_are_looked_up_in_a_broadcast(spark):
+    """The texts that hold a phrase's first word do not come together in one task."""
+    texts = spark.createDataFrame([(i, "deep learning of graph nets") for i in range(20)], "id long, text string")
+    phrases = spark.createDataFrame([("deep learning",), ("graph net",)], "phrase string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = grouping.contains_phrase(phrases, texts)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.select("phrase", "id").collect())) == [(p, i) for p in ("deep learning", "graph net") for i in range(3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
