@@ -22,6 +22,17 @@ def inverted_abstract(index: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " "), F.lit(""))
 
 
+def word_positions(words: Column) -> Column:
+    """Map of each of ``words`` to its places, ascending from 0; null for none. In the row: sorted, then cut where the word changes."""
+    placed = F.array_sort(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    word = lambda s, i: F.get(s, i)["w"]
+    first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (word(s, i) != word(s, i - 1)))
+    entry = lambda s, b, i, k: F.struct(word(s, i).alias("w"), F.transform(F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i), lambda x: x["p"]).alias("ps"))
+    # an array of one names what is used more than once
+    entries = F.transform(F.array(placed), lambda s: F.transform(F.array(first(s)), lambda b: F.transform(b, lambda i, k: entry(s, b, i, k)))[0])[0]
+    return F.when(F.size(words) > 0, F.map_from_entries(entries))
+
+
 def affiliations(authorships: Column) -> Column:
     """struct(institutions, countries, authors): sorted distinct names and countries, number of authors."""
     names = F.flatten(F.transform(authorships, lambda a: F.coalesce(F.transform(a["institutions"], lambda i: i["display_name"]), F.array().cast("array<string>"))))
