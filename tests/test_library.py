@@ -904,3 +904,13 @@ def test_seeded_orders_are_dealt_in_parts(spark, monkeypatch):
     whole = sorted(run().collect())
     monkeypatch.setattr(evidence_queries, "_PART_ROWS", 7)
     assert sorted(run().collect()) == whole
+
+
+def test_a_fold_is_imputed_once_for_all_strengths(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    df = spark.createDataFrame([(float(a), None if i % 9 == 0 else float(b), int(a + b + rng.normal() > 0)) for i, (a, b) in enumerate(x)], "a double, b double, y int")
+    calls, fit = [], training.Imputer._fit
+    monkeypatch.setattr(training.Imputer, "_fit", lambda self, rows: calls.append(1) or fit(self, rows))
+    got = {r["penalty"]: r for r in training.fit_logistic(df, ["a", "b"], "y", grid=(0.1, 1.0), folds=2).collect()}
+    assert len(calls) == 2 and set(got) == {"l1", "l2"} and all(r["auc"] > 0.7 and r["c"] in (0.1, 1.0) for r in got.values())
