@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondera.operators.grouping import NEAR, alike
+from sondera.operators.grouping import NEAR, same_direction, words_of
 
 
 def folded_query(query: Column) -> Column:
@@ -48,14 +48,14 @@ def stability(reports: DataFrame, most: int = 5, threshold: float = NEAR) -> Dat
 
     A run holds a direction if one of its labels is the label but for case, or shares ``threshold`` of the words.
     """
-    prior = prior_runs(reports, most)
-    runs = prior.groupBy("name").agg(F.count(F.lit(1)).alias("runs"))
-    said = reports.select("name", F.explode("labels").alias("label"))
-    before = prior.join(said.select(F.col("name").alias("prior"), F.col("label").alias("other")), "prior").select(F.col("name").alias("scope"), "prior", "other")
-    same = alike(said.select(F.col("name").alias("scope"), F.col("label").alias("name")), before, threshold)
-    held = same.join(before, ["scope", "other"]).groupBy(F.col("scope").alias("name"), F.col("name").alias("label")).agg(F.countDistinct("prior").alias("held"))
-    ok = said.join(held, ["name", "label"]).join(runs, "name").filter(F.col("held") >= F.ceil(F.col("runs") / 2)).groupBy("name").agg(F.count(F.lit(1)).alias("stable"))
-    return runs.join(ok, "name", "left").select("name", "runs", F.coalesce("stable", F.lit(0)).alias("stable"))
+    # a report has few labels and earlier runs, so they are compared in its row
+    said = reports.select("name", F.transform("labels", lambda x: F.struct(F.lower(F.trim(x)).alias("low"), words_of(x).alias("words"))).alias("said"))
+    before = prior_runs(reports, most).select("name", "prior").join(said.select(F.col("name").alias("prior"), "said"), "prior", "left")
+    before = before.groupBy("name").agg(F.count(F.lit(1)).alias("runs"), F.collect_list("said").alias("held"))
+    alike = lambda x, y: same_direction(x["low"], x["words"], y["low"], y["words"]) >= threshold
+    holding = lambda x: F.size(F.filter("held", lambda run: F.exists(run, lambda y: F.coalesce(alike(x, y), F.lit(False)))))
+    stable = F.size(F.filter(F.coalesce("said", F.array().cast(said.schema["said"].dataType)), lambda x: holding(x) >= F.ceil(F.col("runs") / 2)))
+    return before.join(said, "name").select("name", "runs", stable.cast("long").alias("stable"))
 
 
 def stage_durations(events: DataFrame) -> DataFrame:

@@ -943,3 +943,11 @@ def test_near_names_take_few_jobs(spark, monkeypatch):
     assert {r["id"]: r["head"] for r in grouping.merge_near(cands, links).collect()} == greedy_heads(ranks, near)
     assert len(calls) < 3
     assert {r["id"]: r["head"] for r in grouping.merge_near(cands, links, tail=20).collect()} == greedy_heads(ranks, near)
+
+
+def test_directions_are_compared_in_the_row(spark):
+    """Labels meet labels of earlier runs in the report's own row, not by a shuffle of keys of all their words."""
+    rows = [(f"r{i}", "q", dt.datetime(2024, 1, 1 + i), ["graph neural nets", f"dust {i}", f"other{i}", None]) for i in range(9)]
+    got = history.stability(spark.createDataFrame(rows, "name string, query string, started timestamp, labels array<string>"))
+    assert {r["name"]: (r["runs"], r["stable"]) for r in got.collect()} == {f"r{i}": (min(i, 5), 2) for i in range(1, 9)}
+    assert "FlatMap" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "ArrowEvalPython" not in plan
