@@ -951,3 +951,12 @@ def test_directions_are_compared_in_the_row(spark):
     got = history.stability(spark.createDataFrame(rows, "name string, query string, started timestamp, labels array<string>"))
     assert {r["name"]: (r["runs"], r["stable"]) for r in got.collect()} == {f"r{i}": (min(i, 5), 2) for i in range(1, 9)}
     assert "FlatMap" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "ArrowEvalPython" not in plan
+
+
+def test_pairs_of_single_vectors_are_not_shuffled(spark):
+    """What the tasks find is joined with the few equal vectors in a broadcast; copies still give all their pairs."""
+    rows = spark.createDataFrame([(i, [1.0, 0.0] if i < 3 else [0.6, 0.8] if i < 5 else [0.0, 1.0]) for i in range(6)], "id long, v array<double>")
+    got = neighbours.pairs_above(rows, 0.7)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter, (a#") + plan.count("LeftOuter, (b#") == 2 == plan.count("rightHint=(strategy=broadcast)")
