@@ -3,11 +3,10 @@
 Corners are found at several scales (Harris response, local maxima). Each gets an orientation from the intensity
 centroid around it, and a descriptor of 256 comparisons of two points whose places are turned by that orientation.
 Hamming tables: a descriptor goes into several buckets, each named by a different set of its bits, so that a few
-flipped bits leave some bucket the same. A crowded bucket is dealt out again by further bits. Bucket mates become
-candidates in rounds: some members of each bucket lead a round and meet all others of it; then the leaders, and all that
-have come into a leader's class, leave the bucket, until no bucket holds two classes. So every two members have met, or
-one has met a verified copy of the other. A candidate pair's descriptors are all compared, and a pair is linked if
-enough matches agree on one shift, turn and scale. Linked images form classes.
+flipped bits leave some bucket the same. Bucket mates are candidates. Where that makes many pairs, rounds come first: some
+members of each bucket meet all others of it, so that large classes are known. Then all pairs of bucket mates that are
+not of one class by then meet, a large bucket in blocks. A candidate pair's descriptors are all compared, and a pair is
+linked if enough matches agree on one shift, turn and scale. Linked images form classes.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from sondera.llm.components import components
 
 SCALES, RADIUS, CENTROID, CORNER_SHARE = (1.0, 0.5), 14, 8, 0.02
 BITS, TABLES, KEY_BITS, SEED = 256, 6, 60, 11
-#: A bucket of more members is dealt out again, once for each of so many slices of so many further bits.
-CROWD, SLICES, SLICE_BITS = 256, 5, 12
+#: A bucket of more members meets in blocks of about so many, and has so many leaders at most.
+CROWD = 256
 #: A bucket has one leader in the first round, so that a large class meets it once, and so many times more in each later one.
 LEADERS = 16
 #: A match differs in so many of the 256 bits at most; a link needs so many matches that agree within so many pixels.
@@ -42,7 +41,7 @@ def _tests() -> tuple[np.ndarray, np.ndarray]:
     far, way = (RADIUS - 1) * np.sqrt(rng.random((4 * BITS, 2))), 2 * np.pi * rng.random((4 * BITS, 2))
     at = np.stack([far * np.cos(way), far * np.sin(way)], axis=-1)
     at = at[np.hypot(*(at[:, 0] - at[:, 1]).T) >= RADIUS / 2][:BITS]
-    return at, np.stack([rng.permutation(BITS)[: KEY_BITS + SLICES * SLICE_BITS] for _ in range(TABLES)])
+    return at, np.stack([rng.permutation(BITS)[:KEY_BITS] for _ in range(TABLES)])
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -93,13 +92,10 @@ def _at_scale(image: np.ndarray, scale: float) -> np.ndarray:
     return out
 
 
-def bucket_names(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(corners, tables) twice: the bucket of each corner in each table, the table in the highest bits, and the further
-    bits by which a crowded bucket is dealt out again."""
-    bits = np.unpackbits(found["bits"], axis=1)[:, _tests()[1]].astype(np.int64)
-    key, more = bits[..., :KEY_BITS], bits[..., KEY_BITS:]
-    names = (key << np.arange(KEY_BITS)).sum(2) | np.arange(TABLES, dtype=np.int64) << np.int64(KEY_BITS)
-    return names, (more << np.arange(SLICES * SLICE_BITS)).sum(2)
+def bucket_names(found: np.ndarray) -> np.ndarray:
+    """(corners, tables): the bucket of each corner in each table, the table in the highest bits."""
+    key = np.unpackbits(found["bits"], axis=1)[:, _tests()[1]].astype(np.int64)
+    return (key << np.arange(KEY_BITS)).sum(2) | np.arange(TABLES, dtype=np.int64) << np.int64(KEY_BITS)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
@@ -144,68 +140,73 @@ def media_features(media: DataFrame) -> DataFrame:
     return media.select("media_id", digest.alias("digest"), of("height", "width", "pixels").alias("features"))
 
 
-def bucket_rows(images: DataFrame, crowd: int = CROWD) -> DataFrame:
+def bucket_rows(images: DataFrame) -> DataFrame:
     """(bucket, b): the buckets of ``images`` (media_id, features) that hold several images, and these.
 
-    A bucket of over ``crowd`` images becomes smaller ones, named by it and by a slice of further bits; each corner
-    goes into one for every slice. Bucket rows are many and cheap to make: they are made again instead of stored.
+    All bucket rows are many and cheap to make: they are made again instead of stored.
     """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for media_id, data in zip(batch["media_id"], batch["features"]):
-                yield pd.DataFrame({"bucket": np.unique(bucket_names(np.frombuffer(data, FEATURE))[0]), "b": media_id})
+                yield pd.DataFrame({"bucket": np.unique(bucket_names(np.frombuffer(data, FEATURE))), "b": media_id})
 
-    def spread_more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for media_id, data in zip(batch["media_id"], batch["features"]):
-                names, more = bucket_names(np.frombuffer(data, FEATURE))
-                yield pd.DataFrame({"bucket": names.ravel(), "more": more.ravel(), "b": media_id})
-
-    held = images.select("media_id", "features")
-    rows = held.mapInPandas(spread, "bucket long, b long")
+    rows = images.select("media_id", "features").mapInPandas(spread, "bucket long, b long")
     sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    shared = cut(with_hot_apart(rows, sizes, "bucket", "members").filter("members is not null"))
-    crowded = sizes.filter(F.col("members") > crowd)
-    few = shared.filter(F.col("members") <= crowd).select("bucket", "b")
-    if not crowded.head(1):
-        return few
-    again = with_hot_apart(held.mapInPandas(spread_more, "bucket long, more long, b long"), crowded, "bucket", "members").filter("members is not null")
-    slices = [F.xxhash64("bucket", F.lit(i), F.shiftright("more", i * SLICE_BITS).bitwiseAND((1 << SLICE_BITS) - 1)) for i in range(SLICES)]
-    return few.unionByName(cut(again.select(F.explode(F.array(*slices)).alias("bucket"), "b").distinct()))
+    return cut(with_hot_apart(rows, sizes, "bucket", "members").filter("members is not null").select("bucket", "b"))
 
 
 def links(images: DataFrame, leaders: int = 1, crowd: int = CROWD) -> DataFrame:
     """(a, b), a < b: verified copies among ``images`` (media_id, features; ids differ) that share a bucket.
 
-    Not all links of a class, but enough for its members to be connected.
+    Not all links of a class, but enough for its members to be connected: a pair of bucket mates has not met only if
+    other links connect it. Rounds of leaders go on while they take fewer pairs than all that are left.
     """
-    rows = bucket_rows(images, crowd).withColumn("class", F.col("b"))
+    rows = bucket_rows(images).withColumn("class", F.col("b"))
     found, seats = None, leaders
     while True:
-        seat = F.pmod(F.xxhash64("b", F.lit(seats)), F.lit(seats)).alias("seat")
-        by_seat = rows.groupBy("bucket", seat).agg(F.min(F.struct("b", "class")).alias("lead"), F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-        leading = by_seat.groupBy("bucket").agg(F.collect_list("lead").alias("leads"), F.sum("n").alias("members"), (F.min("low") < F.max("high")).alias("several"))
-        leading = cut(leading.filter("several").select("bucket", "leads", "members"))
-        if not leading.head(1):
+        # a bucket of one class is done
+        sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("bucket")
+        sizes = sizes.agg(F.count(F.lit(1)).alias("classes"), F.sum("n").cast("long").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart"))
+        several = cut(sizes.filter("classes > 1"))
+        members, apart = several.agg(F.sum("members"), F.sum("apart")).first()
+        if not members:
             break
-        met = cut(with_hot_apart(rows, leading, "bucket", "members").select("bucket", "b", "class", F.explode("leads").alias("lead")))
-        apart = met.filter(F.col("lead")["class"] != F.col("class"))
-        pairs = apart.select(F.least(F.col("lead")["b"], "b").alias("a"), F.greatest(F.col("lead")["b"], "b").alias("b")).distinct()
-        new = verified(pairs, images).select("a", "b")
+        rows = cut(with_hot_apart(rows, several.select("bucket", "members"), "bucket", "members").filter("members is not null"))
+        last = seats > crowd or apart <= seats * members
+        new = verified(_all_pairs(rows, crowd) if last else _led_pairs(rows, seats), images).select("a", "b")
         found = cut(new if found is None else found.unionByName(new).distinct())
-        # a member leaves with its leader's class
-        known = cut(components(found))
-        own = known.select(F.col("node").alias("b"), F.col("component").alias("own"))
-        lead = known.select(F.col("node").alias("at"), F.col("component").alias("led"))
-        now = met.join(own, "b", "left").join(lead, F.col("lead")["b"] == F.col("at"), "left")
-        now = now.withColumn("own", F.coalesce("own", "b")).withColumn("led", F.coalesce("led", F.col("lead")["b"]))
-        left = now.groupBy("bucket", "b").agg(F.min("own").alias("class"), F.bool_or(F.col("own") == F.col("led")).alias("gone"))
-        rows = cut(left.filter("not gone").select("bucket", "b", "class"))
+        if last:
+            break
+        known = components(found).select(F.col("node").alias("b"), F.col("component").alias("class"))
+        rows = cut(rows.select("bucket", "b").join(known, "b", "left").select("bucket", "b", F.coalesce("class", "b").alias("class")))
         seats *= LEADERS
     return images.select(F.col("media_id").alias("a"), F.col("media_id").alias("b")).limit(0) if found is None else found
 
 
+def _led_pairs(rows: DataFrame, seats: int) -> DataFrame:
+    """(a, b): so many leaders of each bucket at most, of different classes, with all its members of other classes."""
+    seat = F.pmod(F.xxhash64("class", F.lit(seats)), F.lit(seats)).alias("seat")
+    leading = rows.groupBy("bucket", seat).agg(F.min(F.struct("b", "class")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    leading = cut(leading.groupBy("bucket").agg(F.collect_list("lead").alias("leads"), F.sum("n").alias("members")))
+    met = with_hot_apart(rows.drop("members"), leading, "bucket", "members").select("b", "class", F.explode("leads").alias("lead"))
+    lead = F.col("lead")
+    return met.filter(lead["class"] != F.col("class")).select(F.least(lead["b"], "b").alias("a"), F.greatest(lead["b"], "b").alias("b")).distinct()
+
+
+def _all_pairs(rows: DataFrame, crowd: int) -> DataFrame:
+    """(a, b): all members of each bucket (bucket, b, class, members) that are of different classes.
+
+    Blocks of about ``crowd`` members meet each other, so that no group grows with its bucket.
+    """
+    blocks = F.ceil(F.col("members") / crowd)
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")))
+    left = dealt.select("bucket", F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"), F.col("b").alias("a"), F.col("class").alias("of_a"))
+    right = dealt.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("low"), F.col("own").alias("high"), "b", F.col("class").alias("of_b"))
+    met = left.join(right, ["bucket", "low", "high"]).filter((F.col("of_a") != F.col("of_b")) & ((F.col("low") < F.col("high")) | (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, images: DataFrame) -> DataFrame:
     """(a, b, agree): pairs whose features agree on one geometry."""
 

@@ -291,6 +291,70 @@ def test_media_copies_behind_a_stranger(spark, leaders, crowd):
     assert {(r["node"], r["component"]) for r in components.components(linked).collect()} == {(2, 2), (3, 2), (4, 2)}
 
 
+def _corners(rng, n):
+    own = np.zeros(n, media.FEATURE)
+    own["x"], own["y"], own["scale"], own["bits"] = rng.uniform(20, 60, n), rng.uniform(20, 60, n), 1, rng.integers(0, 256, (n, 32))
+    return own
+
+
+def _other_buckets(found, but=()):
+    """The same corners with a bit of each table's key turned; of those in ``but`` the first table's bucket stays."""
+    bits, places = np.unpackbits(found["bits"], axis=1), media._tests()[1]
+    for i in range(len(found)):
+        kept = set(places[0][:60].tolist()) if i in but else set()
+        for table in places:
+            turned = [p for p in table[:60].tolist() if p not in kept][:1]
+            bits[i, turned] ^= 1
+        # every further twelve bits of the first table are others too: once they dealt a crowded bucket out again
+        rest = np.random.default_rng(media.SEED)
+        rest.random((4 * media.BITS, 2)), rest.random((4 * media.BITS, 2))
+        further = rest.permutation(media.BITS)[60:120]
+        bits[i, further[::12]] ^= i in but
+    out = found.copy()
+    out["bits"], out["x"] = np.packbits(bits, axis=1), found["x"] + 5
+    return out
+
+
+def _classes_of(spark, images, *limits):
+    frame = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in images], "media_id long, features binary")
+    return {(r["node"], r["component"]) for r in components.components(media.links(frame, *limits)).collect()}
+
+
+@pytest.mark.parametrize("limits", [(), (1, 2), (4, 1)])
+def test_media_copies_that_share_one_crowded_bucket(spark, limits):
+    """Images 3 and 8 are copies and share just the bucket that strangers crowd."""
+    rng = np.random.default_rng(5)
+    own = _corners(rng, 12)
+    copy = _other_buckets(own, {4})
+    names = [media.bucket_names(f) for f in (own, copy)]
+    names = [n[0] if isinstance(n, tuple) else n for n in names]
+    assert np.intersect1d(*names).tolist() == [names[0][4, 0]] and media.agreeing(own, copy) >= media.LEAST_AGREE
+    images = [(3, own), (8, copy)]
+    for i in (1, 2, 4, 5, 6, 7, 9):
+        stranger = _corners(rng, 12)
+        bits = np.unpackbits(stranger["bits"], axis=1)
+        at = media._tests()[1][0][:60]
+        bits[0, at] = np.unpackbits(own["bits"][4])[at]
+        stranger["bits"] = np.packbits(bits, axis=1)
+        images.append((i, stranger))
+    assert _classes_of(spark, images, *limits) == {(3, 3), (8, 3)}
+
+
+@pytest.mark.parametrize("limits", [(), (1, 2)])
+def test_media_copies_of_a_copy_of_the_leader(spark, limits):
+    """Image 2 overlaps 1 and 3, which overlap not: all share one bucket, and 2 and 3 meet though 2 is of 1's class. 4 to 8 are strangers."""
+    rng = np.random.default_rng(8)
+    left, right = _corners(rng, 9), _corners(rng, 9)
+    first = np.concatenate([left, right[:1]])
+    both = np.concatenate([_other_buckets(left), _other_buckets(right, {0})])
+    last = np.concatenate([right])
+    images = [(1, first), (2, both), (3, last)]
+    for i in range(4, 9):
+        images.append((i, np.concatenate([_corners(rng, 9), right[:1]])))
+    assert media.agreeing(first, last) < media.LEAST_AGREE <= min(media.agreeing(first, both), media.agreeing(both, last))
+    assert _classes_of(spark, images, *limits) == {(1, 1), (2, 1), (3, 1)}
+
+
 # --- 6
 
 
