@@ -960,3 +960,14 @@ def test_pairs_of_single_vectors_are_not_shuffled(spark):
     assert sorted((r["a"], r["b"]) for r in got.collect()) == [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftOuter, (a#") + plan.count("LeftOuter, (b#") == 2 == plan.count("rightHint=(strategy=broadcast)")
+
+
+def test_vectors_are_not_shuffled_to_the_parts_that_they_meet(spark):
+    """Vectors without clusters meet everywhere: written out for each part they would take the square of their number on disk."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    pairs, _ = neighbours.classes_above(rows, 0.3, 16)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(i, j) for i in range(300) for j in range(i + 1, 300) if v[i] @ v[j] >= 0.3}
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
